@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framequery.llm import tokenizer_queries
+from framequery.llm import page_queries, quality_queries, tokenizer_queries
 
-_MODULES = (tokenizer_queries,)
+_MODULES = (quality_queries, page_queries, tokenizer_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
