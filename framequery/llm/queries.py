@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framequery.llm import page_queries, quality_queries, tokenizer_queries
+from framequery.llm import decontaminate_queries, page_queries, quality_queries, tokenizer_queries, toxicity_queries
 
-_MODULES = (quality_queries, page_queries, tokenizer_queries)
+_MODULES = (decontaminate_queries, tokenizer_queries, quality_queries, toxicity_queries, page_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
