@@ -22,6 +22,8 @@ SHINGLE = 5
 #: Words of an item of which the last part is taken as the answer where the table has none of its own.
 ANSWER_SHARE = 0.25
 BLOCK = 8
+#: (passage, term) rows that are scored at once; each takes a few hundred bytes.
+PAIRS_AT_ONCE = 200_000
 
 
 def _words(text: str | None) -> list[str]:
@@ -180,8 +182,21 @@ def _search(docs: DataFrame, index: ItemIndex, overlap: float, item_type: str, i
     terms = pa.array(index.terms, pa.large_string())
     item_values = pa.array(index.ids)
 
+    def met(passage_of: np.ndarray, term_of: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        """Meetings of sorted (passage, term) rows, about PAIRS_AT_ONCE rows and whole passages at a time."""
+        a = 0
+        while a < len(passage_of):
+            b = min(len(passage_of), a + PAIRS_AT_ONCE)
+            if b < len(passage_of):
+                b = int(np.searchsorted(passage_of, passage_of[b], side="left")) or b
+                b = b if b > a else int(np.searchsorted(passage_of, passage_of[a], side="right"))
+            base = passage_of[a]
+            passage, item, score = query_passages(index, term_of[a:b], passage_of[a:b] - base, int(passage_of[b - 1] - base) + 1)
+            yield from zip((passage + base).tolist(), item.tolist(), score.tolist(), strict=True)
+            a = b
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in rebatched(batches):
+        for table in rebatched(batches, 16 << 20):
             found: dict[tuple[int, int], tuple[float, float, float]] = {}
             if len(terms):
                 flat, offsets = split_words(table.column(1), lower=True)
@@ -197,8 +212,7 @@ def _search(docs: DataFrame, index: ItemIndex, overlap: float, item_type: str, i
                 window = np.concatenate([first[doc] + inner, (first[doc] + inner - 1)[inner > 0]])
                 words = np.concatenate([term[at], term[at][inner > 0]]).astype(np.int64)
                 key = np.unique(window * np.int64(max(1, len(terms))) + words)
-                passage, item, score = query_passages(index, key % len(terms), key // len(terms), int(first[-1]))
-                for p, i, s in zip(passage.tolist(), item.tolist(), score.tolist(), strict=True):
+                for p, i, s in met(key // len(terms), key % len(terms)):
                     d = int(np.searchsorted(first, p, side="right") - 1)
                     a = int(offsets[d] + (p - first[d]) * stride)
                     q, r = verify(index, i, flat.slice(a, min(2 * stride, int(offsets[d + 1]) - a)).to_pylist())

@@ -196,11 +196,16 @@ def read_token_files(spark: SparkSession, path: str, digests: bool = False) -> D
     )
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share (spark.checkpoint.dir); set for local runs if unset."""
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = "/tmp/framequery-checkpoints"
-    return f"{root.rstrip('/')}/framequery/{name}-{uuid.uuid4().hex}"
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return "/tmp/framequery-checkpoints"
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_root(spark)}/framequery/{name}-{uuid.uuid4().hex}"
