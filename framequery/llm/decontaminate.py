@@ -196,7 +196,7 @@ def _search(docs: DataFrame, index: ItemIndex, overlap: float, item_type: str, i
             a = b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in rebatched(batches, 16 << 20):
+        for table in rebatched(batches, 8 << 20):
             found: dict[tuple[int, int], tuple[float, float, float]] = {}
             if len(terms):
                 flat, offsets = split_words(table.column(1), lower=True)

@@ -126,7 +126,7 @@ def train_chain(
     known = docs.select(id_col, text_col).join(sample, id_col).select(text_col, *(f"_c{k}" for k in range(len(names))))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in rebatched(batches):
+        for table in rebatched(batches, 4 << 20):
             row, feature = doc_features(table.column(0).combine_chunks(), None)
             ends = np.searchsorted(row, np.arange(table.num_rows + 1))
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(feature.astype(np.int32)))
@@ -180,7 +180,7 @@ def score_chain(docs: DataFrame, model: ChainModel, text_col: str = "text") -> D
     place = columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in rebatched(batches):
+        for table in rebatched(batches, 8 << 20):
             n = table.num_rows
             row, feature = doc_features(table.column(place).combine_chunks(), model.buckets)
             found = np.zeros((n, len(names)))

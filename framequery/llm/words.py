@@ -81,18 +81,22 @@ def hash_strings(strings: pa.Array) -> np.ndarray:
     return h
 
 
-def rebatched(batches: Iterable[pa.RecordBatch], max_bytes: int = 32 << 20) -> Iterator[pa.Table]:
-    """Arrow batches gathered to tables of about max_bytes, so that per-batch dictionaries pay off."""
+def rebatched(batches: Iterable[pa.RecordBatch], max_bytes: int = 16 << 20) -> Iterator[pa.Table]:
+    """Arrow batches gathered, or cut by rows, to tables of about max_bytes: per-table dictionaries pay off, and what
+    is derived from a table stays bounded. A table always has a row, however long."""
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        held.append(batch)
-        size += batch.nbytes
-        if size >= max_bytes:
-            yield pa.Table.from_batches(held)
-            held, size = [], 0
+        rows, total = batch.num_rows, batch.nbytes
+        step = max(1, rows * max_bytes // max(1, total)) if total > max_bytes else rows
+        for k in range(0, rows, max(1, step)):
+            part = batch.slice(k, step)
+            if held and size + part.nbytes > max_bytes:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+                pa.default_memory_pool().release_unused()
+            held.append(part)
+            size += part.nbytes
     if held:
         yield pa.Table.from_batches(held)
 
