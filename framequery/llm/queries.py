@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framequery.llm import decontaminate_queries, page_queries, quality_queries, simhash_queries, tokenizer_queries, toxicity_queries
+from framequery.llm import decontaminate_queries, page_queries, passage_queries, quality_queries, simhash_queries, tokenizer_queries, toxicity_queries
 
-_MODULES = (decontaminate_queries, tokenizer_queries, simhash_queries, quality_queries, toxicity_queries, page_queries)
+_MODULES = (decontaminate_queries, tokenizer_queries, simhash_queries, quality_queries, toxicity_queries, page_queries, passage_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
