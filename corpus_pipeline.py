@@ -3,9 +3,39 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from framequery.llm import bpe, token_files
+from framequery.llm import bpe, decontaminate, passages, simhash, token_files, toxicity
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain rejects go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.toxic_verdicts(docs, labels).where(~F.col("toxic")).select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document of least id stays, once. Rows without an id stay as they are."""
+    groups = simhash.near_duplicates(docs)
+    keepers = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    kept = docs.join(keepers, "doc_id", "left_semi")
+    once = kept.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_n = 1").drop("_n")
+    return once.unionByName(docs.where(F.col("doc_id").isNull())).select(docs.columns)
+
+
+def remove_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words in 20-word windows that an earlier document has are cut from the texts."""
+    carry = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    cut = passages.remove_passages(docs, carry=carry).withColumnRenamed("kept", "text")
+    return cut.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a verified passage of the benchmark go."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = token_files.written(decontaminate.contaminated(docs, items).select("doc_id").distinct(), "contaminated")
+    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,7 +43,13 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("encode", encode)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("substring_dedup", remove_passages),
+    ("decontamination", drop_contaminated),
+    ("bpe", encode),
+]
 #: The stages hold iterative and learnt steps that SQL can't express; tests compare them with brute force.
 ORACLE_SQL = None
 
@@ -24,7 +60,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = stage(spark, docs, sf_dir)
         if k == len(STAGES) - 1:
             return out
-        path = token_files.shared_folder(spark, f"pipeline-{k}-{name}")
-        out.write.parquet(path)
-        docs = spark.read.schema(out.schema).parquet(path)
+        docs = token_files.written(out, f"pipeline-{k}-{name}")
     return docs

@@ -13,7 +13,6 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from framequery.llm import repeats
 from framequery.llm.words import hash_strings, join_rows, split_words, unique_words
@@ -63,14 +62,17 @@ def word_windows(units: np.ndarray, at: np.ndarray) -> np.ndarray:
 SPEC = repeats.Spec(WIDTH, GRAM, word_units, word_grams, locate, word_windows)
 
 
-def remove_passages(docs: DataFrame, digests: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_words, n_removed, kept): each text without the words covered by a 20-word window that starts earlier.
+def remove_passages(
+    docs: DataFrame, digests: bool = False, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """(id, n_words, n_removed, kept, carried columns): each text without the words covered by a 20-word window that starts earlier.
 
     Earlier: in a row of smaller id (NULL least), or further ahead in the row. Rows that share an id are told apart by
     their texts' order. kept joins the words left by one space; with digests it is kept_sha256, lowercase hex.
     NULL and empty texts have no words.
     """
-    rows, _ = repeats.sharded(docs, id_col, text_col)
+    rows, whole = repeats.sharded(docs, id_col, text_col, carry)
+    extra = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     last = "kept_sha256" if digests else "kept"
 
     def run(texts: pa.Table, spans: pa.Table) -> pa.Table:
@@ -84,9 +86,10 @@ def remove_passages(docs: DataFrame, digests: bool = False, id_col: str = "doc_i
         if digests:
             kept = pa.array([hashlib.sha256(memoryview(s.as_buffer())).hexdigest() for s in kept], pa.string())
         ids = pa.array(doc, mask=doc == repeats.NO_ID)
-        return pa.table([ids, pa.array(n), pa.array(n - np.diff(ends)), kept.cast(pa.string())], names=[id_col, "n_words", "n_removed", last])
+        carried = [table[f"_{k}"] for k in range(len(carry))]
+        return pa.table([ids, pa.array(n), pa.array(n - np.diff(ends)), kept.cast(pa.string()), *carried], names=[id_col, "n_words", "n_removed", last, *carry])
 
     with repeats.finished_steps_leave_no_shuffle(docs.sparkSession):
         spans = repeats.repeated_spans(rows, SPEC)
-        out = rows.groupBy("shard").cogroup(spans.groupBy("shard")).applyInArrow(run, f"{id_col} long, n_words long, n_removed long, {last} string")
-        return out
+    schema = f"{id_col} long, n_words long, n_removed long, {last} string{extra}"
+    return whole.groupBy("shard").cogroup(spans.groupBy("shard")).applyInArrow(run, schema)

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framequery.llm.token_files import shared_folder
+from framequery.llm.token_files import written
 from framequery.llm.words import A64, M1, mix, rebatched, to_batches
 
 #: Text of a shard; a shard's documents are read by one task, and its patterns are compiled there.
@@ -46,20 +46,14 @@ def finished_steps_leave_no_shuffle(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def written(df: DataFrame, name: str, schema: str | None = None) -> DataFrame:
-    """df through a Parquet table in the shared folder: the next step starts from files, not from a lineage."""
-    spark = df.sparkSession
-    path = shared_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(schema or df.schema).parquet(path)
-
-
-def sharded(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
-    """(shard int, doc long, text): NULL texts as empty. The number of shards follows the bytes of text."""
+def sharded(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(shard int, doc long, text) rows, and the same with the columns to carry along as _0, _1 ...; NULL texts as empty.
+    The number of shards follows the bytes of text."""
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
     shards = max(1, -(-total // SHARD_BYTES))
     shard = F.pmod(F.xxhash64(id_col), F.lit(shards)).cast("int")
-    return docs.select(shard.alias("shard"), F.col(id_col).cast("long").alias("doc"), F.coalesce(text_col, F.lit("")).alias("text")), shards
+    columns = [shard.alias("shard"), F.col(id_col).cast("long").alias("doc"), F.coalesce(text_col, F.lit("")).alias("text")]
+    return docs.select(columns), docs.select(*columns, *(F.col(c).alias(f"_{k}") for k, c in enumerate(carry)))
 
 
 def recurring(grams: DataFrame) -> DataFrame:
