@@ -107,23 +107,28 @@ def shift_outliers(shifts: DataFrame, by: list[str], k: float = 4.0, floor_px: f
     return marked.withColumn("dropped", F.col("_far") & trusted).select(*shifts.columns, "dropped")
 
 
-def drift_fold(shifts: DataFrame, by: str, order: str, limit: float = 10.0, history: int = 5) -> DataFrame:
+def drift_fold(shifts: DataFrame, by: str, order: str, is_reference: Column, limit: float = 10.0, history: int = 5) -> DataFrame:
     """Shifts in order, each replaced by its prediction where it is further than `limit` from it; corrected values feed
-    the next prediction: the last one plus the mean velocity of the last `history` (per index step of each pair).
-    The first shift is the anchor (0, 0)."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("i"), F.col("dx").cast("double").alias("dx"), F.col("dy").cast("double").alias("dy"))))
+    the next prediction: the last one plus the mean velocity (per index step) of the last `history`. Reference frames
+    are the anchor (0, 0); the very first shift has no prediction. A capture's shifts are one array: a few MB for the
+    longest captures."""
+    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("i"), F.col("dx").cast("double").alias("dx"), F.col("dy").cast("double").alias("dy"), is_reference.alias("ref"))))
 
     def step(state: Column, x: Column) -> Column:
         past = F.slice(state, F.greatest(F.lit(1), F.size(state) - history + 1), F.lit(history))
-        first, last, n = F.get(past, F.lit(0)), F.get(past, F.size(past) - 1), F.size(past)
+        n = F.size(past)
+        last = F.get(past, n - 1)
         pairs = F.zip_with(F.slice(past, F.lit(1), n - 1), F.slice(past, F.lit(2), n - 1), lambda a, b: F.struct(((b["dx"] - a["dx"]) / (b["i"] - a["i"])).alias("x"), ((b["dy"] - a["dy"]) / (b["i"] - a["i"])).alias("y")))
-        vx = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + p["x"]) / (n - 1)
-        vy = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + p["y"]) / (n - 1)
-        px, py = last["dx"] + vx, last["dy"] + vy
+        steps = F.greatest(n - 1, F.lit(1))
+        px = last["dx"] + F.aggregate(pairs, F.lit(0.0), lambda s, p: s + p["x"]) / steps
+        py = last["dy"] + F.aggregate(pairs, F.lit(0.0), lambda s, p: s + p["y"]) / steps
         far = F.sqrt((x["dx"] - px) * (x["dx"] - px) + (x["dy"] - py) * (x["dy"] - py)) > F.lit(limit)
-        predicted = F.struct(x["i"].alias("i"), px.alias("dx"), py.alias("dy"))
-        anchor = F.struct(x["i"].alias("i"), F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy"))
-        new = F.when(F.size(state) == 0, anchor).when(F.size(state) < 2, x).when(far, predicted).otherwise(x)
+
+        def entry(dx: Column, dy: Column) -> Column:
+            return F.struct(x["i"].alias("i"), dx.alias("dx"), dy.alias("dy"))
+
+        own = entry(x["dx"], x["dy"])
+        new = F.when(x["ref"], entry(F.lit(0.0), F.lit(0.0))).when(F.size(state) == 0, own).when(far, entry(px, py)).otherwise(own)
         return F.concat(state, F.array(new))
 
     folded = F.aggregate(F.col("_rows"), F.expr("cast(array() as array<struct<i:bigint,dx:double,dy:double>>)"), step)

@@ -155,7 +155,7 @@ def fi05_shift_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wn06_drift_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = stats.drift_fold(_shifts(spark, sf_dir).where("user_id < 5"), "user_id", "event_id")
+    f = stats.drift_fold(_shifts(spark, sf_dir).where("user_id < 5"), "user_id", "event_id", F.col("event_id") % 50 == 3)
     return f.select("user_id", "event_id", F.round("dx", 4).alias("dx"), F.round("dy", 4).alias("dy"))
 
 
@@ -233,9 +233,9 @@ SELECT user_id, event_id, dx, dy, far AND count(*) OVER w >= 20 AND sum(far::INT
         wn06_drift_fold,
         f"""WITH RECURSIVE {_SQL_SHIFTS}, o AS (SELECT user_id, event_id, dx, dy, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM sh WHERE user_id < 5),
 f(user_id, r, h) AS (
-  SELECT user_id, 1::BIGINT, [{{'i': event_id, 'dx': 0::DOUBLE, 'dy': 0::DOUBLE}}] FROM o WHERE r = 1
+  SELECT user_id, 1::BIGINT, [{{'i': event_id, 'dx': CASE WHEN event_id % 50 = 3 THEN 0 ELSE dx END, 'dy': CASE WHEN event_id % 50 = 3 THEN 0 ELSE dy END}}] FROM o WHERE r = 1
   UNION ALL
-  SELECT user_id, r, list_append(list_slice(h, greatest(1, len(h) - 3), len(h)), CASE WHEN k > 1 AND sqrt(power(dx - px, 2) + power(dy - py, 2)) > 10 THEN {{'i': event_id, 'dx': px, 'dy': py}} ELSE {{'i': event_id, 'dx': dx, 'dy': dy}} END)
+  SELECT user_id, r, list_append(list_slice(h, greatest(1, len(h) - 3), len(h)), CASE WHEN event_id % 50 = 3 THEN {{'i': event_id, 'dx': 0::DOUBLE, 'dy': 0::DOUBLE}} WHEN sqrt(power(dx - px, 2) + power(dy - py, 2)) > 10 THEN {{'i': event_id, 'dx': px, 'dy': py}} ELSE {{'i': event_id, 'dx': dx, 'dy': dy}} END)
   FROM (SELECT o.user_id, o.r, o.event_id, o.dx, o.dy, f.h, len(f.h) AS k,
     f.h[len(f.h)].dx + coalesce(list_sum(list_transform(range(1, len(f.h)), lambda j: (f.h[j + 1].dx - f.h[j].dx) / (f.h[j + 1].i - f.h[j].i))) / greatest(len(f.h) - 1, 1), 0) AS px,
     f.h[len(f.h)].dy + coalesce(list_sum(list_transform(range(1, len(f.h)), lambda j: (f.h[j + 1].dy - f.h[j].dy) / (f.h[j + 1].i - f.h[j].i))) / greatest(len(f.h) - 1, 1), 0) AS py
