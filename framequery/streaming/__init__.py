@@ -1 +1 @@
-"""See README.md for what this subpackage holds."""
+"""Stateful streams: completion of files that are still written, and hourly rate limits."""
