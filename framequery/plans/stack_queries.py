@@ -11,8 +11,10 @@ from framequery.plans.frame_queries import SQL_KEPT, SQL_PIXELS, SQL_SCORES, _fr
 
 _OWN = ["capture_id", "frame_idx"]
 #: A made-up drift, exact in binary: dx in -1 .. 1 and dy in -0.5 .. 0.5.
-DX = ((F.col("frame_idx") % 5) - 2) * F.lit(0.5)
-DY = ((F.col("frame_idx") % 3) - 1) * F.lit(0.5)
+def _drift() -> tuple:
+    return ((F.col("frame_idx") % 5) - 2) * F.lit(0.5), ((F.col("frame_idx") % 3) - 1) * F.lit(0.5)
+
+
 SQL_DX, SQL_DY = "((frame_idx % 5) - 2) * 0.5::DOUBLE", "((frame_idx % 3) - 1) * 0.5::DOUBLE"
 
 
@@ -59,7 +61,7 @@ def ag07_mean_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ag09_coverage_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    moved = rd.shifted(_frames(spark, sf_dir), DX, DY, "null")
+    moved = rd.shifted(_frames(spark, sf_dir), *_drift(), "null")
     got = rd.coverage_mean(moved, F.lit(1.0) + F.col("frame_idx") % 2)
     return got.select("capture_id", "px", F.round("value", 6).alias("value"), F.round("coverage", 6).alias("coverage"))
 
