@@ -15,6 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from framequery.llm.words import rebatched, split_words, to_batches, unique_words
 
@@ -170,17 +172,17 @@ def contaminated(
     out = None
     for k in range(shards):
         rows = [(r[0], *question_answer(r[1])) for r in numbered.where(F.col("_shard") == k).toLocalIterator()]
-        part = _search(docs.select(id_col, text_col), build_index(rows, threshold), overlap, items.schema[item_id].dataType.simpleString(), item_id)
+        part = _search(docs.select(id_col, text_col), build_index(rows, threshold), overlap, items.schema[item_id].dataType, item_id)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _search(docs: DataFrame, index: ItemIndex, overlap: float, item_type: str, item_id: str) -> DataFrame:
+def _search(docs: DataFrame, index: ItemIndex, overlap: float, item_type: DataType, item_id: str) -> DataFrame:
     id_col = docs.columns[0]
-    schema = f"{id_col} {docs.schema[0].dataType.simpleString()}, {item_id} {item_type}, score double, question_overlap double, answer_overlap double"
+    schema = f"{id_col} {docs.schema[0].dataType.simpleString()}, {item_id} {item_type.simpleString()}, score double, question_overlap double, answer_overlap double"
     stride = max(1, index.longest)
     terms = pa.array(index.terms, pa.large_string())
-    item_values = pa.array(index.ids)
+    item_values = pa.array(index.ids, to_arrow_type(item_type))
 
     def met(passage_of: np.ndarray, term_of: np.ndarray) -> Iterator[tuple[int, int, float]]:
         """Meetings of sorted (passage, term) rows, about PAIRS_AT_ONCE rows and whole passages at a time."""

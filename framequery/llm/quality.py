@@ -24,8 +24,10 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     NULL text counts as empty; every measure of an empty text is 0. Nothing is exploded: each text is measured inside
     its own row, so there is no shuffle. Repeated 3-word windows are found by sorting a text's window hashes with
-    their positions (n log n for one text of n words), never by comparing all pairs.
+    their positions (n log n for one text of n words), never by comparing all pairs. Columns of docs that have the
+    name of a measure are replaced.
     """
+    docs = docs.drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words")
     text = F.coalesce(F.col(text_col), F.lit(""))
     words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.translate(x, WHITE, "") != "")
@@ -122,8 +124,9 @@ def quality_verdicts(
 ) -> DataFrame:
     """Measures of each row, base_failed, kept, and rejected_by ('base', a rule's name, or NULL for kept rows).
 
-    Extra columns pass through. Repeated rows are judged alike.
+    Extra columns pass through; those with the name of a result are replaced. Repeated rows are judged alike.
     """
+    docs = docs.drop("base_failed", "kept", "rejected_by")
     rules = default_rules(text_col) if rules is None else rules
     # The sample is drawn from the source first, so only its rows are measured to find the order.
     total = docs.count()

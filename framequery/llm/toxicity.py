@@ -173,9 +173,11 @@ def train_chain(
 def score_chain(docs: DataFrame, model: ChainModel, text_col: str = "text") -> DataFrame:
     """docs plus p_<category> (double) for each category; whole texts, in one pass, with no shuffle.
 
-    NULL and empty texts have no features: they get the biases' probabilities, chained like any other.
+    NULL and empty texts have no features: they get the biases' probabilities, chained like any other. Columns of docs
+    with the name of a probability are replaced.
     """
     names = [f"p_{c}" for c in model.categories]
+    docs = docs.drop(*names)
     columns = docs.columns
     place = columns.index(text_col)
 
