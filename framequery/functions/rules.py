@@ -14,7 +14,7 @@ TARGET_WORDS = {
     "Mars": ["mars"],
 }
 # Extensions that a folder scan lists.
-EXTENSIONS = ["ser", "avi", "mov", "mp4", "m4v", "tif", "tiff", "png", "jpg", "jpeg", "fits", "fit"]
+EXTENSIONS = ["tif", "tiff", "png", "jpg", "jpeg", "ser", "avi", "fits", "fit"]
 
 
 def clamp(value: Column, low: float | int, high: float | int) -> Column:
