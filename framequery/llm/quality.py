@@ -84,7 +84,7 @@ def default_rules(text_col: str = "text") -> list[Rule]:
     return [
         Rule("mean_word_length", (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 15 * F.col("n_words"))),
         Rule("symbol_ratio", 10 * F.col("n_symbols") > F.col("n_words")),
-        Rule("duplicate_lines", 10 * F.col("n_dup_lines") > 3 * F.col("n_lines")),
+        Rule("duplicate_lines", (10 * F.col("n_dup_lines") > 3 * F.col("n_lines")) & (F.col("n_dup_lines") > 2)),
         Rule("upper_case", 2 * _count_of(text, UPPER) > _count_of(text, LETTERS)),
         Rule("exclamations", 4 * _count_of(text, "!?") > F.col("n_words")),
     ]

@@ -32,5 +32,5 @@ m AS (SELECT doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 10 * n_symbols > n_words
-    OR 10 * n_dup_lines > 3 * n_lines OR 2 * n_upper > n_letters OR 4 * n_marks > n_words) AS kept FROM f"""
+    OR (10 * n_dup_lines > 3 * n_lines AND n_dup_lines > 2) OR 2 * n_upper > n_letters OR 4 * n_marks > n_words) AS kept FROM f"""
 }
