@@ -169,6 +169,21 @@ def first_model(lexicon: Lexicon, states: int, seed: int) -> Model:
     return Model(np.full(states, 1.0 / states), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
+def by_length(pieces: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """Sequences in groups of about TOKENS_AT_ONCE tokens and of like length: a group takes as many steps as its longest
+    sequence has tokens, so long ones had better share theirs."""
+    held: list[np.ndarray] = []
+    size = 0
+    for x in sorted(pieces, key=len, reverse=True):
+        if held and size + len(x) > TOKENS_AT_ONCE:
+            yield held
+            held, size = [], 0
+        held.append(x)
+        size += len(x)
+    if held:
+        yield held
+
+
 def train(codes: DataFrame, lexicon: Lexicon, states: int, rounds: int, seed: int) -> tuple[Model, list[float]]:
     """Baum-Welch over (codes BINARY: uint16 classes of a text, the end included); the log-likelihoods of the rounds."""
     model, history = first_model(lexicon, states, seed), []
@@ -177,12 +192,13 @@ def train(codes: DataFrame, lexicon: Lexicon, states: int, rounds: int, seed: in
 
         def run(batches: Iterator[pa.RecordBatch], model: Model = model) -> Iterator[pa.RecordBatch]:
             starts, moves, emits, total = np.zeros(states), np.zeros((states, states)), np.zeros((size, states)), 0.0
-            for table in rebatched(batches, 2 * TOKENS_AT_ONCE):
-                texts = [np.frombuffer(x.as_buffer(), "<u2").astype(np.int64) for x in table.column(0)]
+            for table in rebatched(batches):
+                texts = [np.frombuffer(x.as_buffer(), "<u2") for x in table.column(0)]
                 pieces = [x[k : k + PIECE] for x in texts for k in range(0, len(x), PIECE)]
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in pieces])]).astype(np.int64)
-                a, b, c, d = expected_counts(model, np.concatenate(pieces), offsets)
-                starts, moves, emits, total = starts + a, moves + b, emits + c, total + d
+                for some in by_length(pieces):
+                    offsets = np.concatenate([[0], np.cumsum([len(x) for x in some])]).astype(np.int64)
+                    a, b, c, d = expected_counts(model, np.concatenate(some).astype(np.int64), offsets)
+                    starts, moves, emits, total = starts + a, moves + b, emits + c, total + d
             flat = np.concatenate([[total], starts, moves.ravel(), emits.ravel()])
             some = np.flatnonzero(flat)
             yield from to_batches(pa.table([pa.array(some), pa.array(flat[some])], names=["k", "v"]), 100_000)

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from framequery.llm.words import gather, rebatched, split_words, to_batches, unique_words
 
-#: Distinct runs whose ids a worker keeps from one batch to the next.
-CACHED_RUNS = 300_000
+#: Distinct runs beyond which a worker keeps only those that its current batch uses.
+CACHED_RUNS = 400_000
 RUNS_A_CALL = 4_000
 
 
@@ -47,27 +47,29 @@ class LibraryRuns:
         specials = {i: t.content for i, t in self.t.get_added_tokens_decoder().items() if t.special}
         self.part_id, self.part = max(specials.items())
         self.mark = os.path.commonprefix([*specials.values()])
-        self.cache: dict[str, np.ndarray] = {}
+        #: Run -> its ids as little-endian int32 bytes.
+        self.cache: dict[str, bytes] = {}
 
     def encode(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of distinct runs and their offsets."""
+        if len(self.cache) > CACHED_RUNS:
+            old = self.cache
+            self.cache = {r: old[r] for r in runs if r in old}
         cache = self.cache
-        if len(cache) > CACHED_RUNS:
-            cache.clear()
-        odd = [r for r in runs if self.mark in r]
-        own = {r: np.array(self.t.encode(r, add_special_tokens=False).ids, np.int32) for r in odd}
-        new = [r for r in runs if r not in cache and r not in own]
-        texts = [self.part.join(new[k : k + RUNS_A_CALL]) for k in range(0, len(new), RUNS_A_CALL)]
-        keep = len(cache) + len(new) <= 2 * CACHED_RUNS
-        for k, text in enumerate(texts):
-            ids = np.array(self.t.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
-            at = np.flatnonzero(ids == self.part_id)
-            found = zip(new[k * RUNS_A_CALL : (k + 1) * RUNS_A_CALL], np.concatenate([[0], at + 1]), np.concatenate([at, [len(ids)]]), strict=True)
-            into = cache if keep else own
-            for r, a, b in found:
-                into[r] = ids[a:b]
-        rows = [own[r] if r in own else cache[r] for r in runs]
-        lengths = np.fromiter(map(len, rows), np.int64, len(rows))
-        return np.concatenate([*rows, np.zeros(0, np.int32)]), np.concatenate([[0], np.cumsum(lengths)])
+        for r in runs:
+            if self.mark in r and r not in cache:
+                cache[r] = np.array(self.t.encode(r, add_special_tokens=False).ids, "<i4").tobytes()
+        new = [r for r in runs if r not in cache]
+        for k in range(0, len(new), RUNS_A_CALL):
+            some = new[k : k + RUNS_A_CALL]
+            ids = np.array(self.t.encode_batch_fast([self.part.join(some)], add_special_tokens=False)[0].ids, "<i4")
+            at = 4 * np.flatnonzero(ids == self.part_id)
+            raw = ids.tobytes()
+            for r, a, b in zip(some, [0, *(at + 4).tolist()], [*at.tolist(), len(raw)], strict=True):
+                cache[r] = raw[a:b]
+        rows = [cache[r] for r in runs]
+        lengths = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
+        return np.frombuffer(b"".join(rows), "<i4"), np.concatenate([[0], np.cumsum(lengths)])
 
 
 @functools.lru_cache(maxsize=2)
@@ -201,7 +203,8 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return "/tmp/framequery-checkpoints"
 
