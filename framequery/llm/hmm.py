@@ -120,42 +120,48 @@ class Timed:
 
 def forward(model: Model, seen: np.ndarray, timed: Timed) -> tuple[np.ndarray, np.ndarray]:
     """Scaled forward probabilities and scales, by time. seen: emission probabilities (tokens x states) by time."""
-    alpha, scale = np.empty_like(seen), np.empty(len(seen))
-    for t, n in enumerate(timed.running.tolist()):
-        a = int(timed.at[t])
-        if t:
-            before = int(timed.at[t - 1])
-            now = alpha[before : before + n] @ model.move
+    alpha, scale = np.empty_like(seen), np.empty(len(seen), seen.dtype)
+    ones, before = np.ones(seen.shape[1], seen.dtype), 0
+    for a, n in zip(timed.at.tolist(), timed.running.tolist(), strict=False):
+        now = alpha[a : a + n]
+        if a:
+            np.matmul(alpha[before : before + n], model.move, out=now)
+            now *= seen[a : a + n]
         else:
-            now = np.broadcast_to(model.start, (n, len(model.start)))
-        now = now * seen[a : a + n]
-        total = now.sum(axis=1)
-        scale[a : a + n] = total
-        np.divide(now, total[:, None], out=alpha[a : a + n])
+            np.multiply(seen[:n], model.start, out=now)
+        total = np.matmul(now, ones, out=scale[a : a + n])
+        now /= total[:, None]
+        before = a
     return alpha, scale
 
 
 def expected_counts(model: Model, classes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected starts, transitions and emissions (classes x states) of whole sequences, and their log-likelihood."""
+    """Expected starts, transitions and emissions (classes x states) of whole sequences, and their log-likelihood.
+
+    Probabilities of a step are single-precision numbers scaled at each step; what is summed over steps is double.
+    """
     timed = Timed(offsets)
     by_time = np.empty(len(classes), np.int64)
     by_time[timed.place] = classes
+    model = Model(*(x.astype(np.float32) for x in (model.start, model.move, model.emit)))
     seen = model.emit[by_time]
     alpha, scale = forward(model, seen, timed)
     states = len(model.start)
-    moves, ahead = np.zeros((states, states)), np.ones((0, states))
-    for t in range(len(timed.running) - 1, -1, -1):
-        a, n = int(timed.at[t]), int(timed.running[t])
-        beta = np.ones((n, states))
-        if len(ahead):
-            m = len(ahead)
+    # seen becomes what each token says about the step before it: emission x beta / scale.
+    seen /= scale[:, None]
+    moves, back, m = np.zeros((states, states)), np.ascontiguousarray(model.move.T), 0
+    ahead = seen[:0]
+    for a, n in zip(timed.at[-2::-1].tolist(), timed.running[::-1].tolist(), strict=True):
+        now = seen[a : a + n]
+        if m:
             moves += alpha[a : a + m].T @ ahead
-            beta[:m] = ahead @ model.move.T
-        ahead = beta * seen[a : a + n] / scale[a : a + n, None]
-        alpha[a : a + n] *= beta
-    starts = alpha[: timed.running[0]].sum(axis=0)
+            beta = ahead @ back
+            alpha[a : a + m] *= beta
+            now[:m] *= beta
+        ahead, m = now, n
+    starts = alpha[: timed.running[0]].sum(axis=0, dtype=np.float64) if len(timed.running) else np.zeros(states)
     emits = np.stack([np.bincount(by_time, alpha[:, k], len(model.emit)) for k in range(states)], axis=1)
-    return starts, moves * model.move, emits, float(np.log(scale).sum())
+    return starts, moves * model.move, emits, float(np.log(scale).sum(dtype=np.float64))
 
 
 def first_model(lexicon: Lexicon, states: int, seed: int) -> Model:
@@ -309,12 +315,14 @@ def log_likelihoods(model: Model, classes: np.ndarray, offsets: np.ndarray) -> n
     by_time = np.empty(len(classes), np.int64)
     by_time[timed.place] = classes
     out = np.zeros(len(offsets) - 1)
-    alpha = np.zeros((0, len(model.start)))
+    alpha, ones = np.zeros((0, len(model.start))), np.ones(len(model.start))
     for t, n in enumerate(timed.running.tolist()):
-        now = (alpha[:n] @ model.move if t else model.start) * model.emit[by_time[timed.at[t] : timed.at[t] + n]]
-        total = now.sum(axis=1)
+        now = model.emit[by_time[timed.at[t] : timed.at[t] + n]]
+        now *= alpha[:n] @ model.move if t else model.start
+        total = now @ ones
         out[:n] += np.log10(total)
-        alpha = now / total[:, None]
+        now /= total[:, None]
+        alpha = now
     result = np.empty_like(out)
     result[timed.order] = out
     return result
