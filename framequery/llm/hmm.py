@@ -138,12 +138,11 @@ def forward(model: Model, seen: np.ndarray, timed: Timed) -> tuple[np.ndarray, n
 def expected_counts(model: Model, classes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Expected starts, transitions and emissions (classes x states) of whole sequences, and their log-likelihood.
 
-    Probabilities of a step are single-precision numbers scaled at each step; what is summed over steps is double.
+    Steps are taken in the precision of the model's arrays; what is summed over steps is double.
     """
     timed = Timed(offsets)
     by_time = np.empty(len(classes), np.int64)
     by_time[timed.place] = classes
-    model = Model(*(x.astype(np.float32) for x in (model.start, model.move, model.emit)))
     seen = model.emit[by_time]
     alpha, scale = forward(model, seen, timed)
     states = len(model.start)
@@ -196,7 +195,10 @@ def train(codes: DataFrame, lexicon: Lexicon, states: int, rounds: int, seed: in
     size = lexicon.classes
     for _ in range(rounds):
 
-        def run(batches: Iterator[pa.RecordBatch], model: Model = model) -> Iterator[pa.RecordBatch]:
+        # Single precision is enough for one round's steps: they are scaled at each token.
+        single = Model(*(x.astype(np.float32) for x in (model.start, model.move, model.emit)))
+
+        def run(batches: Iterator[pa.RecordBatch], model: Model = single) -> Iterator[pa.RecordBatch]:
             starts, moves, emits, total = np.zeros(states), np.zeros((states, states)), np.zeros((size, states)), 0.0
             for table in rebatched(batches):
                 texts = [np.frombuffer(x.as_buffer(), "<u2") for x in table.column(0)]
