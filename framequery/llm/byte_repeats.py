@@ -42,13 +42,19 @@ def byte_units(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def byte_grams(units: np.ndarray) -> np.ndarray:
     """A rolling hash of the 32 bytes from each place (fewer at the end), kept to 60 bits."""
-    at = np.arange(len(units))
-    return repeats.range_hash(repeats.prefix_hashes(units), at, np.minimum(at + TRIGGER, len(units))) >> np.uint64(4)
-
-
-def locate(grams: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    at = np.minimum(np.searchsorted(wanted, grams), len(wanted) - 1)
-    return wanted[at] == grams
+    h, inverse = repeats.prefix_hashes(units)
+    n = max(0, len(units) - TRIGGER)
+    whole = mix((h[TRIGGER:] - h[: n + 1]) * inverse[: n + 1] + np.full(1, TRIGGER, np.uint64) * M1)[:n] if n else np.zeros(0, np.uint64)
+    at = np.arange(n, len(units))
+    return np.concatenate([whole, repeats.range_hash((h, inverse), at, np.full(len(at), len(units)))]) >> np.uint64(4)
+
+
+def locate(grams: np.ndarray, wanted: np.ndarray, places: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(grams), bool)
+    chosen = repeats.distinct_places(places, len(grams))
+    at = np.minimum(np.searchsorted(wanted, grams[chosen]), len(wanted) - 1)
+    out[chosen] = wanted[at] == grams[chosen]
+    return out
 
 
 def suffix_classes(units: np.ndarray, at: np.ndarray) -> np.ndarray:

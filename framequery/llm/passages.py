@@ -38,8 +38,8 @@ def word_grams(units: np.ndarray) -> np.ndarray:
     return out
 
 
-def locate(grams: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Where the wanted grams start, by streaming the codes through an automaton of them."""
+def locate(grams: np.ndarray, wanted: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Where the wanted grams start, by streaming all codes through an automaton of them, whatever places are asked for."""
     import ahocorasick
 
     mask = np.uint64((1 << CODE_BITS) - 1)

@@ -23,6 +23,8 @@ from framequery.llm.words import A64, M1, mix, rebatched, to_batches
 
 #: Text of a shard; a shard's documents are read by one task, and its patterns are compiled there.
 SHARD_BYTES = 3 << 20
+#: Places that fit beside the upper bits of a gram's order; always the same, so that equal windows select alike.
+PLACES = 1 << 28
 #: Rows between cogrouped sides: what a document has repeated for sure, and chunks that other shards may have first.
 FOUND = "shard int, kind int, gram long, chunk long, doc long, a int, n int"
 FOUND_NAMES = ["shard", "kind", "gram", "chunk", "doc", "a", "n"]
@@ -76,23 +78,22 @@ def window_grams(order: np.ndarray, n_units: np.ndarray, offsets: np.ndarray, wi
     if not total:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     starts = np.arange(total) + np.repeat(offsets[:-1] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
-    # Least of `span` neighbours by doubling: blocks of 1, 2, 4 ... units, then two that overlap. Places break ties.
-    value, place, size = order.copy(), np.arange(len(order)), 1
-    while size * 2 <= span:
-        value, place = _least(value, place, size)
-        size *= 2
-    if size < span:
-        value, place = _least(value, place, span - size)
+    place = np.empty(len(order), np.int64)
+    for k in range(0, len(order), PLACES // 2):
+        place[k : k + PLACES // 2] = k + _least_places(order[k : k + PLACES // 2 + span - 1], span)[: PLACES // 2]
     return starts, place[starts]
 
 
-def _least(value: np.ndarray, place: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
-    later, later_place = value[shift:], place[shift:]
-    value, place = value.copy(), place.copy()
-    swap = later < value[: len(later)]
-    value[: len(later)][swap] = later[swap]
-    place[: len(later)][swap] = later_place[swap]
-    return value, place
+def _least_places(order: np.ndarray, span: int) -> np.ndarray:
+    """The place of the least of `span` neighbours from each place (fewer at the end): a value's upper bits and its
+    place make one number, so that places break ties, and doubled blocks need one minimum each."""
+    key = order & ~np.uint64(PLACES - 1) | np.arange(len(order), dtype=np.uint64)
+    size = 1
+    while size < span:
+        step = min(size, span - size)
+        np.minimum(key[:-step], key[step:], out=key[:-step])
+        size += step
+    return (key & np.uint64(PLACES - 1)).astype(np.int64)
 
 
 def prefix_hashes(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,6 +112,13 @@ def range_hash(hashes: tuple[np.ndarray, np.ndarray], a: np.ndarray, b: np.ndarr
     return mix((h[b] - h[a]) * inverse[a] + (b - a).astype(np.uint64) * M1)
 
 
+def distinct_places(places: np.ndarray, n: int) -> np.ndarray:
+    """The distinct places below n, sorted."""
+    marked = np.zeros(n, bool)
+    marked[places] = True
+    return np.flatnonzero(marked)
+
+
 def chunks_of(starts: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of consecutive windows that select one place: first start, number of windows, place."""
     first = np.flatnonzero(np.concatenate([[True], (places[1:] != places[:-1]) | (starts[1:] != starts[:-1] + 1)])) if len(starts) else np.zeros(0, np.int64)
@@ -143,13 +151,13 @@ def settle_chunks(found: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
 @dataclass(frozen=True)
 class Spec:
     """How an operator sees texts: `units` gives (uint64 units, offsets) of texts in order; `grams` the gram that starts
-    at each unit; `locate` where grams of the wanted (sorted) set start; `windows` a key for each window's content."""
+    at each unit; `locate` where, at least among given places, grams of the wanted (sorted) set start; `windows` a key for each window's content."""
 
     width: int
     gram: int
     units: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
     grams: Callable[[np.ndarray], np.ndarray]
-    locate: Callable[[np.ndarray, np.ndarray], np.ndarray]
+    locate: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
     windows: Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
@@ -179,7 +187,7 @@ def count_grams(rows: DataFrame, spec: Spec) -> DataFrame:
         for table in rebatched(batches, 2 << 20):
             units, offsets = spec.units(table["text"].combine_chunks())
             grams, _, places = selected(spec, units, offsets)
-            places = np.unique(places)
+            places = distinct_places(places, len(units))
             row = np.searchsorted(offsets, places, side="right") - 1
             gram, shard = grams[places], table["shard"].to_numpy()[row]
             order = np.lexsort((shard, gram))
@@ -216,7 +224,7 @@ def find_chunks(rows: DataFrame, wanted: DataFrame, spec: Spec) -> DataFrame:
         docs = in_order(docs)
         units, offsets = spec.units(docs["text"].combine_chunks())
         keys, starts, places = selected(spec, units, offsets)
-        hit = spec.locate(keys, np.unique(grams["gram"].to_numpy()).view(np.uint64))[places]
+        hit = spec.locate(keys, np.unique(grams["gram"].to_numpy()).view(np.uint64), places)[places]
         lo, n, place = chunks_of(starts[hit], places[hit])
         chunk = range_hash(prefix_hashes(units), lo, lo + n + spec.width - 1) ^ mix((place - lo).astype(np.uint64))
         row = np.searchsorted(offsets, lo, side="right") - 1
