@@ -2,7 +2,8 @@
 
 The index holds the test items (the documents of BM25); each passage of the corpus is a query. A passage and an item
 meet when the item's score is at least `threshold` of the score it has with itself. Such meetings are then verified:
-the shares of the question's and of the answer's 5-word shingles that the passage has must both reach `overlap`.
+the shares of the question's and of the answer's 5-word shingles that the passage has must both reach `overlap`, or
+that of the whole item's, as an answer of few shingles is lost by one altered word. Marks around a word don't count.
 """
 
 from __future__ import annotations
@@ -23,14 +24,21 @@ from framequery.llm.words import rebatched, split_words, to_batches, unique_word
 SHINGLE = 5
 #: Words of an item of which the last part is taken as the answer where the table has none of its own.
 ANSWER_SHARE = 0.25
+MARKS_AROUND = r"^[^\p{L}\p{N}\p{M}]+|[^\p{L}\p{N}\p{M}]+$"
 BLOCK = 8
 #: (passage, term) rows that are scored at once; each takes a few hundred bytes.
 PAIRS_AT_ONCE = 200_000
 
 
+def bare(words: pa.Array) -> pa.Array:
+    """Words without the marks before and after their letters and digits; words of marks alone stay."""
+    inner = pc.replace_substring_regex(words, MARKS_AROUND, "")
+    return pc.if_else(pc.equal(pc.binary_length(inner), 0), words, inner)
+
+
 def _words(text: str | None) -> list[str]:
     lowered = pc.ascii_lower(pa.array([text or ""]))
-    return split_words(lowered)[0].to_pylist()
+    return bare(split_words(lowered)[0]).to_pylist()
 
 
 def question_answer(text: str | None) -> tuple[list[str], list[str]]:
@@ -140,8 +148,9 @@ def query_passages(index: ItemIndex, term_of: np.ndarray, passage_of: np.ndarray
     return live[key[good] // len(index.ids)], key[good] % len(index.ids), score[good]
 
 
-def verify(index: ItemIndex, item: int, words: list[str]) -> tuple[float, float]:
-    """Shares of the question's and the answer's shingles among the passage's words; 1 for a part without words."""
+def verify(index: ItemIndex, item: int, words: list[str]) -> tuple[float, float, float]:
+    """Shares of the question's, the answer's and the whole item's shingles among the passage's words; 1 for a part
+    without words."""
 
     def share(part: list[str]) -> float:
         wanted = shingles(part)
@@ -151,7 +160,8 @@ def verify(index: ItemIndex, item: int, words: list[str]) -> tuple[float, float]
         have = {tuple(words[k : k + n]) for k in range(len(words) - n + 1)}
         return len(wanted & have) / len(wanted)
 
-    return share(index.questions[item]), share(index.answers[item])
+    question, answer = index.questions[item], index.answers[item]
+    return share(question), share(answer), share(question + answer)
 
 
 def contaminated(
@@ -203,6 +213,7 @@ def _search(docs: DataFrame, index: ItemIndex, overlap: float, item_type: DataTy
             if len(terms):
                 flat, offsets = split_words(table.column(1), lower=True)
                 distinct, which = unique_words(flat)
+                distinct = bare(distinct)
                 known = pc.index_in(distinct, terms).fill_null(-1).to_numpy() if len(distinct) else np.zeros(0, np.int64)
                 term = known[which] if len(distinct) else np.zeros(0, np.int64)
                 at = np.flatnonzero(term >= 0)
@@ -217,8 +228,9 @@ def _search(docs: DataFrame, index: ItemIndex, overlap: float, item_type: DataTy
                 for p, i, s in met(key // len(terms), key % len(terms)):
                     d = int(np.searchsorted(first, p, side="right") - 1)
                     a = int(offsets[d] + (p - first[d]) * stride)
-                    q, r = verify(index, i, flat.slice(a, min(2 * stride, int(offsets[d + 1]) - a)).to_pylist())
-                    if q >= overlap and r >= overlap:
+                    b = min(a + 2 * stride, int(offsets[d + 1]))
+                    q, r, whole = verify(index, i, distinct.take(pa.array(which[a:b])).to_pylist())
+                    if q >= overlap and r >= overlap or whole >= overlap:
                         found[d, i] = max(found.get((d, i), (0.0, 0.0, 0.0)), (q, r, s))
             rows = pa.array([d for d, _ in found], pa.int64())
             best = [[v[k] for v in found.values()] for k in (2, 0, 1)]

@@ -262,6 +262,25 @@ def test_op3_against_all_pairs(spark):
     assert decontaminate.contaminated(docs.limit(0), table).count() == 0
 
 
+def test_op3_marks_and_an_altered_end_lose_no_passage(spark):
+    words = [f"part{k}" for k in range(22)] + ["ключ", "chbeheitä"]
+    near = [f"near{k}" for k in range(19)] + ["is", "42"]
+    table = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(f"far{k}" for k in range(40)))], "item_id long, text string")
+    marked = ["((" + words[0], *words[1:-1], words[-1] + ".%%%"]
+    texts = [
+        " ".join(marked),
+        " ".join(["before", *marked[:9], "«" + words[9] + "»,", *marked[10:], "after"]),
+        " ".join([*words[:-1], "altered", "end"]),
+        " ".join(words[:12]) + " other words follow that belong to another text",
+        " ".join(near[:-1] + ["43."]),
+        " ".join([*near[:9], "x", "y", *near[11:]]),
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = decontaminate.contaminated(docs, table).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(0, 1), (1, 1), (2, 1), (4, 2)]
+    assert {r.doc_id: (r.question_overlap, r.answer_overlap) for r in got}[0] == (1.0, 1.0)
+
+
 def test_op3_wand_finds_all_above_the_threshold():
     rnd = random.Random(4)
     vocabulary = [f"t{k}" for k in range(60)]
