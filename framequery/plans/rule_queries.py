@@ -59,7 +59,7 @@ def sm05_pilot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jo10_target_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "documents").select("doc_id", ru.detect_target(F.substring("text", 1, 200), F.col("source")).alias("target"))
+    return _read(spark, sf_dir, "documents").select("doc_id", ru.detect_target(F.col("text"), F.col("source")).alias("target"))
 
 
 def sf01_metadata_map(spark: SparkSession, sf_dir: str) -> DataFrame:
