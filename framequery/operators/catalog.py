@@ -2,10 +2,33 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def ranked(rows: DataFrame, place: str, *order: Column) -> DataFrame:
+    """rows with their place (int, from 1) in one order over all of them; `order` must tell all rows apart.
+
+    Rows are dealt by ranges of the order and ranked within each; the counts of the ranges before, one row a range, are
+    added. The ranges are written to the shared folder, as ranges of a second sample could differ from the first's.
+    """
+    spark = rows.sparkSession
+    root, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not root and master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    path = f"{(root or '/tmp/framequery-checkpoints').rstrip('/')}/framequery/ranges-{uuid.uuid4().hex}"
+    ranges = rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    ranges.write.parquet(path)
+    dealt = spark.read.schema(ranges.schema).parquet(path)
+    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    numbered = dealt.withColumn(place, own).join(F.broadcast(starts), "_range")
+    return numbered.withColumn(place, (F.col(place) + F.col("_before")).cast("int")).drop("_range", "_before")
+
+
 def search(files: DataFrame, column: str, query: str, negate: bool = False) -> DataFrame:
     """Rows whose column has the query in it, whatever the case; an empty query passes all."""
     if not query:

@@ -176,10 +176,9 @@ def tk03_reference_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tk06_sorted_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places by sharpness (NULL first), and by creation (NULL last)."""
-    f = _read(spark, sf_dir, "events").where("event_id < 400").select("event_id", F.when(F.col("event_id") % 3 != 0, F.col("value")).alias("s"), F.when(F.col("event_id") % 4 != 0, F.col("ts")).alias("c"))
-    by_s = F.row_number().over(Window.orderBy(F.col("s").asc_nulls_first(), "event_id"))
-    by_c = F.row_number().over(Window.orderBy(F.col("c").asc_nulls_last(), "event_id"))
-    return f.select("event_id", by_s.alias("by_sharpness"), by_c.alias("by_created"))
+    f = _read(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 3 != 0, F.col("value")).alias("s"), F.when(F.col("event_id") % 4 != 0, F.col("ts")).alias("c"))
+    by_s = ct.ranked(f, "by_sharpness", F.col("s").asc_nulls_first(), F.col("event_id").asc())
+    return ct.ranked(by_s, "by_created", F.col("c").asc_nulls_last(), F.col("event_id").asc()).select("event_id", "by_sharpness", "by_created")
 
 
 def wn02_mask_by_rank(spark: SparkSession, sf_dir: str) -> DataFrame:

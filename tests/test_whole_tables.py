@@ -3,6 +3,8 @@
 from framequery.functions.rules import TARGET_WORDS
 from framequery.plans import catalog
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_jo10_finds_keywords_anywhere_in_a_text(spark, tmp_path):
     rows = [(1, "x" * 500 + " JUPITER", "s"), (2, "x" * 500, "s"), (3, None, "Mars"), (4, "mars " + "y" * 300 + " mond", "s")]
@@ -10,3 +12,12 @@ def test_jo10_finds_keywords_anywhere_in_a_text(spark, tmp_path):
     got = {r.doc_id: r.target for r in catalog.queries()["jo10_target_detect"](spark, str(tmp_path)).collect()}
     want = {i: next((t for t, words in TARGET_WORDS.items() if any(w in c.lower() for w in words for c in (text or "", source))), None) for i, text, source in rows}
     assert got == want == {1: "Jupiter", 2: None, 3: "Mars", 4: "Moon"}
+
+
+def test_tk06_places_every_event(spark):
+    events = spark.read.parquet(f"{SF}/events.parquet").select("event_id", "value", "ts").collect()
+    s = sorted(events, key=lambda r: (r.event_id % 3 != 0, r.value if r.event_id % 3 else 0, r.event_id))
+    c = sorted(events, key=lambda r: (r.event_id % 4 == 0, r.ts.timestamp() if r.event_id % 4 else 0, r.event_id))
+    by_s, by_c = ({r.event_id: k for k, r in enumerate(rows, 1)} for rows in (s, c))
+    got = {r.event_id: (r.by_sharpness, r.by_created) for r in catalog.queries()["tk06_sorted_catalog"](spark, SF).collect()}
+    assert len(events) > 400 and got == {i: (by_s[i], by_c[i]) for i in by_s}
