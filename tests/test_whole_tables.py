@@ -21,3 +21,13 @@ def test_tk06_places_every_event(spark):
     by_s, by_c = ({r.event_id: k for k, r in enumerate(rows, 1)} for rows in (s, c))
     got = {r.event_id: (r.by_sharpness, r.by_created) for r in catalog.queries()["tk06_sorted_catalog"](spark, SF).collect()}
     assert len(events) > 400 and got == {i: (by_s[i], by_c[i]) for i in by_s}
+
+
+def test_jo14_gives_every_stem_its_sibling(spark):
+    ids = [r.event_id for r in spark.read.parquet(f"{SF}/events.parquet").select("event_id").collect()]
+    found = {}
+    for i in ids:
+        found.setdefault(i // 3, set()).add(("tif", "png", "jpg")[i % 3] if i % 5 else None)
+    want = {stem: "png" if "png" in x else "tif" if "tif" in x else None for stem, x in found.items()}
+    got = catalog.queries()["jo14_sibling"](spark, SF).collect()
+    assert max(ids) >= 500 and len(got) == len(want) and {r.stem: r.sibling for r in got} == want
