@@ -1,7 +1,8 @@
 """Main text of web pages by consensus paths of their hosts.
 
 Every page scores its containers and votes for the generalised tag-class path of the best one. The votes are summed per
-host in Spark; each page is then read again with its host's winning path. A page without it falls back to its own best.
+host in Spark; each page is then read again with its host's winning path. A page of which that path has clearly less than
+the page's own best falls back to its own best.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ MARKS = frozenset(
     " footer header masthead comment comments commentlist disqus respond reply replies cookie cookies consent gdpr notice notices alert popup modal"
     " newsletter subscribe subscription signup login share sharing social related recommended widget widgets toolbar pagination pager skip".split()
 )
+#: A host's path serves a page of whose own best container it has at least this share.
+HELD = 0.8
 WHITE = re.compile(r"\s+")
 DIGITS = re.compile(r"\d+")
 #: Elements that a new element of the given kind closes.
@@ -161,13 +164,45 @@ def parse(source: str) -> Page:
     return page
 
 
+def _worth(node: Node, text: str) -> float:
+    return len(text) * (1.0 - node.linked / max(1, node.text)) + 20.0 * (node.tag in ("p", "pre", "blockquote"))
+
+
+def _articles(nodes: list[Node], k: int) -> list[int]:
+    """The article and main elements around a node, itself included, from inside to outside."""
+    found = []
+    while k > 0:
+        if nodes[k].tag in ("article", "main"):
+            found.append(k)
+        k = nodes[k].parent
+    return found
+
+
+def _totals(page: Page) -> tuple[list[float], list[int], list[int]]:
+    """Worth, text and linked text of all blocks under each node."""
+    nodes = page.nodes
+    worth, text, linked = [0.0] * len(nodes), [node.text for node in nodes], [node.linked for node in nodes]
+    for k, block in page.blocks:
+        worth[k] += _worth(nodes[k], block)
+    for k in range(len(nodes) - 1, 0, -1):  # a parent stands before its children
+        up = nodes[k].parent
+        worth[up] += worth[k]
+        text[up] += text[k]
+        linked[up] += linked[k]
+    return worth, text, linked
+
+
 def best_container(page: Page) -> tuple[str, float] | None:
-    """The path of the container whose own paragraphs hold the most text that isn't links, and that score."""
+    """The path of the container of the whole article, and the worth of its text, links not counted.
+
+    The container whose own paragraphs hold the most text wins. From it, the article is all of the article or main
+    element around it, then of each container further out whose added text isn't mostly links; no further than the
+    outermost article or main where there is one.
+    """
     nodes = page.nodes
     scores: dict[int, float] = {}
     for k, text in page.blocks:
-        node = nodes[k]
-        worth = len(text) * (1.0 - node.linked / max(1, node.text)) + 20.0 * (node.tag in ("p", "pre", "blockquote"))
+        worth = _worth(nodes[k], text)
         share = 1.0
         while k > 0:  # full worth to the nearest container, half to the next, and so on
             if nodes[k].tag in CONTAINER:
@@ -177,22 +212,37 @@ def best_container(page: Page) -> tuple[str, float] | None:
     if not scores:
         return None
     best = max(scores, key=lambda k: (scores[k], -k))
-    return nodes[best].path, scores[best]
+    worths, texts, links = _totals(page)
+    around = _articles(nodes, best)
+    if around:
+        best = around[0]
+    last = around[-1] if around else 0
+    k = best
+    while k > last:
+        k = nodes[k].parent
+        if k > 0 and nodes[k].tag in CONTAINER and texts[k] > texts[best]:
+            if 2 * (links[k] - links[best]) <= texts[k] - texts[best]:
+                best = k
+    return nodes[best].path, worths[best]
 
 
 def main_text(page: Page, path: str | None) -> str:
-    """Blocks under every node of the path, in page order, joined by blank lines; the page's own best as a fallback."""
+    """Blocks under every node of the path, in page order, joined by blank lines. An article or main element around such
+    a node counts with it. The page's own best is taken where it has clearly more than the path."""
     nodes = page.nodes
 
-    def under(path: str) -> list[str]:
+    def under(path: str) -> tuple[list[str], float]:
+        chosen = {(_articles(nodes, k) or [k])[0] for k, node in enumerate(nodes) if k and node.path == path and node.tag in CONTAINER}
         inside = [False] * len(nodes)
         for k, node in enumerate(nodes[1:], 1):
-            inside[k] = inside[node.parent] or node.path == path and node.tag in CONTAINER
-        return [text for k, text in page.blocks if inside[k]]
-
-    found = under(path) if path else []
-    if not found and (own := best_container(page)):
-        found = under(own[0])
+            inside[k] = inside[node.parent] or k in chosen
+        blocks = [(k, text) for k, text in page.blocks if inside[k]]
+        return [text for _, text in blocks], sum(_worth(nodes[k], text) for k, text in blocks)
+
+    found, worth = under(path) if path else ([], 0.0)
+    own = best_container(page)
+    if own and (not found or worth < HELD * own[1]):
+        found = under(own[0])[0]
     if not found:
         found = [text for _, text in page.blocks]
     return "\n\n".join(found)

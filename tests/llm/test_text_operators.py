@@ -371,3 +371,26 @@ def test_op9_hosts(spark):
     urls = ["HTTP://User@Www.A.org:80/x", "https://b.net?x", "//c", None]
     df = spark.createDataFrame([(u,) for u in urls], "url string").select(pages.host_of(F.col("url")).alias("h"))
     assert [r.h for r in df.collect()] == ["www.a.org", "b.net", "", ""]
+
+
+def test_op9_keeps_whole_articles(spark):
+    long, short = "Long text of the article goes on. " * 40, "Short part. " * 4
+    shell = "<html><body><nav><a href=/>Home</a></nav>{}<footer>Foot</footer></body></html>"
+    nested = "<article><h1>Head</h1><p>Lead paragraph.</p><div class=body><p>{}</p></div></article>".format(long)
+    split = "<div class=wrap><section class=one><p>{}</p></section><section class=two><p>{}</p></section></div>".format(long, short)
+    linked = "<div class=wrap><div class=text><p>{}</p></div><div class=more><a href=/1>Some other page</a> <a href=/2>And another</a></div></div>".format(long)
+    # Most pages of the host have one template; one has only a teaser at that template's path.
+    usual = "<div class=story><p>{}</p></div>".format(long)
+    other = "<div class=top><div class=story><p>Teaser.</p></div></div><section class=full><p>{}</p></section>".format(long)
+    odd = "<div class=story><p>Teaser.</p></div><section class=full><p>{}</p></section>".format(long)
+    around = "<article><p>Lead paragraph.</p><div class=story><p>{}</p></div></article>".format(long)
+    pages_of = [("a", nested), ("b", split), ("c", linked), ("d", usual), ("d", usual), ("d", usual), ("d", odd), ("d", other), ("d", around)]
+    rows = [(k, f"http://{host}.org/{k}", shell.format(html)) for k, (host, html) in enumerate(pages_of)]
+    got = {r.page_id: r.text for r in pages.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    long, short = long.strip(), short.strip()
+    assert got[0] == f"Head\n\nLead paragraph.\n\n{long}"
+    assert got[1] == f"{long}\n\n{short}"
+    assert got[2] == long
+    assert got[3] == got[4] == got[5] == long
+    assert got[6] == got[7] == f"Teaser.\n\n{long}"
+    assert got[8] == f"Lead paragraph.\n\n{long}"
