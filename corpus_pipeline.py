@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framequery.llm import bpe, decontaminate, passages, simhash, token_files, toxicity
@@ -15,13 +15,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.toxic_verdicts(docs, labels).where(~F.col("toxic")).select(docs.columns)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key of each id and text, as ids can be missing or repeated. Never NULL."""
+    return docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of least id stays, once. Rows without an id stay as they are."""
-    groups = simhash.near_duplicates(docs)
-    keepers = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(keepers, "doc_id", "left_semi")
-    once = kept.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_n = 1").drop("_n")
-    return once.unionByName(docs.where(F.col("doc_id").isNull())).select(docs.columns)
+    """Of each group of near copies the row of least id stays, once; one without an id only where none has one."""
+    rows = keyed(docs)
+    groups = simhash.near_duplicates(rows, id_col="_row").select("_row", "component_id").distinct()
+    ids = rows.select("_row", "doc_id").distinct()
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "_row"))
+    keepers = groups.join(ids, "_row").groupBy("component_id").agg(least.alias("k")).select("k._row")
+    return rows.join(keepers, "_row", "left_semi").dropDuplicates(["_row"]).select(docs.columns)
 
 
 def remove_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +40,9 @@ def remove_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a verified passage of the benchmark go."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = token_files.written(decontaminate.contaminated(docs, items).select("doc_id").distinct(), "contaminated")
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    rows = keyed(docs)
+    found = token_files.written(decontaminate.contaminated(rows, items, id_col="_row").select("_row").distinct(), "contaminated")
+    return rows.join(found, "_row", "left_anti").select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,6 +34,18 @@ def test_one_of_each_group_stays(spark):
     assert sorted((r.doc_id for r in cp.drop_near_duplicates(spark, docs, SF).collect()), key=lambda i: (i is None, i)) == [2, 9, None]
 
 
+def test_repeated_and_missing_ids_lose_and_keep_no_row_too_many(spark):
+    a, b, c, item = (" ".join(f"{w}{k}" for k in range(200)) for w in ("first", "second", "third", "passage"))
+    rows = [(7, a), (7, b), (None, c), (None, c), (3, b), (None, a), (None, f"{c} {item}")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r.doc_id, r.text) for r in cp.drop_near_duplicates(spark, docs.limit(6), SF).collect()]
+    assert sorted(kept, key=str) == sorted([(7, a), (3, b), (None, c)], key=str)
+    known = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    found = docs.unionByName(spark.createDataFrame([(None, f"x {known} y", "en", "s", 1), (7, f"x {known} y", "en", "s", 1)], docs.schema))
+    left = [(r.doc_id, r.text) for r in cp.drop_contaminated(spark, found, SF).collect()]
+    assert sorted(left, key=str) == sorted(rows, key=str)
+
+
 def test_all_eleven_queries_are_registered():
     names = entry.queries()
     assert "pipeline" in names
