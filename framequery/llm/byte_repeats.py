@@ -1,11 +1,9 @@
-"""Removal of repeated byte strings by prefix-free parsing.
+"""Removal of repeated byte strings by hashed minimiser chunks.
 
 A rolling hash over the bytes chooses triggers by content: in each 100-byte window the 32-byte gram of least hash. The
-triggers cut every text into phrases (with the overhang that windows reach over), so highly repetitive text has few
-distinct phrases: the dictionary. The parse is the sequence of phrases of all texts. The parse's order is settled in
-Spark (phrases ranked by document and place); phrases of the dictionary that share a trigger but differ are compared
-through a suffix array of their shard's part of the dictionary, whose neighbours with 100 bytes in common are equal
-windows. Both together give, for each window of the corpus, whether an equal one starts earlier.
+windows that choose one occurrence form a chunk, and equal windows choose equal grams. Equal chunks and windows are told
+by 64-bit hashes, as in repeats.py; the order of the corpus is that of document and place. There is no suffix array:
+equality, not order, decides, and hashes of 100 bytes give it without a sort of the dictionary.
 """
 
 from __future__ import annotations
@@ -23,8 +21,6 @@ WIDTH = 100
 TRIGGER = 32
 #: A pseudo-random 64-bit value for each byte.
 BYTE_UNITS = mix(np.arange(1, 257, dtype=np.uint64) * M1)
-#: The bytes of windows that are sorted at once.
-SORT_WINDOWS = 100_000
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -57,27 +53,12 @@ def locate(grams: np.ndarray, wanted: np.ndarray, places: np.ndarray) -> np.ndar
     return out
 
 
-def suffix_classes(units: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A key for each window: the dictionary's suffixes are sorted by their first 100 bytes, and neighbours that have all
-    100 in common are one class. A class is named by a hash of its content, so that names agree between shards."""
-    name = repeats.range_hash(repeats.prefix_hashes(units), at, at + WIDTH)
-    if not len(at):
-        return name
-    by_value = np.argsort(BYTE_UNITS)
-    data = by_value[np.searchsorted(BYTE_UNITS[by_value], units)].astype(np.uint8)
-    out = np.empty_like(name)
-    order = np.argsort(name, kind="stable")
-    windows = np.lib.stride_tricks.sliding_window_view(data, WIDTH)
-    for k in range(0, len(at), SORT_WINDOWS):  # the part of the suffix array that a range of names falls in
-        own = order[k : k + SORT_WINDOWS]
-        lanes = np.concatenate([windows[at[own]], np.zeros((len(own), -WIDTH % 8), np.uint8)], axis=1).view(">u8")
-        suffixes = np.lexsort(lanes.T[::-1])
-        fresh = np.concatenate([[True], (lanes[suffixes][1:] != lanes[suffixes][:-1]).any(axis=1)])
-        out[own[suffixes]] = name[own[suffixes[fresh]]][np.cumsum(fresh) - 1]
-    return out
+def window_names(units: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of the 100 bytes of each window."""
+    return repeats.range_hash(repeats.prefix_hashes(units), at, at + WIDTH)
 
 
-SPEC = repeats.Spec(WIDTH, TRIGGER, byte_units, byte_grams, locate, suffix_classes)
+SPEC = repeats.Spec(WIDTH, TRIGGER, byte_units, byte_grams, locate, window_names)
 
 
 def remove_repeated_bytes(docs: DataFrame, digests: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
