@@ -96,9 +96,8 @@ def sf11_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tk07_natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _read(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"://[^/]+/(.*)$", 1).alias("name"))
-    w = Window.orderBy(ru.natural_key(F.col("name")), "page_id")
-    # A listing is shown in full, so its one order is the feature.
-    return p.select("page_id", F.row_number().over(w).alias("place"))
+    keyed = p.select("page_id", ru.natural_key(F.col("name")).alias("key"))
+    return ct.ranked(keyed, "place", F.col("key").asc(), F.col("page_id").asc()).select("page_id", "place")
 
 
 def fi02_search(spark: SparkSession, sf_dir: str) -> DataFrame:

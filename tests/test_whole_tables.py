@@ -31,3 +31,9 @@ def test_jo14_gives_every_stem_its_sibling(spark):
     want = {stem: "png" if "png" in x else "tif" if "tif" in x else None for stem, x in found.items()}
     got = catalog.queries()["jo14_sibling"](spark, SF).collect()
     assert max(ids) >= 500 and len(got) == len(want) and {r.stem: r.sibling for r in got} == want
+
+
+def test_tk07_ranks_no_whole_table_in_one_task(spark, capsys):
+    catalog.queries()["tk07_natural_order"](spark, SF).explain()
+    windows = [x for x in capsys.readouterr().out.splitlines() if " Window " in x and "row_number" in x]
+    assert windows and all("_range" in x.split("row_number", 1)[1] for x in windows)
