@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def ranked(rows: DataFrame, place: str, *order: Column) -> DataFrame:
-    """rows with their place (int, from 1) in one order over all of them; `order` must tell all rows apart.
+def ranked(rows: DataFrame, place: str, *order: Column, kind: str = "int") -> DataFrame:
+    """rows with their place (of type `kind`, from 1) in one order over all of them; `order` must tell all rows apart.
 
     Rows are dealt by ranges of the order and ranked within each; the counts of the ranges before, one row a range, are
     added. The ranges are written to the shared folder, as ranges of a second sample could differ from the first's.
@@ -26,7 +26,7 @@ def ranked(rows: DataFrame, place: str, *order: Column) -> DataFrame:
     starts = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
     own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
     numbered = dealt.withColumn(place, own).join(F.broadcast(starts), "_range")
-    return numbered.withColumn(place, (F.col(place) + F.col("_before")).cast("int")).drop("_range", "_before")
+    return numbered.withColumn(place, (F.col(place) + F.col("_before")).cast(kind)).drop("_range", "_before")
 
 
 def search(files: DataFrame, column: str, query: str, negate: bool = False) -> DataFrame:

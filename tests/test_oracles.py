@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from framequery.plans import catalog
@@ -21,7 +22,7 @@ def duck():
 
 def rows(df, columns):
     def one(v):
-        if v is None or v != v:
+        if pd.isna(v):
             return "NULL"
         return f"{v + 0.0:.5f}" if isinstance(v, float) else str(v)
 
