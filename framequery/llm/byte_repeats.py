@@ -1,9 +1,12 @@
-"""Removal of repeated byte strings by hashed minimiser chunks.
-
-A rolling hash over the bytes chooses triggers by content: in each 100-byte window the 32-byte gram of least hash. The
-windows that choose one occurrence form a chunk, and equal windows choose equal grams. Equal chunks and windows are told
-by 64-bit hashes, as in repeats.py; the order of the corpus is that of document and place. There is no suffix array:
-equality, not order, decides, and hashes of 100 bytes give it without a sort of the dictionary.
+"""Removal of repeated byte strings by prefix-free parsing.
+
+A rolling hash over the bytes chooses triggers by content: in each 100-byte window the 32-byte gram of least hash. A
+phrase is a trigger with the bytes around it that the windows choosing it cover, so phrases overlap by the overhang
+that keeps each window whole in one phrase. The distinct phrases are the dictionary. The suffixes of the dictionary at
+the windows' starts are sorted to a depth of 100 bytes (a suffix array to that depth); suffixes whose common prefix with
+a neighbour reaches it are equal windows. The parse, as each phrase's occurrences by document and place, turns the
+dictionary's order into that of the corpus: of equal windows the one of least place stays. As a window never leaves its
+phrase, the parse's suffixes needn't be compared beyond their first phrase. See repeats.py for the steps.
 """
 
 from __future__ import annotations
@@ -13,8 +16,10 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from framequery.llm import repeats
+from framequery.llm.steps import Steps
 from framequery.llm.words import M1, as_array, mix
 
 WIDTH = 100
@@ -45,37 +50,26 @@ def byte_grams(units: np.ndarray) -> np.ndarray:
     return np.concatenate([whole, repeats.range_hash((h, inverse), at, np.full(len(at), len(units)))]) >> np.uint64(4)
 
 
-def locate(grams: np.ndarray, wanted: np.ndarray, places: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(grams), bool)
-    chosen = repeats.distinct_places(places, len(grams))
-    at = np.minimum(np.searchsorted(wanted, grams[chosen]), len(wanted) - 1)
-    out[chosen] = wanted[at] == grams[chosen]
-    return out
-
-
-def window_names(units: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A hash of the 100 bytes of each window."""
-    return repeats.range_hash(repeats.prefix_hashes(units), at, at + WIDTH)
-
-
-SPEC = repeats.Spec(WIDTH, TRIGGER, byte_units, byte_grams, locate, window_names)
+SPEC = repeats.Spec(WIDTH, TRIGGER, 1, byte_units, byte_grams, lambda texts: text_bytes(texts)[0], True)
 
 
 def remove_repeated_bytes(docs: DataFrame, digests: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept): UTF-8 bytes without those covered by a 100-byte string that starts earlier.
 
-    Earlier: in a row of smaller id (NULL least), or further ahead in the row. Rows that share an id are told apart by
-    their texts' order. n_spans counts maximal removed runs. kept (BINARY: cuts may fall inside a character) holds the
-    bytes left; with digests it is kept_sha256, lowercase hex. NULL and empty texts have no bytes.
+    Earlier: in a row of smaller id (NULL least), or further ahead in the row. Rows that share an id are ordered by a hash
+    of their texts, then as they are read; ids may be of any type that Spark can order. n_spans counts maximal removed
+    runs. kept (BINARY: cuts may fall inside a character) holds the bytes left; with digests it is kept_sha256, lowercase
+    hex. NULL and empty texts have no bytes; an empty table gives no rows. Other columns are not read. Phrases are told
+    apart by 64-bit hashes; windows of different phrases are compared byte by byte.
     """
-    rows, _ = repeats.sharded(docs, id_col, text_col)
+    steps = Steps(docs.sparkSession)
+    rows, whole = repeats.sharded(docs, id_col, text_col)
     last = "kept_sha256" if digests else "kept"
 
     def run(texts: pa.Table, spans: pa.Table) -> pa.Table:
-        table = repeats.in_order(texts)
+        table = texts.sort_by("doc")
         data, offsets = text_bytes(table["text"].combine_chunks())
-        doc = table["doc"].to_numpy()
-        gone = repeats.covered(doc, offsets, spans)
+        gone = repeats.covered(table["doc"].to_numpy(), offsets, spans)
         left = data[~gone]
         ends = np.concatenate([[0], np.cumsum(~gone)])[offsets]
         # A run begins at a removed byte whose forerunner in the same row stays or doesn't exist.
@@ -87,10 +81,15 @@ def remove_repeated_bytes(docs: DataFrame, digests: bool = False, id_col: str =
         parts = [left[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
         kept = pa.array([hashlib.sha256(p).hexdigest() for p in parts], pa.string()) if digests else pa.array(parts, pa.binary())
         n = np.diff(offsets)
-        ids = pa.array(doc, mask=doc == repeats.NO_ID)
-        return pa.table([ids, pa.array(n), pa.array(n - np.diff(ends)), pa.array(np.diff(runs)), kept], names=[id_col, "n_bytes", "n_removed", "n_spans", last])
-
-    with repeats.finished_steps_leave_no_shuffle(docs.sparkSession):
-        spans = repeats.repeated_spans(rows, SPEC)
-        kind = "string" if digests else "binary"
-        return rows.groupBy("shard").cogroup(spans.groupBy("shard")).applyInArrow(run, f"{id_col} long, n_bytes long, n_removed long, n_spans long, {last} {kind}")
+        return pa.table([table["_id"], pa.array(n), pa.array(n - np.diff(ends)), pa.array(np.diff(runs)), kept], names=[id_col, "n_bytes", "n_removed", "n_spans", last])
+
+    found, phrases, late = repeats.repeated_phrases(rows, SPEC, steps)
+    # A shard's first place of a phrase goes where another shard has an earlier one; AQE can split a frequent phrase's rows.
+    firsts = phrases.where(F.col("places") > 1).select("gram", "phrase", F.col("doc").alias("first_doc"))
+    other = found.where(F.col("kind") == repeats.OPEN).join(firsts, ["gram", "phrase"]).where(F.col("doc") != F.col("first_doc"))
+    spans = [x.select("shard", "doc", "a", (F.col("n") + WIDTH - 1).alias("n")) for x in (other, late)]
+    sure = found.where(F.col("kind") == repeats.REMOVED).select("shard", "doc", "a", "n")
+    gone = steps.write(sure.unionByName(spans[0]).unionByName(spans[1]), "spans", "shard int, doc long, a int, n int")
+    steps.drop("found", "phrases", "late")
+    key, kind = docs.schema[id_col].dataType.simpleString(), "string" if digests else "binary"
+    return whole.groupBy("shard").cogroup(gone.groupBy("shard")).applyInArrow(run, f"`{id_col}` {key}, n_bytes long, n_removed long, n_spans long, {last} {kind}")

@@ -21,7 +21,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framequery.llm.repeats import finished_steps_leave_no_shuffle, sharded
+from framequery.llm.repeats import sharded
+from framequery.llm.steps import finished_steps_leave_no_shuffle
 from framequery.llm.token_files import written
 from framequery.llm.words import hash_strings, rebatched, split_words, to_batches, unique_words
 

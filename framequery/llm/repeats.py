@@ -1,61 +1,71 @@
-"""What the exact removal of repeated windows shares: shards, steps, and the first starts of windows.
+"""What the exact removal of repeated windows shares: shards, the parse into phrases, and the dictionary's suffixes.
 
-A window is `width` consecutive units (words or bytes) of one document. Each window selects one of its inner grams by
-its content alone, so equal windows select equal grams at equal places. Grams that occur once can't belong to a
-repeated window; the rest mark where windows must be compared. The windows that select one occurrence of a gram form a
-chunk. Equal chunks are settled at once; only where a gram has different chunks are single windows compared.
+A window is `width` consecutive units (words or bytes) of one document. A rolling hash of grams chooses triggers by
+content: each window selects the inner gram of least hash, so equal windows select equal grams at equal places. A
+phrase is a trigger with all the windows that select it: phrases overlap by what windows need, so each window lies
+whole in one phrase of the parse. Phrases whose trigger occurs once can't hold a repeated window and are let go.
+
+The distinct phrases are the dictionary, each with its first place in the parse. All later occurrences of a phrase are
+repeats. Windows of different phrases are compared by sorting the dictionary's suffixes (those at the windows' starts)
+by their first `width` units; suffixes that agree with a neighbour that far are equal windows. The first place of each
+in the order of the corpus is the least place that the parse gives any of its phrases.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framequery.llm.token_files import written
+from framequery.llm.steps import Steps
 from framequery.llm.words import A64, M1, mix, rebatched, to_batches
+from framequery.operators.catalog import ranked
 
-#: Text of a shard; a shard's documents are read by one task, and its patterns are compiled there.
-SHARD_BYTES = 3 << 20
+#: Text of a shard; a shard's documents are read by one task.
+SHARD_BYTES = 2 << 20
 #: Places that fit beside the upper bits of a gram's order; always the same, so that equal windows select alike.
 PLACES = 1 << 28
-#: Rows between cogrouped sides: what a document has repeated for sure, and chunks that other shards may have first.
-FOUND = "shard int, kind int, gram long, chunk long, doc long, a int, n int"
-FOUND_NAMES = ["shard", "kind", "gram", "chunk", "doc", "a", "n"]
-FOUND_TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-REMOVED, OPEN = 0, 1
+#: Distinct phrases of one trigger beyond which its windows are dealt over slices by their content.
+HOT_PHRASES = 20_000
+#: Content of the dictionary that is sorted at once (and the largest group of one trigger).
+SORTED_BYTES = 2 << 20
 A64_INVERSE = np.uint64(pow(int(A64), -1, 1 << 64))
-NO_ID = -(1 << 63)
-#: A settled chunk or a single window that comes later than an equal one: units [a, a + n) go.
-SPANS = "shard int, doc long, a int, n int"
+#: A shard's first place of a phrase and its occurrences there, or (kind REMOVED) a span to remove.
+FOUND = "shard int, kind int, gram long, phrase long, doc long, a int, n int, copies int"
+REMOVED, OPEN = 0, 1
+#: A part of the dictionary: the windows of a phrase (k 0), or the k-th window of a hot trigger's phrase.
+CONTENTS = "gram long, slice int, phrase long, k int, shard int, doc long, a int, n int, content binary"
+#: The n windows from the k-th of a phrase, first at (doc, a), equal those from (first_doc, first_a) on.
+LATE = "gram long, phrase long, k int, shard int, doc long, a int, n int, first_doc long, first_a int"
 
 
-@contextmanager
-def finished_steps_leave_no_shuffle(spark: SparkSession) -> Iterator[None]:
-    """Within, Spark deletes an execution's shuffle files when it has ended: each step writes what later ones read."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs plus _doc (long): the row's place in the order of the corpus.
+
+    That is the id where ids are whole numbers, none NULL and none repeated. Else rows are numbered by id (NULL first),
+    then by a hash of the text, then as read; any type of id that Spark can order will do.
+    """
+    if docs.schema[id_col].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint"):
+        odd = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | F.col(id_col).isNull())
+        if not odd.limit(1).count():
+            return docs.withColumn("_doc", F.col(id_col).cast("long"))
+    keyed = docs.withColumn("_text", F.xxhash64(text_col)).withColumn("_read", F.monotonically_increasing_id())
+    return ranked(keyed, "_doc", F.col(id_col).asc_nulls_first(), F.col("_text").asc(), F.col("_read").asc(), kind="long").drop("_text", "_read")
 
 
 def sharded(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """(shard int, doc long, text) rows, and the same with the columns to carry along as _0, _1 ...; NULL texts as empty.
-    The number of shards follows the bytes of text."""
+    """(shard int, doc long, text) rows, and the same with the id as _id and the columns to carry along as _0, _1 ...;
+    NULL texts as empty. doc tells all rows apart. The number of shards follows the bytes of text."""
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
-    shards = max(1, -(-total // SHARD_BYTES))
-    shard = F.pmod(F.xxhash64(id_col), F.lit(shards)).cast("int")
-    columns = [shard.alias("shard"), F.col(id_col).cast("long").alias("doc"), F.coalesce(text_col, F.lit("")).alias("text")]
-    return docs.select(columns), docs.select(*columns, *(F.col(c).alias(f"_{k}") for k, c in enumerate(carry)))
+    rows = numbered(docs.select(*dict.fromkeys([id_col, text_col, *carry])), id_col, text_col)
+    shard = F.pmod(F.xxhash64("_doc"), F.lit(max(1, -(-total // SHARD_BYTES)))).cast("int")
+    columns = [shard.alias("shard"), F.col("_doc").alias("doc"), F.coalesce(text_col, F.lit("")).alias("text")]
+    return rows.select(columns), rows.select(*columns, F.col(id_col).alias("_id"), *(F.col(c).alias(f"_{k}") for k, c in enumerate(carry)))
 
 
 def recurring(grams: DataFrame) -> DataFrame:
@@ -119,57 +129,26 @@ def distinct_places(places: np.ndarray, n: int) -> np.ndarray:
     return np.flatnonzero(marked)
 
 
-def chunks_of(starts: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def phrases_of(starts: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of consecutive windows that select one place: first start, number of windows, place."""
     first = np.flatnonzero(np.concatenate([[True], (places[1:] != places[:-1]) | (starts[1:] != starts[:-1] + 1)])) if len(starts) else np.zeros(0, np.int64)
     n = np.diff(np.concatenate([first, [len(starts)]]))
     return starts[first], n, places[first]
 
 
-def later_ones(key: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Which rows come after another row of the same key, by (doc, at)."""
-    order = np.lexsort((at, doc, key))
-    late = np.zeros(len(key), bool)
-    late[order[1:]] = key[order[1:]] == key[order[:-1]]
-    return late
-
-
-def settle_chunks(found: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
-    """(spans, open chunks) from FOUND rows: chunks that are not the first of their kind go; of grams that have
-    different chunks the first of each stays open. A chunk has at most one row a shard here, so windows stay small."""
-    opened = found.where(F.col("kind") == OPEN)
-    by_chunk = Window.partitionBy("gram", "chunk").orderBy("doc", "a")
-    ranked = opened.withColumn("late", F.row_number().over(by_chunk) > 1)
-    # Grams with different chunks: only minima and maxima are shuffled, and AQE can split a frequent gram's rows.
-    kinds = opened.groupBy("gram").agg(F.min("chunk").alias("least"), F.max("chunk").alias("most")).where("least <> most").select("gram", F.lit(True).alias("various"))
-    marked = ranked.join(kinds, "gram", "left").where(F.col("late") | F.col("various"))
-    marked = written(marked.select("shard", "gram", "doc", "a", "n", "late"), "chunks")
-    late = marked.where("late").select("shard", "doc", "a", (F.col("n") + width - 1).alias("n"))
-    return late, marked.where("not late").select("shard", "gram", "doc", "a", "n")
-
-
 @dataclass(frozen=True)
 class Spec:
     """How an operator sees texts: `units` gives (uint64 units, offsets) of texts in order; `grams` the gram that starts
-    at each unit; `locate` where, at least among given places, grams of the wanted (sorted) set start; `windows` a key for each window's content."""
+    at each unit; `contents` the units as stored in the dictionary, `stored` bytes each. spans: whether repeats within a
+    shard are given as spans at once."""
 
     width: int
     gram: int
+    stored: int
     units: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
     grams: Callable[[np.ndarray], np.ndarray]
-    locate: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
-    windows: Callable[[np.ndarray, np.ndarray], np.ndarray]
-
-
-def in_order(table: pa.Table) -> pa.Table:
-    """(doc, text) rows by id, NULL first, then text: rows that share an id follow one another as one document's parts."""
-    return table.set_column(table.schema.get_field_index("doc"), "doc", pc.fill_null(table["doc"], NO_ID)).sort_by([("doc", "ascending"), ("text", "ascending")])
-
-
-def origins(doc: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """For each row the flat place that its document's place 0 has: the start of the first row of its id."""
-    fresh = np.concatenate([[True], doc[1:] != doc[:-1]])[: len(doc)]
-    return offsets[:-1][fresh][np.cumsum(fresh) - 1] if len(doc) else np.zeros(0, np.int64)
+    contents: Callable[[pa.Array], np.ndarray]
+    spans: bool
 
 
 def selected(spec: Spec, units: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -199,92 +178,207 @@ def count_grams(rows: DataFrame, spec: Spec) -> DataFrame:
     return rows.mapInArrow(run, "gram long, shard int, n int")
 
 
-def _found(shard: int, kind: int, gram: np.ndarray, chunk: np.ndarray, doc: np.ndarray, a: np.ndarray, n: np.ndarray) -> pa.Table:
-    size = len(doc)
-    columns = [np.full(size, shard, np.int32), np.full(size, kind, np.int32), gram, chunk, doc, a.astype(np.int32), n.astype(np.int32)]
-    return pa.table([pa.array(c) for c in columns], names=["shard", "kind", "gram", "chunk", "doc", "a", "n"])
+FOUND_NAMES = ["shard", "kind", "gram", "phrase", "doc", "a", "n", "copies"]
+FOUND_TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+CONTENT_NAMES = ["gram", "slice", "phrase", "k", "shard", "doc", "a", "n", "content"]
+CONTENT_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+LATE_NAMES = ["gram", "phrase", "k", "shard", "doc", "a", "n", "first_doc", "first_a"]
+LATE_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
 
 
-def _settled(shard: int, gram: np.ndarray, chunk: np.ndarray, doc: np.ndarray, a: np.ndarray, n: np.ndarray, tail: int) -> pa.Table:
-    """FOUND rows of one shard: the first of each (gram, chunk) stays open, later ones go, merged to spans."""
-    late = later_ones(mix(gram * M1 + mix(chunk)), doc, a)
-    gone = merge_spans(doc[late], a[late], n[late] + tail)
-    none = np.zeros(len(gone[0]), np.int64)
-    kept = [x[~late] for x in (gram.view(np.int64), chunk.view(np.int64), doc, a, n)]
-    return pa.concat_tables([_found(shard, REMOVED, none, none, *gone), _found(shard, OPEN, *kept)])
+def _rows(types: list[pa.DataType], names: list[str], *columns: np.ndarray | pa.Array | int) -> pa.Table:
+    """A table of the given columns; numbers stand for columns of one value."""
+    size = next((len(c) for c in columns if not isinstance(c, int)), 0)
+    full = [pa.repeat(pa.scalar(c, t), size) if isinstance(c, int) else pa.array(c).cast(t) for c, t in zip(columns, types, strict=True)]
+    return pa.table(full, names=names)
 
 
-def find_chunks(rows: DataFrame, wanted: DataFrame, spec: Spec) -> DataFrame:
-    """FOUND rows: the chunks of all windows whose selected gram recurs, settled within each shard."""
+def find_phrases(rows: DataFrame, wanted: DataFrame, spec: Spec) -> DataFrame:
+    """FOUND rows: each shard's distinct phrases of recurring triggers, with the first place and the count there."""
 
     def run(docs: pa.Table, grams: pa.Table) -> pa.Table:
         if not docs.num_rows or not grams.num_rows:
-            return pa.table([pa.array([], t) for t in FOUND_TYPES], names=FOUND_NAMES)
+            return _rows(FOUND_TYPES, FOUND_NAMES, *([[]] * len(FOUND_NAMES)))
         shard = docs["shard"][0].as_py()
-        docs = in_order(docs)
+        docs = docs.sort_by("doc")
         units, offsets = spec.units(docs["text"].combine_chunks())
         keys, starts, places = selected(spec, units, offsets)
-        hit = spec.locate(keys, np.unique(grams["gram"].to_numpy()).view(np.uint64), places)[places]
-        lo, n, place = chunks_of(starts[hit], places[hit])
-        chunk = range_hash(prefix_hashes(units), lo, lo + n + spec.width - 1) ^ mix((place - lo).astype(np.uint64))
+        kept = np.unique(grams["gram"].to_numpy()).view(np.uint64)
+        chosen = distinct_places(places, len(units))
+        known = np.zeros(len(units), bool)
+        known[chosen] = kept[np.minimum(np.searchsorted(kept, keys[chosen]), len(kept) - 1)] == keys[chosen]
+        hit = known[places]
+        lo, n, place = phrases_of(starts[hit], places[hit])
+        name = range_hash(prefix_hashes(units), lo, lo + n + spec.width - 1) ^ mix((place - lo).astype(np.uint64))
         row = np.searchsorted(offsets, lo, side="right") - 1
-        doc = docs["doc"].to_numpy()
-        return _settled(shard, keys[place], chunk, doc[row], lo - origins(doc, offsets)[row], n, spec.width - 1)
+        gram, doc, a = keys[place], docs["doc"].to_numpy()[row], lo - offsets[row]
+        # lo rises in the order of the corpus, so a stable sort puts each phrase's first place first.
+        order = np.argsort(mix(gram * M1 + mix(name)), kind="stable")
+        key = mix(gram * M1 + mix(name))[order]
+        fresh = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
+        first = order[fresh]
+        copies = np.diff(np.concatenate([np.flatnonzero(fresh), [len(key)]]))
+        out = _rows(FOUND_TYPES, FOUND_NAMES, shard, OPEN, gram[first].view(np.int64), name[first].view(np.int64), doc[first], a[first], n[first], copies)
+        if not spec.spans:
+            return out
+        late = np.sort(order[~fresh])
+        who, start, size = merge_spans(doc[late], a[late], n[late] + spec.width - 1)
+        return pa.concat_tables([out, _rows(FOUND_TYPES, FOUND_NAMES, shard, REMOVED, 0, 0, who, start, size, 0)])
 
     return rows.groupBy("shard").cogroup(wanted.groupBy("shard")).applyInArrow(run, FOUND)
 
 
-def open_windows(rows: DataFrame, chunks: DataFrame, spec: Spec) -> DataFrame:
-    """FOUND rows of the single windows in open chunks, settled within each shard; n is 1."""
+def dictionary(opened: DataFrame) -> DataFrame:
+    """(gram, phrase, shard, doc, a, n, copies, places) of each distinct phrase: its first place in the parse, all its
+    occurrences, and in how many shards it is. Minima and sums are combined map-side."""
+    least = F.min(F.struct("doc", "a", "shard", "n")).alias("f")
+    found = opened.groupBy("gram", "phrase").agg(least, F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("places"))
+    return found.select("gram", "phrase", "f.shard", "f.doc", "f.a", "f.n", "copies", "places")
+
+
+def various(phrases: DataFrame) -> DataFrame:
+    """The phrases whose trigger has others as well, with the number of slices that a hot trigger's windows are dealt to
+    (0 for others). The join lets AQE split a frequent trigger's phrases."""
+    kinds = phrases.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > 1)
+    slices = F.when(F.col("kinds") > HOT_PHRASES, F.ceil(F.col("kinds") * 16 / HOT_PHRASES).cast("int")).otherwise(F.lit(0))
+    return phrases.join(kinds, "gram").select("shard", "gram", "phrase", "doc", "a", "n", slices.alias("slices"))
+
+
+def phrase_contents(rows: DataFrame, opened: DataFrame, spec: Spec) -> DataFrame:
+    """CONTENTS of the opened phrases, read from their first places."""
 
     def run(docs: pa.Table, opened: pa.Table) -> pa.Table:
         if not docs.num_rows or not opened.num_rows:
-            return pa.table([pa.array([], t) for t in FOUND_TYPES], names=FOUND_NAMES)
+            return _rows(CONTENT_TYPES, CONTENT_NAMES, *([[]] * len(CONTENT_NAMES)))
         shard = docs["shard"][0].as_py()
-        docs = docs.filter(pc.is_in(pc.fill_null(docs["doc"], NO_ID), opened["doc"].combine_chunks()))
-        docs = in_order(docs)
-        units, offsets = spec.units(docs["text"].combine_chunks())
-        doc = docs["doc"].to_numpy()
-        origin = origins(doc, offsets)
-        which, a, n = opened["doc"].to_numpy(), opened["a"].to_numpy().astype(np.int64), opened["n"].to_numpy().astype(np.int64)
-        start = origin[np.searchsorted(doc, which)] + a
-        total = np.concatenate([[0], np.cumsum(n)])
-        at = np.arange(total[-1]) - np.repeat(total[:-1] - start, n)
-        gram = np.repeat(opened["gram"].to_numpy().view(np.uint64), n)
-        return _settled(shard, gram, spec.windows(units, at), np.repeat(which, n), at - np.repeat(start - a, n), np.ones(len(at), np.int64), spec.width - 1)
-
-    return rows.groupBy("shard").cogroup(chunks.groupBy("shard")).applyInArrow(run, FOUND)
+        docs = docs.filter(pc.is_in(docs["doc"], opened["doc"].combine_chunks())).sort_by("doc")
+        texts = docs["text"].combine_chunks()
+        units, offsets = spec.units(texts)
+        data = spec.contents(texts)
+        gram, phrase, which, a, n, slices = (opened[c].to_numpy() for c in ("gram", "phrase", "doc", "a", "n", "slices"))
+        start = offsets[np.searchsorted(docs["doc"].to_numpy(), which)] + a
+        hot = slices > 0
+        # The windows of hot triggers are parts of their own, dealt by a hash of their content.
+        at = np.arange(n[hot].sum()) + np.repeat(start[hot] - np.concatenate([[0], np.cumsum(n[hot])])[:-1], n[hot])
+        slice_of = range_hash(prefix_hashes(units), at, at + spec.width) % np.repeat(slices[hot], n[hot]).astype(np.uint64) if len(at) else np.zeros(0, np.uint64)
+        begin = np.concatenate([start[~hot], at])
+        key, name, doc, place = (np.concatenate([x[~hot], np.repeat(x[hot], n[hot])]) for x in (gram, phrase, which, a))
+        none = np.zeros(int((~hot).sum()), np.int64)
+        k = np.concatenate([none, at - np.repeat(start[hot], n[hot])])
+        count = np.concatenate([n[~hot], np.ones(len(at), n.dtype)])
+        size = (count + spec.width - 1).astype(np.int64) * spec.stored
+        ends = np.concatenate([[0], np.cumsum(size)])
+        raw = data[np.arange(ends[-1]) + np.repeat(begin * spec.stored - ends[:-1], size)]
+        content = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(raw)])
+        part = np.concatenate([none, slice_of.astype(np.int64)])
+        return _rows(CONTENT_TYPES, CONTENT_NAMES, key, part, name, k, shard, doc, place + k, count, content)
+
+    return rows.groupBy("shard").cogroup(opened.groupBy("shard")).applyInArrow(run, CONTENTS)
+
+
+def equal_suffixes(data: np.ndarray, starts: np.ndarray, group: np.ndarray, width: int, stored: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes of `data` (bytes) at `starts` in sorted order, as far as they agree with a neighbour of their group
+    in their first width * stored bytes: (which, class), classes counted in sorted order.
+
+    A suffix array to that depth, built by eight bytes at a time; a suffix that has parted from all others is let go.
+    """
+    lanes = np.ndarray((max(0, len(data) - 7),), ">u8", data, strides=(1,))
+    size = width * stored
+    active, cls = np.arange(len(starts)), group
+    for lane in [*range(0, size - 7, 8), *([size - 8] if size % 8 else [])]:
+        key = lanes[starts[active] + lane].astype(np.uint64)
+        order = np.lexsort((key, cls))
+        key, cls, active = key[order], cls[order], active[order]
+        fresh = np.concatenate([[True], (cls[1:] != cls[:-1]) | (key[1:] != key[:-1])])[: len(cls)]
+        lone = fresh & np.concatenate([fresh[1:], [True]])[: len(fresh)]
+        cls, active = np.cumsum(fresh)[~lone], active[~lone]
+        if not len(active):
+            break
+    return active, cls
+
+
+def late_windows(parts: DataFrame, spec: Spec) -> DataFrame:
+    """LATE rows of CONTENTS: windows of the dictionary that equal one of a phrase with an earlier place.
+
+    Parts of one trigger (and slice) meet in one partition, sorted, and are taken by whole groups of about SORTED_BYTES.
+    """
 
+    def settle(table: pa.Table) -> pa.Table:
+        content = table["content"].combine_chunks().cast(pa.large_binary())
+        offsets = np.frombuffer(content.buffers()[1], np.int64)[content.offset : content.offset + len(content) + 1]
+        data = np.frombuffer(content.buffers()[2], np.uint8)
+        n = table["n"].to_numpy().astype(np.int64)
+        gram, part = table["gram"].to_numpy(), table["slice"].to_numpy()
+        group = np.cumsum(np.concatenate([[0], (gram[1:] != gram[:-1]) | (part[1:] != part[:-1])]))
+        owner = np.repeat(np.arange(len(n)), n)
+        step = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+        which, cls = equal_suffixes(data, offsets[owner] + step * spec.stored, group[owner], spec.width, spec.stored)
+        doc, at = table["doc"].to_numpy()[owner[which]], (table["a"].to_numpy()[owner] + step)[which]
+        order = np.lexsort((at, doc, cls))
+        which, cls, doc, at = which[order], cls[order], doc[order], at[order]
+        head = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]])[: len(cls)])
+        size = np.diff(np.concatenate([head, [len(cls)]]))
+        first_doc, first_at = np.repeat(doc[head], size), np.repeat(at[head], size)
+        late = np.ones(len(cls), bool)
+        late[head] = False
+        order = np.argsort(which[late])
+        which, doc, at, first_doc, first_at = (x[late][order] for x in (which, doc, at, first_doc, first_at))
+        # Neighbouring windows of one phrase whose first places are neighbours too make one row.
+        near = (which[1:] == which[:-1] + 1) & (owner[which[1:]] == owner[which[:-1]]) & (first_doc[1:] == first_doc[:-1]) & (first_at[1:] == first_at[:-1] + 1)
+        head = np.flatnonzero(np.concatenate([[True], ~near])[: len(which)])
+        size = np.diff(np.concatenate([head, [len(which)]]))
+        part = owner[which[head]]
+        name, shard = table["phrase"].to_numpy()[part], table["shard"].to_numpy()[part]
+        k = table["k"].to_numpy()[part] + step[which[head]]
+        return _rows(LATE_TYPES, LATE_NAMES, gram[part], name, k, shard, doc[head], at[head], size, first_doc[head], first_at[head])
 
-def repeated_spans(rows: DataFrame, spec: Spec) -> DataFrame:
-    """SPANS of all units covered by a window that starts earlier elsewhere. Each step is written and read again."""
-    wanted = written(recurring(written(count_grams(rows, spec), "grams")), "recurring")
-    found = written(find_chunks(rows, wanted, spec), "found", FOUND)
-    late, opened = settle_chunks(found, spec.width)
-    windows = written(open_windows(rows, opened, spec), "windows", FOUND)
-    last = settle_windows(windows.where(F.col("kind") == OPEN).withColumnRenamed("chunk", "window"), spec.width)
-    gone = [x.where(F.col("kind") == REMOVED).select("shard", "doc", "a", "n") for x in (found, windows)]
-    return written(gone[0].unionByName(gone[1]).unionByName(late).unionByName(last), "spans", SPANS)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        size = 0
+        for batch in batches:
+            held.append(pa.Table.from_batches([batch]))
+            size += batch.nbytes
+            if size > SORTED_BYTES:
+                table = pa.concat_tables(held)
+                gram, part = table["gram"].to_numpy(), table["slice"].to_numpy()
+                other = np.flatnonzero((gram != gram[-1]) | (part != part[-1]))
+                cut = int(other[-1]) + 1 if len(other) else 0  # the last group may go on
+                if cut:
+                    yield from to_batches(settle(table.slice(0, cut)), 50_000)
+                held, size = [table.slice(cut)], (table.num_rows - cut) * table.nbytes // table.num_rows
+        if held and (table := pa.concat_tables(held)).num_rows:
+            yield from to_batches(settle(table), 50_000)
+
+    return parts.repartition("gram", "slice").sortWithinPartitions("gram", "slice").mapInArrow(run, LATE)
+
+
+def repeated_phrases(rows: DataFrame, spec: Spec, steps: Steps) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(found, phrases, late): FOUND rows, the dictionary, and LATE rows of its windows. Each step is written and read
+    again; steps that no later one reads are deleted."""
+    grams = steps.write(count_grams(rows, spec), "grams")
+    wanted = steps.write(recurring(grams), "recurring")
+    steps.drop("grams")
+    found = steps.write(find_phrases(rows, wanted, spec), "found", FOUND)
+    steps.drop("recurring")
+    phrases = steps.write(dictionary(found.where(F.col("kind") == OPEN)), "phrases")
+    opened = steps.write(various(phrases), "opened")
+    contents = steps.write(phrase_contents(rows, opened, spec), "contents", CONTENTS)
+    steps.drop("opened")
+    late = steps.write(late_windows(contents, spec), "late", LATE)
+    steps.drop("contents")
+    return found, phrases, late
 
 
 def covered(doc: np.ndarray, offsets: np.ndarray, spans: pa.Table) -> np.ndarray:
-    """Mask over the flat units of rows (in_order) that the spans cover."""
+    """Mask over the flat units of rows (by rising doc) that the spans (doc, a, n) cover."""
     size = int(offsets[-1])
     if not spans.num_rows or not size:
         return np.zeros(size, bool)
-    who, a, n = merge_spans(spans["doc"].to_numpy(), spans["a"].to_numpy().astype(np.int64), spans["n"].to_numpy().astype(np.int64))
-    start = origins(doc, offsets)[np.searchsorted(doc, who)] + a
-    edge = np.bincount(start, minlength=size + 1).astype(np.int64) - np.bincount(start + n, minlength=size + 1)
+    start = offsets[np.searchsorted(doc, spans["doc"].to_numpy())] + spans["a"].to_numpy()
+    edge = np.bincount(start, minlength=size + 1).astype(np.int64) - np.bincount(start + spans["n"].to_numpy(), minlength=size + 1)
     return np.cumsum(edge)[:size] > 0
 
 
-def settle_windows(windows: DataFrame, width: int) -> DataFrame:
-    """SPANS rows of windows (shard, gram, window, doc, a) that start later than an equal one."""
-    by = Window.partitionBy("gram", "window").orderBy("doc", "a")
-    late = windows.withColumn("rank", F.row_number().over(by)).where(F.col("rank") > 1)
-    return late.select("shard", "doc", "a", F.lit(width).alias("n"))
-
-
 def merge_spans(doc: np.ndarray, a: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Union of spans per document: maximal runs, sorted. Spans that touch become one."""
     if not len(doc):

@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from framequery.llm import bpe, byte_repeats, components, decontaminate, hmm, pages, passages, quality, simhash, token_files, toxicity
+from framequery.llm import bpe, byte_repeats, components, decontaminate, hmm, pages, passages, quality, repeats, simhash, token_files, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -138,7 +138,7 @@ def brute_repeats(rows, split, width):
 def test_op10_against_brute_force(spark, docs, rows, monkeypatch):
     monkeypatch.setattr("framequery.llm.repeats.SHARD_BYTES", 20_000)
     want = brute_repeats(rows, WORD.findall, 20)
-    got = {r.doc_id: r for r in passages.remove_passages(docs, carry=("n_words",) if False else ("fp",)).collect()}
+    got = {r.doc_id: r for r in passages.remove_passages(docs, carry=("n_words", "fp")).collect()}
     for i, (words, gone) in want.items():
         assert (got[i].n_words, got[i].n_removed, got[i].fp) == (len(words), sum(gone), "clash"), i
         assert got[i].kept == " ".join(w for w, g in zip(words, gone) if not g)
@@ -166,6 +166,39 @@ def test_op2_against_brute_force(spark, docs, rows, monkeypatch):
     assert byte_repeats.remove_repeated_bytes(odd_rows(spark, docs), digests=True).count() == len(rows) + 3
 
 
+@pytest.mark.parametrize("hot", [1, 20_000])
+def test_op2_and_op10_with_hot_triggers_and_text_ids(spark, rows, monkeypatch, hot):
+    """The same windows go whether a trigger's phrases meet in one group or are dealt over slices; ids may be texts."""
+    monkeypatch.setattr("framequery.llm.repeats.SHARD_BYTES", 10_000)
+    monkeypatch.setattr("framequery.llm.repeats.HOT_PHRASES", hot)
+    rnd = random.Random(8)
+    core = " ".join(f"core{k}" for k in range(22))
+    texts = [f"{' '.join(str(rnd.random()) for _ in range(rnd.randint(0, 12)))} {core} {rnd.random()} {rnd.random()}" for _ in range(40)]
+    table = [(f"id{i:05d}", t) for i, t, *_ in rows] + [(f"x{k:03d}", t) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(table, "name string, text string").repartition(3)
+    want = brute_repeats(table, WORD.findall, 20)
+    got = {r.name: r for r in passages.remove_passages(df, id_col="name").collect()}
+    assert {i: (len(w), sum(g)) for i, (w, g) in want.items()} == {i: (r.n_words, r.n_removed) for i, r in got.items()}
+    assert all(got[i].kept == " ".join(w for w, g in zip(words, gone) if not g) for i, (words, gone) in want.items())
+    want = brute_repeats(table, lambda t: list(t.encode()), 100)
+    got = {r.name: r for r in byte_repeats.remove_repeated_bytes(df, id_col="name").collect()}
+    assert {i: bytes(b for b, g in zip(data, gone) if not g) for i, (data, gone) in want.items()} == {i: bytes(r.kept) for i, r in got.items()}
+
+
+def test_equal_suffixes_against_all_pairs():
+    rnd = random.Random(1)
+    for stored, width in ((1, 10), (8, 3)):
+        data = np.array([rnd.randint(0, 1) for _ in range(400 * stored)], np.uint8)
+        starts = np.arange(300) * stored
+        group = np.arange(300) // 150
+        which, cls = repeats.equal_suffixes(data, starts, group, width, stored)
+        names = [(g, data[a : a + width * stored].tobytes()) for a, g in zip(starts, group)]
+        common = Counter(names)
+        assert sorted(which) == [k for k in range(300) if common[names[k]] > 1]
+        assert [names[k] for k in which] == sorted(names[k] for k in which)
+        assert all((names[a] == names[b]) == (x == y) for a, b, x, y in zip(which, which[1:], cls, cls[1:]))
+
+
 def brute_fingerprint(text):
     words = WORD.findall((text or "").translate(LOWER))
     grams = [" ".join(words[k : k + 3]) for k in range(len(words) - 2)] if len(words) >= 3 else [" ".join(words)] * bool(words)
