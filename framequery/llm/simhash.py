@@ -22,8 +22,13 @@ from framequery.llm.words import rebatched, split_words, to_batches
 
 SEED = 42
 #: Shingles whose 64 bits are counted at once.
-COUNT_ROWS = 400_000
+COUNT_ROWS = 200_000
+#: Text, or a part of a longer text's shingles, that is hashed at once.
+TEXT_BYTES = 2 << 20
+HASHED_AT_ONCE = 100_000
 PAIRS_AT_ONCE = 2_000_000
+#: Rows of whole anchors that are compared at once.
+ROWS_AT_ONCE = 100_000
 
 
 def hash_shingles(flat: pa.Array, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -36,11 +41,12 @@ def hash_shingles(flat: pa.Array, offsets: np.ndarray, n: int) -> tuple[np.ndarr
     starts = np.arange(out[-1]) + np.repeat(offsets[:-1] - out[:-1], counts)
     short = np.repeat(lengths < n, counts)
     hashes = np.zeros(len(starts), np.uint64)
-    whole = starts[~short]
-    if len(whole):
-        parts = [flat.take(pa.array(whole + k)) for k in range(n)]
+    whole = np.flatnonzero(~short)
+    for c in range(0, len(whole), HASHED_AT_ONCE):
+        some = whole[c : c + HASHED_AT_ONCE]
+        parts = [flat.take(pa.array(starts[some] + k)) for k in range(n)]
         joined = pc.binary_join_element_wise(*parts, pa.scalar(" ", parts[0].type)).cast(pa.large_binary())
-        hashes[~short] = np.fromiter((xxh64_intdigest(b, SEED) for b in joined.to_pylist()), np.uint64, len(whole))
+        hashes[some] = np.fromiter((xxh64_intdigest(b, SEED) for b in joined.to_pylist()), np.uint64, len(some))
     for k in np.flatnonzero(short):
         d = int(np.searchsorted(out, k, side="right") - 1)
         text = " ".join(flat.slice(int(offsets[d]), int(lengths[d])).to_pylist())
@@ -76,7 +82,7 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
     """(id, fp long): SimHash of each whole text; A-Z lower-cased, shingles counted with repeats. NULL text: 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in rebatched(batches, 16 << 20):
+        for table in rebatched(batches, TEXT_BYTES):
             flat, offsets = split_words(table.column(1), lower=True)
             fp = majority_bits(*hash_shingles(flat, offsets, words))
             yield from to_batches(pa.table([table.column(0), pa.array(fp.view(np.int64))], names=[id_col, "fp"]))
@@ -152,9 +158,10 @@ def forest_of_links(group: np.ndarray, home: np.ndarray, node: np.ndarray, fp: n
 def links(distinct: DataFrame, most: int = 3, hot_rows: int = 50_000) -> DataFrame:
     """(a, b) edges between nodes of distinct fingerprints (node long, fp long) that connect all within `most` bits.
 
-    most is 3 at the most (the halves' guarantee). Rows go to their anchor's partition; an anchor with over `hot_rows`
-    rows is split: its homes are dealt over slices and its replicas go to each, so no task holds more than a slice of
-    homes, and no pair is lost. Each partition gives a spanning forest of its links, never all pairs.
+    most is 3 at the most (the halves' guarantee). Rows go to their anchor's partition, which takes them anchor by anchor.
+    An anchor with over `hot_rows` rows is split on both sides: its homes and its other rows are dealt over slices, and
+    each pair of slices is a group of its own, so no group holds more than about twice `hot_rows`, and no pair is lost.
+    Each group gives a spanning forest of its links, never all pairs.
     """
     if most > 3:
         raise ValueError("two halves cover at most 3 differing bits")
@@ -169,34 +176,53 @@ def links(distinct: DataFrame, most: int = 3, hot_rows: int = 50_000) -> DataFra
     hot = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows).select("anchor", F.ceil(F.col("n") / hot_rows).cast("int").alias("slices"))
     sliced = rows.join(hot, "anchor", "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
     own = F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")
-    dealt = sliced.select("anchor", "home", "node", "fp", F.explode(F.when(F.col("home"), F.array(own)).otherwise(F.sequence(F.lit(0), F.col("slices") - 1))).alias("slice"))
-    # At a split anchor a home must meet the homes of other slices as well.
-    extra = sliced.where(F.col("home") & (F.col("slices") > 1)).select(
-        "anchor", F.lit(False).alias("home"), "node", "fp", F.explode(F.filter(F.sequence(F.lit(0), F.col("slices") - 1), lambda s: s != own)).alias("slice")
-    )
+    every = F.sequence(F.lit(0), F.col("slices") - 1)
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
+    def cell(home: bool, slice_of: F.Column) -> F.Column:
+        return F.struct(F.lit(home).alias("home"), slice_of.alias("slice"))
+
+    # Cell (h, r) of a split anchor has the homes of slice h, and as others all rows of slice r.
+    as_home = F.transform(every, lambda r: cell(True, own * F.col("slices") + r))
+    as_other = F.transform(every, lambda h: cell(False, h * F.col("slices") + own))
+    cells = F.when(~F.col("home"), as_other).when(F.col("slices") > 1, F.concat(as_home, as_other)).otherwise(as_home)
+    dealt = sliced.select("anchor", "node", "fp", F.explode(cells).alias("c")).select("anchor", "c.slice", "c.home", "node", "fp")
+
+    def joined(table: pa.Table) -> Iterator[pa.RecordBatch]:
         anchor, part, home, node, fp = (table.column(k).to_numpy() for k in range(5))
-        order = np.lexsort((part, anchor))
-        anchor, part, home, node, fp = anchor[order], part[order], home[order], node[order], fp[order].view(np.uint64)
         group = np.cumsum(np.concatenate([[0], (anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1])]))
-        a, b = forest_of_links(group, home.astype(bool), node, fp, most)
+        a, b = forest_of_links(group, home.astype(bool), node, fp.view(np.uint64), most)
         yield from to_batches(pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]))
 
-    met = dealt.unionByName(extra).select("anchor", "slice", "home", "node", "fp").repartition("anchor", "slice")
-    return met.mapInArrow(compare, "a long, b long")
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        size = 0
+        for batch in batches:
+            held.append(pa.Table.from_batches([batch]))
+            size += batch.num_rows
+            if size > ROWS_AT_ONCE:
+                table = pa.concat_tables(held)
+                anchor, part = table.column(0).to_numpy(), table.column(1).to_numpy()
+                other = np.flatnonzero((anchor != anchor[-1]) | (part != part[-1]))
+                cut = int(other[-1]) + 1 if len(other) else 0  # the last group may go on
+                if cut:
+                    yield from joined(table.slice(0, cut))
+                held, size = [table.slice(cut)], size - cut
+        if size:
+            yield from joined(pa.concat_tables(held))
+
+    return dealt.repartition("anchor", "slice").sortWithinPartitions("anchor", "slice").mapInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, most: int = 3, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component_id): fp as a long; component_id is the least id that a row reaches over links.
 
     Equal fingerprints are one class from the start, so copies are never paired. Rows with a NULL id get their class's
-    component (NULL where no row of it has an id). Fingerprints are written once to the shared folder.
+    component (NULL where no row of it has an id). Fingerprints are written once to the shared folder. Ids are whole
+    numbers; repeated rows come out as often as they are there, and an empty table gives none. Other columns aren't
+    read. Memory is bounded by a batch of text, a document's shingles, and a group of `links`.
     """
+    if docs.schema[id_col].dataType.simpleString() not in ("bigint", "int", "smallint", "tinyint"):
+        raise ValueError(f"{id_col} must be a whole number: components are named by their least id")
     spark = docs.sparkSession
     path = shared_folder(spark, "fingerprints")
     fingerprints(docs, words, id_col, text_col).write.parquet(path)
