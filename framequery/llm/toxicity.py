@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framequery.llm.words import hash_strings, rebatched, split_words, to_batches, unique_words
+from framequery.llm.words import hash_strings, mix, rebatched, split_words, to_batches, unique_words
 
 #: Beginnings of words, in letters, that count as features beside the whole words.
 PREFIXES = (3, 4, 5, 6)
@@ -112,46 +112,51 @@ def train_chain(
     docs: DataFrame, labels: DataFrame, categories: dict[str, F.Column], max_labelled: int = 6000, max_features: int = 3000,
     folds: int = 4, rounds: int = 150, l2: float = 1e-4, id_col: str = "doc_id", text_col: str = "text",
 ) -> ChainModel:
-    """Fit the chain on at most `max_labelled` labelled documents, those with the least hash of their id.
+    """Fit the chain on at most `max_labelled` rows of labelled documents, those with the least hashes of id and text.
 
     categories: name -> expression over `labels` that is true, false or NULL (row left out), in the chain's order.
-    Documents with clashing labels count as true. The bound on documents is a parameter, so what reaches the driver is
-    bounded; with no labelled document every probability is 0.
+    Documents with clashing labels count as true; rows without an id have no label. The bound on rows is a parameter, so
+    what reaches the driver is bounded; with no labelled document every probability is 0. Folds go by a hash of the
+    text, so copies of a text never part: no out-of-fold prediction has seen its own text.
     """
     names = tuple(categories)
     marked = labels.select(F.col(id_col), *(c.cast("boolean").alias(f"_c{k}") for k, c in enumerate(categories.values()))).dropna()
     grouped = marked.groupBy(id_col).agg(*(F.max(f"_c{k}").alias(f"_c{k}") for k in range(len(names))))
     # Bounded by the parameter, so it may be broadcast.
     sample = F.broadcast(grouped.orderBy(F.xxhash64(id_col), id_col).limit(max_labelled))
-    known = docs.select(id_col, text_col).join(sample, id_col).select(text_col, *(f"_c{k}" for k in range(len(names))))
+    labelled = docs.select(id_col, text_col).join(sample, id_col)
+    known = labelled.select(
+        text_col, F.xxhash64(id_col).alias("_key"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("_hash"), *(f"_c{k}" for k in range(len(names)))
+    )
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in rebatched(batches, 4 << 20):
             row, feature = doc_features(table.column(0).combine_chunks(), None)
             ends = np.searchsorted(row, np.arange(table.num_rows + 1))
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(feature.astype(np.int32)))
-            yield from to_batches(pa.table([lists, *table.columns[1:]], names=["features", *(f"c{k}" for k in range(len(names)))]))
+            yield from to_batches(pa.table([lists, *table.columns[1:]], names=["features", "key", "hash", *(f"c{k}" for k in range(len(names)))]))
 
-    found = known.mapInArrow(features, ", ".join(["features array<int>", *(f"c{k} boolean" for k in range(len(names)))])).toArrow()
-    # Rows come in no fixed order; sorting them makes the folds and the fit the same in every run.
+    rows = known.mapInArrow(features, ", ".join(["features array<int>, key long, hash long", *(f"c{k} boolean" for k in range(len(names)))]))
+    # An id may have many rows: repeated ones count once, and the bound holds again for rows.
+    found = rows.dropDuplicates(["key", "hash"]).orderBy("key", "hash").limit(max_labelled).toArrow()
+    # Rows come in no fixed order; sorting them makes the fit the same in every run.
     lists = found.column("features").combine_chunks() if found.num_rows else pa.array([], pa.list_(pa.int32()))
     y = np.stack([found.column(f"c{k}").to_numpy().astype(bool) for k in range(len(names))], axis=1) if found.num_rows else np.zeros((0, len(names)), bool)
     if not found.num_rows:
         zero = np.zeros((len(names), 0))
         return ChainModel(names, np.zeros(0, np.int64), zero, np.full(len(names), -30.0), np.zeros((len(names), len(names))))
     columns, offsets = lists.flatten().to_numpy().astype(np.int64), lists.offsets.to_numpy().astype(np.int64)
-    counts = np.diff(offsets)
-    weight = np.concatenate([[0], np.cumsum(columns * np.int64(2654435761) % 1_000_003)])
-    order = np.lexsort((weight[offsets[1:]] - weight[offsets[:-1]], counts))
+    counts, text = np.diff(offsets), found.column("hash").to_numpy()
+    order = np.lexsort((*y.T, text))
     back = np.empty(len(order), np.int64)
     back[order] = np.arange(len(order))
     rows = back[np.repeat(np.arange(len(counts)), counts)]
-    y = y[order]
+    y, text = y[order], text[order]
     buckets = select_features(rows, columns, y, max_features)
     at = np.minimum(np.searchsorted(buckets, columns), max(0, len(buckets) - 1))
     hit = buckets[at] == columns if len(buckets) else np.zeros(len(columns), bool)
     rows, columns, n, width = rows[hit], at[hit], len(y), len(buckets)
-    fold = np.arange(n) % folds
+    fold = (mix(text.view(np.uint64)) % np.uint64(folds)).astype(np.int64)
     everyone = np.ones(n, bool)
     earlier = np.zeros((n, 0))
     weights, bias, chained = [], [], np.zeros((len(names), len(names)))
@@ -182,7 +187,7 @@ def score_chain(docs: DataFrame, model: ChainModel, text_col: str = "text") -> D
     place = columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in rebatched(batches, 8 << 20):
+        for table in rebatched(batches, 4 << 20):
             n = table.num_rows
             row, feature = doc_features(table.column(place).combine_chunks(), model.buckets)
             found = np.zeros((n, len(names)))
@@ -201,6 +206,11 @@ def label_categories() -> dict[str, F.Column]:
 
 
 def toxic_verdicts(docs: DataFrame, labels: DataFrame, threshold: float = 0.35) -> DataFrame:
-    """docs plus p_low_quality, p_toxic and toxic (p_toxic >= threshold)."""
+    """docs plus p_low_quality, p_toxic and toxic (p_toxic >= threshold).
+
+    The threshold lies below one half since few documents are toxic, so that the fit leans to the clean side, and since a
+    toxic document that stays costs more than a clean one that goes. Any rows and ids will do, repeated or NULL: each row
+    is judged by its whole text; equal texts get equal verdicts.
+    """
     model = train_chain(docs, labels, label_categories())
     return score_chain(docs, model).withColumn("toxic", F.col("p_toxic") >= threshold)

@@ -9,12 +9,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from framequery.llm import bpe, byte_repeats, components, decontaminate, hmm, pages, passages, quality, repeats, simhash, token_files, toxicity
+from framequery.llm import bpe, byte_repeats, components, decontaminate, hmm, pages, passages, quality, repeats, simhash, token_files, toxicity, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -243,6 +244,22 @@ def test_op5_links_lose_nothing(spark, hot_rows):
     assert [found.get(k, k) for k in range(len(prints))] == root
 
 
+def test_op5_groups_are_taken_in_bounded_pieces(spark, monkeypatch):
+    """Anchors by the piece, long texts by the piece: the results are those of one piece."""
+    rnd = random.Random(3)
+    base = [rnd.getrandbits(64) for _ in range(20)]
+    prints = list({b ^ sum(1 << k for k in rnd.sample(range(64), rnd.randint(0, 3))) for b in base for _ in range(6)})
+    df = spark.createDataFrame([(k, p - (1 << 64) if p >> 63 else p) for k, p in enumerate(prints)], "node long, fp long").repartition(3)
+    want = {r.node: r.component for r in components.connected_components(simhash.links(df)).collect()}
+    monkeypatch.setattr(simhash, "ROWS_AT_ONCE", 5)
+    assert {r.node: r.component for r in components.connected_components(simhash.links(df)).collect()} == want
+    flat, offsets = words.split_words(pa.array(["a b c d e f g", "x", "", "p q r s"]))
+    whole = simhash.hash_shingles(flat, offsets, 3)
+    monkeypatch.setattr(simhash, "HASHED_AT_ONCE", 2)
+    parts = simhash.hash_shingles(flat, offsets, 3)
+    assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all() and whole[1].tolist() == [0, 5, 6, 6, 8]
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.range(60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r.component for r in components.connected_components(edges).collect()} == {0}
@@ -356,6 +373,30 @@ def test_op8_on_held_out_labels(spark):
     assert toxicity.toxic_verdicts(docs.limit(0), labels).count() == 0
 
 
+def test_op8_bounds_rows_and_keeps_copies_in_one_fold(spark):
+    rows = [(1, f"word{k} vile text") for k in range(50)] + [(1, "word0 vile text")] * 50 + [(None, "no id"), (2, "other text"), (2, "other text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 1), (2, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    held = []
+    fit = toxicity._fit
+
+    def spy(r, c, n, width, dense, y, use, l2, rounds):
+        held.append((n, use))
+        return fit(r, c, n, width, dense, y, use, l2, rounds)
+
+    toxicity._fit = spy
+    try:
+        toxicity.train_chain(docs, labels, toxicity.label_categories(), max_labelled=7)
+        assert {n for n, _ in held} == {7}
+        held.clear()
+        toxicity.train_chain(docs, labels, toxicity.label_categories())
+        assert {n for n, _ in held} == {51}
+    finally:
+        toxicity._fit = fit
+    got = toxicity.toxic_verdicts(docs, labels).collect()
+    assert len(got) == len(rows) and len({(r.text, r.p_toxic) for r in got}) == len({t for _, t in rows})
+
+
 def test_op1_base_and_probabilities(spark, docs, rows):
     got = {r.doc_id: r for r in hmm.score_texts(docs, own=20, endings=8, frequent=40, states=3, rounds=3).collect()}
     words = {i: WORD.findall((t or "").translate(LOWER)) for i, t, *_ in rows}
