@@ -28,6 +28,8 @@ SPECULATE_BYTES = 64
 #: Below this code point Python's tables and the tokenizer's agree on lower case, letters and digits (tested).
 PLAIN_BELOW = 0x250
 END = "</w>"
+#: Text that is encoded at once.
+BATCH_BYTES = 6 << 20
 
 
 def byte_letters() -> list[str]:
@@ -335,7 +337,8 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, text_col: str = "text",
     """Encode and decode every whole text: (id, n_tokens, ids ARRAY<INT>, decoded).
 
     NULL and empty texts have no ids and an empty decoded text. A map over partitions: no shuffle, and memory is
-    bounded by a batch of about 32 MB of text (and the longest text).
+    bounded by a batch of BATCH_BYTES of text (and the longest text). Repeated rows and NULL ids come out as they are;
+    other columns aren't read.
     """
     key = docs.schema[id_col].dataType.simpleString()
     return _mapped(docs, tokenizer_path, text_col, id_col, f"{id_col} {key}, n_tokens long, ids array<int>, decoded string", False)
@@ -353,7 +356,7 @@ def _mapped(docs: DataFrame, path: str, text_col: str, id_col: str, schema: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe(path)
         strings = pa.array(bpe.strings, pa.large_string())
-        for table in rebatched(batches):
+        for table in rebatched(batches, BATCH_BYTES):
             texts = table.column(1).combine_chunks()
             values, offsets, ids, id_offsets, spans, index = encode_texts(texts, bpe.encode_chunks)
             runs = join_rows(strings.take(pa.array(ids)), id_offsets)
