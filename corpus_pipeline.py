@@ -2,13 +2,31 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framequery.llm import bpe, decontaminate, passages, simhash, token_files, toxicity
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def columns_apart(stage: Stage) -> Stage:
+    """stage with columns beside doc_id, text and n_chars under names of their own, so that they can't clash with its results."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = {c: f"_carried{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text", "n_chars")}
+        out = stage(spark, docs.withColumnsRenamed(names), sf_dir)
+        return out.withColumnsRenamed({own: c for c, own in names.items()})
+
+    return run
+
 
+@columns_apart
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain rejects go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -20,6 +38,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_row", F.xxhash64("doc_id", "text"))
 
 
+@columns_apart
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the row of least id stays, once; one without an id only where none has one."""
     rows = keyed(docs)
@@ -30,6 +49,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return rows.join(keepers, "_row", "left_semi").dropDuplicates(["_row"]).select(docs.columns)
 
 
+@columns_apart
 def remove_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in 20-word windows that an earlier document has are cut from the texts."""
     carry = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
@@ -37,6 +57,7 @@ def remove_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
+@columns_apart
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a verified passage of the benchmark go."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
