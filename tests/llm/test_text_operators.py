@@ -303,11 +303,16 @@ def test_op3_against_all_pairs(spark):
     want = {(d, i) for d, t in enumerate(texts) for i, x in items if x and f" {x.lower()} " in f" {t.lower()} "}
     assert want <= got and len(want) >= 15
     for d, i in got:
-        q, a = decontaminate.question_answer(dict(items)[i])
+        q = dict(items)[i].lower().split()
+        q = q[: len(q) - max(1, len(q) // 4)] if len(q) > 1 else q
         n = decontaminate.shingles(texts[d].lower().split())
         assert len(decontaminate.shingles(q) & n) >= 0.8 * len(decontaminate.shingles(q)) or len(q) < 5
-    split = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, table, shard_items=7).collect()}
-    assert want <= split
+    whole, split = (sorted((r.doc_id, r.item_id, round(r.score, 9)) for r in decontaminate.contaminated(docs, table, shard_bytes=b).collect()) for b in (32 << 20, 900))
+    assert whole == split and table.agg(F.sum(F.octet_length("text"))).first()[0] > 3 * 900
+    twice = decontaminate.contaminated(docs.unionByName(docs), table.unionByName(table))
+    assert twice.count() == 4 * len(got)
+    odd = docs.unionByName(spark.createDataFrame([(None, " ".join(["far"] * 3000) + " " + items[20][1])], docs.schema))
+    assert decontaminate.contaminated(odd, table).where("doc_id IS NULL AND item_id = 20").count() == 1
     assert decontaminate.contaminated(docs, table.limit(0)).count() == 0
     assert decontaminate.contaminated(docs.limit(0), table).count() == 0
 
@@ -331,21 +336,23 @@ def test_op3_marks_and_an_altered_end_lose_no_passage(spark):
     assert {r.doc_id: (r.question_overlap, r.answer_overlap) for r in got}[0] == (1.0, 1.0)
 
 
-def test_op3_wand_finds_all_above_the_threshold():
+@pytest.mark.parametrize("dense", [0, 4_000_000])
+def test_op3_wand_finds_all_above_the_threshold(monkeypatch, dense):
+    monkeypatch.setattr(decontaminate, "DENSE_SUMS", dense)
+    monkeypatch.setattr(decontaminate, "POSTINGS_AT_ONCE", 500)
     rnd = random.Random(4)
     vocabulary = [f"t{k}" for k in range(60)]
-    index = decontaminate.build_index([(k, [rnd.choice(vocabulary) for _ in range(12)], [rnd.choice(vocabulary) for _ in range(4)]) for k in range(50)])
-    sets = [sorted(rnd.sample(range(len(index.terms)), rnd.randint(1, 30))) for _ in range(200)]
+    items = [[rnd.choice(vocabulary) for _ in range(rnd.randint(1, 16))] for _ in range(50)]
+    index = decontaminate.build_index(pa.array(range(50)), pa.array(" ".join(x) for x in items))
+    place = {t: k for k, t in enumerate(index.terms.to_pylist())}
+    sets = [sorted(rnd.sample(range(len(place)), rnd.randint(1, 30))) for _ in range(200)]
     p, i, s = decontaminate.query_passages(index, np.array([t for x in sets for t in x]), np.array([k for k, x in enumerate(sets) for _ in x]), len(sets))
-    want = {}
-    for k, x in enumerate(sets):
-        scores = Counter()
-        for t in x:
-            for a in range(index.starts[t], index.starts[t + 1]):
-                scores[index.items[a]] += index.impacts[a]
-        want |= {(k, int(n)): v for n, v in scores.items() if v >= index.threshold - 1e-9}
-    assert {(int(a), int(b)) for a, b in zip(p, i)} == set(want)
-    assert all(abs(v - want[int(a), int(b)]) < 1e-9 for a, b, v in zip(p, i, s))
+    df, mean = Counter(t for x in items for t in set(x)), np.mean([len(x) for x in items])
+    impacts = [{place[t]: math.log1p((50 - df[t] + 0.5) / (df[t] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(x) / mean)) for t, c in Counter(x).items()} for x in items]
+    want = {(k, n): sum(w.get(t, 0) for t in x) / sum(w.values()) for k, x in enumerate(sets) for n, w in enumerate(impacts)}
+    want = {k: v for k, v in want.items() if v >= index.threshold - 1e-9}
+    got = {(int(a), index.ids[int(b)].as_py()): v for a, b, v in zip(p, i, s)}
+    assert len(want) > 20 and set(got) == set(want) and all(abs(v - want[k]) < 1e-9 for k, v in got.items())
 
 
 def test_op8_on_held_out_labels(spark):
