@@ -21,14 +21,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framequery.llm.repeats import sharded
 from framequery.llm.steps import finished_steps_leave_no_shuffle
 from framequery.llm.token_files import written
 from framequery.llm.words import hash_strings, rebatched, split_words, to_batches, unique_words
 
-#: Tokens on which forward and backward run at once; longer training documents go on in pieces of PIECE tokens.
+#: Tokens on which forward and backward run at once. A longer document is run by pieces, whose values carry over.
 TOKENS_AT_ONCE = 400_000
 PIECE = 100_000
+#: Text of a shard, which one task scores.
+SHARD_BYTES = 3 << 20
 ENDING = 3
 
 
@@ -164,6 +165,42 @@ def expected_counts(model: Model, classes: np.ndarray, offsets: np.ndarray) -> t
     return starts, moves * model.move, emits, float(np.log(scale).sum(dtype=np.float64))
 
 
+def long_counts(model: Model, classes: np.ndarray, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """expected_counts of one sequence of any length. Forward values are kept at the borders of pieces only; a piece is
+    run forward again when the backward values reach it, so nothing is cut and memory is that of a piece."""
+    states, dtype = len(model.start), model.emit.dtype
+
+    def run(part: np.ndarray, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        alpha, scale = model.emit[part], np.empty(len(part), dtype)
+        for t in range(len(part)):
+            alpha[t] *= model.start if before is None else before @ model.move
+            scale[t] = alpha[t].sum()
+            alpha[t] /= scale[t]
+            before = alpha[t]
+        return alpha, scale
+
+    cuts, borders = list(range(0, len(classes), piece)), [None]
+    for a in cuts[:-1]:
+        borders.append(run(classes[a : a + piece], borders[-1])[0][-1].copy())
+    moves, emits, total, ahead = np.zeros((states, states)), np.zeros((len(model.emit), states)), 0.0, None
+    starts = np.zeros(states)
+    for a, before in zip(cuts[::-1], borders[::-1], strict=True):
+        part = classes[a : a + piece]
+        alpha, scale = run(part, before)
+        seen = model.emit[part] / scale[:, None]
+        for t in range(len(part) - 1, -1, -1):
+            if ahead is not None:
+                moves += np.outer(alpha[t], ahead)
+                beta = model.move @ ahead
+                alpha[t] *= beta
+                seen[t] *= beta
+            ahead = seen[t]
+        emits += np.stack([np.bincount(part, alpha[:, k], len(emits)) for k in range(states)], axis=1)
+        total += float(np.log(scale).sum(dtype=np.float64))
+        starts = alpha[0].astype(np.float64)
+    return starts, moves * model.move, emits, total
+
+
 def first_model(lexicon: Lexicon, states: int, seed: int) -> Model:
     """Sticky states that share the classes' counts, each tilted at random."""
     rng = np.random.default_rng(seed)
@@ -175,12 +212,12 @@ def first_model(lexicon: Lexicon, states: int, seed: int) -> Model:
     return Model(np.full(states, 1.0 / states), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
-def by_length(pieces: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
-    """Sequences in groups of about TOKENS_AT_ONCE tokens and of like length: a group takes as many steps as its longest
-    sequence has tokens, so long ones had better share theirs."""
+def by_length(texts: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """Sequences in groups of at most TOKENS_AT_ONCE tokens (a longer one alone) and of like length: a group takes as many
+    steps as its longest sequence has tokens, so long ones had better share theirs."""
     held: list[np.ndarray] = []
     size = 0
-    for x in sorted(pieces, key=len, reverse=True):
+    for x in sorted(texts, key=len, reverse=True):
         if held and size + len(x) > TOKENS_AT_ONCE:
             yield held
             held, size = [], 0
@@ -203,10 +240,10 @@ def train(codes: DataFrame, lexicon: Lexicon, states: int, rounds: int, seed: in
             starts, moves, emits, total = np.zeros(states), np.zeros((states, states)), np.zeros((size, states)), 0.0
             for table in rebatched(batches):
                 texts = [np.frombuffer(x.as_buffer(), "<u2") for x in table.column(0)]
-                pieces = [x[k : k + PIECE] for x in texts for k in range(0, len(x), PIECE)]
-                for some in by_length(pieces):
+                for some in by_length(texts):
                     offsets = np.concatenate([[0], np.cumsum([len(x) for x in some])]).astype(np.int64)
-                    a, b, c, d = expected_counts(model, np.concatenate(some).astype(np.int64), offsets)
+                    flat = np.concatenate(some).astype(np.int64)
+                    a, b, c, d = expected_counts(model, flat, offsets) if len(flat) <= TOKENS_AT_ONCE else long_counts(model, flat)
                     starts, moves, emits, total = starts + a, moves + b, emits + c, total + d
             flat = np.concatenate([[total], starts, moves.ravel(), emits.ravel()])
             some = np.flatnonzero(flat)
@@ -231,12 +268,16 @@ def score_texts(
 
     Words lower-case A-Z; each text ends with one end token. NULL text counts as empty: its end alone is scored.
     base_score is the add-one unigram's log10 probability, score the model's. A word of count 0 is its ending class's
-    unknown word. Rows that share an id are scored one by one; with no training text all scores are those of the
-    starting model.
+    unknown word. Rows that share an id are scored one by one; ids may be of any type that has a text; with no training
+    text all scores are those of the starting model, and an empty table gives no rows. Other columns aren't read. Texts
+    of any length are learnt from and scored whole.
     """
     held = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 7 == 2
     docs = docs.select(F.col(id_col), F.col(text_col))
     learn = docs.where(~held)
+    total = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+    shard = F.pmod(F.xxhash64(id_col, text_col), F.lit(max(1, -(-total // SHARD_BYTES)))).cast("int")
+    rows = docs.select(shard.alias("shard"), F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("text"), held.alias("held"))
     with finished_steps_leave_no_shuffle(docs.sparkSession):
         counts = written(count_words(learn, text_col), "counts")
         lexicon = build_lexicon(counts, learn.count(), own, endings, frequent)
@@ -253,7 +294,6 @@ def score_texts(
 
         codes = written(learn.select(text_col).mapInArrow(encode, "codes binary"), "codes")
         model, _ = train(codes, lexicon, states, rounds, seed)
-        rows, _ = sharded(docs, id_col, text_col)
 
         def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """The words beyond the frequent ones that each shard's documents in a batch use."""
@@ -268,7 +308,7 @@ def score_texts(
         wanted = rows.select("shard", "text").mapInArrow(rare, "shard int, word string")
         known = written(wanted.join(counts, "word").select("shard", "word", "c"), "shard-counts")
     key = docs.schema[id_col].dataType.simpleString()
-    schema = f"{id_col} {key}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    schema = f"`{id_col}` {key}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def score(texts: pa.Table, counted: pa.Table) -> pa.Table:
         flat, offsets = split_words(texts["text"], lower=True)
@@ -303,12 +343,11 @@ def score_texts(
             a = b
         n = np.diff(ends)
         return pa.table(
-            [texts["doc"], texts["held"], pa.array(n), pa.array(total["known"].astype(np.int64)), pa.array(np.full(len(n), lexicon.n_tokens)), pa.array(total["base"]), pa.array(total["inside"] + path)],
+            [texts["_id"], texts["held"], pa.array(n), pa.array(total["known"].astype(np.int64)), pa.array(np.full(len(n), lexicon.n_tokens)), pa.array(total["base"]), pa.array(total["inside"] + path)],
             names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
-    marked = rows.withColumn("held", F.crc32(F.coalesce(F.col("doc").cast("string"), F.lit(""))) % 7 == 2)
-    return marked.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(score, schema)
+    return rows.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(score, schema)
 
 
 def log_likelihoods(model: Model, classes: np.ndarray, offsets: np.ndarray) -> np.ndarray:

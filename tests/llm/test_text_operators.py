@@ -417,7 +417,7 @@ def test_op1_base_and_probabilities(spark, docs, rows):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(w) + 1, sum(counts[x] > 0 for x in w) + 1, n)
         assert abs(r.base_score - base) < 1e-6 * max(1, abs(base)) and r.score < 0
     assert hmm.score_texts(empty(spark)).count() == 0
-    assert hmm.score_texts(odd_rows(spark, docs), rounds=1).count() == len(rows) + 3
+    assert hmm.score_texts(odd_rows(spark, docs).withColumn("doc_id", F.col("doc_id").cast("int")), rounds=1).count() == len(rows) + 3
 
 
 def test_op1_forward_equals_the_sum_over_paths():
@@ -431,8 +431,46 @@ def test_op1_forward_equals_the_sum_over_paths():
         p = sum(model.start[z[0]] * model.emit[s[0], z[0]] * math.prod(model.move[z[t - 1], z[t]] * model.emit[s[t], z[t]] for t in range(1, len(s))) for z in paths)
         assert abs(g - math.log10(p)) < 1e-9
     starts, moves, emits, total = hmm.expected_counts(model, np.concatenate(seqs), offsets)
-    assert abs(starts.sum() - 4) < 1e-9 and abs(moves.sum() - (offsets[-1] - 4)) < 1e-9 and abs(emits.sum() - offsets[-1]) < 1e-9
     assert abs(total / math.log(10) - got.sum()) < 1e-9
+    want = [np.zeros(3), np.zeros((3, 3)), np.zeros((5, 3))]
+    for s, g in zip(seqs, got):
+        for z in np.stack(np.meshgrid(*[range(3)] * len(s), indexing="ij"), -1).reshape(-1, len(s)):
+            p = model.start[z[0]] * model.emit[s[0], z[0]] * math.prod(model.move[z[t - 1], z[t]] * model.emit[s[t], z[t]] for t in range(1, len(s))) / 10**g
+            want[0][z[0]] += p
+            for t in range(len(s)):
+                want[2][s[t], z[t]] += p
+                if t:
+                    want[1][z[t - 1], z[t]] += p
+    assert all(np.allclose(a, b) for a, b in zip((starts, moves, emits), want))
+
+
+@pytest.mark.parametrize("piece", [1, 3, 7, 100])
+def test_op1_long_texts_by_pieces(piece):
+    rng = np.random.default_rng(3)
+    model = hmm.Model(*(x / x.sum(axis=a, keepdims=True) for x, a in ((rng.random(3), 0), (rng.random((3, 3)), 1), (rng.random((5, 3)), 0))))
+    seq = rng.integers(0, 5, 21)
+    whole, parts = hmm.expected_counts(model, seq, np.array([0, 21])), hmm.long_counts(model, seq, piece)
+    assert all(np.allclose(a, b) for a, b in zip(whole, parts))
+
+
+def test_op1_learns(spark, monkeypatch):
+    """Likelihood rises by the rounds, also where every text is longer than what is run at once; the model of runs of
+    like words beats the single words' counts on texts it has not seen."""
+    rnd = random.Random(4)
+    texts = [" ".join(rnd.choice(("red", "blue", "green") if k // 8 % 2 else ("cat", "dog", "owl")) for k in range(rnd.randint(20, 60))) for _ in range(120)]
+    docs = spark.createDataFrame([(f"d{k}", t) for k, t in enumerate(texts)], "name string, text string").repartition(3)
+    got = hmm.score_texts(docs, own=10, endings=4, frequent=20, states=3, rounds=12, id_col="name").collect()
+    unseen = [r for r in got if r.held_out]
+    assert len(got) == 120 and unseen and all(r.score > r.base_score + 0.1 * r.n_tokens for r in unseen)
+    lexicon = hmm.Lexicon(pa.array(["a", "b"], pa.large_string()), np.array([5, 3]), 2, np.zeros(1, np.int64), np.zeros(1, np.int64), 3, 11, 3)
+    rows = [(np.array([0, 1] * 15 + [3], "<u2").tobytes(),), (np.array([1, 0, 0, 1, 3], "<u2").tobytes(),)]
+    codes = spark.createDataFrame([(bytearray(b),) for (b,) in rows], "codes binary")
+    model, history = hmm.train(codes, lexicon, 2, 8, 1)
+    assert all(b > a - 0.05 for a, b in zip(history, history[1:])) and history[-1] > history[0] + 5
+    monkeypatch.setattr(hmm, "TOKENS_AT_ONCE", 4)
+    again, _ = hmm.train(codes, lexicon, 2, 1, 1)
+    monkeypatch.undo()
+    assert np.allclose(again.move, hmm.train(codes, lexicon, 2, 1, 1)[0].move, atol=1e-5)
 
 
 PAGE = """<html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body><header><a href=/>Home</a></header><nav><ul><li><a>x</a></ul></nav>
