@@ -16,15 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framequery.llm.token_files import written
 from framequery.llm.words import to_batches
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|textarea|svg|math|select|object)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|([^<]+|<)",
-    re.DOTALL | re.IGNORECASE,
-)
+NAME = re.compile(r"/?[a-zA-Z]")
+#: A tag after its "<". Possessive, so that a tag without an end is read once; UNQUOTED is for pages with a stray quote.
+TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+UNQUOTED = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 # Element names of HTML by their part in a page.
+RAW = {tag: re.compile(rf"</{tag}\s*+>", re.IGNORECASE) for tag in "script style noscript template iframe textarea svg math select object".split()}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED = frozenset("head nav footer aside form button menu dialog label fieldset title".split())
 BLOCK = frozenset(
@@ -39,6 +40,13 @@ MARKS = frozenset(
     " footer header masthead comment comments commentlist disqus respond reply replies cookie cookies consent gdpr notice notices alert popup modal"
     " newsletter subscribe subscription signup login share sharing social related recommended widget widgets toolbar pagination pager skip".split()
 )
+# Those of MARKS that may also stand on a paragraph of the article.
+SOFT = frozenset("banner menu header footer notice notices alert social share sharing related recommended reply replies skip widget widgets toolbar promotion".split())
+PROSE = frozenset("p pre blockquote".split())
+#: A paragraph with a soft mark stays if it has so many characters, at most half of them in links.
+PROSE_CHARS = 40
+#: Shares of a block's worth that go to containers further out: halved so often, they no longer count.
+LEAST_SHARE = 2.0**-40
 #: A host's path serves a page of whose own best container it has at least this share.
 HELD = 0.8
 WHITE = re.compile(r"\s+")
@@ -47,14 +55,20 @@ DIGITS = re.compile(r"\d+")
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
+    """An element. step: its part of the path (None: the parent's path). container, article, block: the innermost such
+    element around it, itself included (0: none). doubtful: a paragraph that its marks alone don't decide about."""
+
     tag: str
-    path: str
+    step: str | None
     skipped: bool
     link: bool
     parent: int
-    score: float = 0.0
+    container: int
+    article: int
+    block: int
+    doubtful: bool = False
     text: int = 0
     linked: int = 0
 
@@ -66,10 +80,11 @@ class Page:
     blocks: list[tuple[int, str]] = field(default_factory=list)
 
 
-def _marked(attributes: str) -> tuple[str, bool]:
-    """The generalised class part of a path, and whether the names or the role say it isn't the article."""
+def _marked(attributes: str) -> tuple[str, bool, bool]:
+    """The generalised class part of a path, whether the names or the role say it isn't the article, and whether only
+    soft marks do."""
     if not attributes or "=" not in attributes and "hidden" not in attributes:
-        return "", False
+        return "", False, False
     names: list[str] = []
     classes: list[str] = []
     skipped = False
@@ -86,14 +101,52 @@ def _marked(attributes: str) -> tuple[str, bool]:
             skipped = True
         elif key == "style":
             skipped |= "display:none" in value.replace(" ", "").lower()
-    parts = {p for name in names for p in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower())}
-    return "".join(f".{c}" for c in sorted(DIGITS.sub("#", c.lower()) for c in classes)), skipped or not parts.isdisjoint(MARKS)
+    parts = {p for name in names for p in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower())} & MARKS
+    return "".join(f".{c}" for c in sorted(DIGITS.sub("#", c.lower()) for c in classes)), skipped or bool(parts), bool(parts) and not skipped and parts <= SOFT
+
+
+def tokens(source: str) -> Iterator[tuple[str, str | None, str]]:
+    """(text, None, ""), or (slash, name, attributes) of a tag; an element of RAW is ("", its name, "") as a whole. Time
+    is linear in the page: what is looked for in vain once isn't looked for again."""
+    at, size, last, tag = 0, len(source), source.rfind(">"), TAG
+    while at < size:
+        lt = source.find("<", at)
+        if lt < 0:
+            lt = size
+        if lt > at:
+            yield source[at:lt], None, ""
+        at = lt
+        if lt == size:
+            break
+        if source.startswith("<!--", lt):
+            end = source.find("-->", lt + 4)
+            at = end + 3 if end >= 0 else size
+        elif lt < last and source[lt + 1] in "!?":
+            at = source.find(">", lt) + 1
+        elif lt < last and NAME.match(source, lt + 1):
+            found = tag.match(source, lt + 1)
+            if found is None:  # a quote that never ends
+                tag = UNQUOTED
+                found = tag.match(source, lt + 1)
+            at, name = found.end(), found[2].lower()
+            if found[1] or name not in RAW:
+                yield found[1], name, found[3]
+            else:
+                end = None if found[3].endswith("/") else RAW[name].search(source, at)
+                at = at if found[3].endswith("/") else end.end() if end else size
+                yield "", name, ""
+        else:
+            at = lt + 1
+            yield "<", None, ""
 
 
 def parse(source: str) -> Page:
-    """Nodes and text blocks of a page; unclosed and stray tags are mended as browsers mostly do."""
-    page = Page([Node("", "", False, False, -1)])
+    """Nodes and text blocks of a page, in time linear in its length; unclosed and stray tags are mended as browsers
+    mostly do."""
+    page = Page([Node("", None, False, False, -1, 0, 0, 0)])
     nodes, stack = page.nodes, [0]
+    #: Depths at which elements of a tag are open, so that no stack is searched.
+    depths: dict[str, list[int]] = {}
     held: list[str] = []
     owner = 0
     linked = 0
@@ -102,37 +155,40 @@ def parse(source: str) -> Page:
         nonlocal held, linked
         if held:
             text = WHITE.sub(" ", html_lib.unescape("".join(held))).strip()
-            if text:
-                node = nodes[owner]
+            node = nodes[owner]
+            if text and not (node.doubtful and (len(text) < PROSE_CHARS or 2 * linked > len(text))):
                 page.blocks.append((owner, text))
                 node.text += len(text)
                 node.linked += min(linked, len(text))
             held, linked = [], 0
 
     def close_to(depth: int) -> None:
+        for k in stack[depth:]:
+            depths[nodes[k].tag].pop()
         del stack[depth:]
 
-    for m in TOKEN.finditer(source):
-        text = m[5]
-        if text is not None:
-            if not nodes[stack[-1]].skipped:
+    def deepest(tag: str) -> int:
+        return found[-1] if (found := depths.get(tag)) else 0
+
+    for text, tag, attributes in tokens(source):
+        up = nodes[stack[-1]]
+        if tag is None:
+            if not up.skipped:
                 if not held:
-                    owner = next(k for k in reversed(stack) if not k or nodes[k].tag in BLOCK)
+                    owner = up.block
                 held.append(text)
-                if nodes[stack[-1]].link:
+                if up.link:
                     linked += len(text)
             continue
-        tag = m[3]
-        if tag is None:
-            if m[1]:
-                held.append(" ") if held else None
+        if tag in RAW and not text:
+            if held:
+                held.append(" ")
             continue
-        tag = tag.lower()
-        if m[2]:
-            at = next((d for d in range(len(stack) - 1, 0, -1) if nodes[stack[d]].tag == tag), 0)
-            if tag in BLOCK:
+        block = tag in BLOCK
+        if text:
+            if block:
                 flush()
-            if at:
+            if at := deepest(tag):
                 close_to(at)
             continue
         if tag in VOID:
@@ -141,25 +197,26 @@ def parse(source: str) -> Page:
             elif held:
                 held.append(" ")
             continue
-        block = tag in BLOCK
         if block:
             flush()
-            inside = [nodes[k].tag for k in stack]
-            if "p" in inside[1:]:  # a block ends an open paragraph
-                close_to(len(inside) - 1 - inside[::-1].index("p"))
+            if at := deepest("p"):  # a block ends an open paragraph
+                close_to(at)
             for other in CLOSES.get(tag, ()):
-                inside = [nodes[k].tag for k in stack]
-                if other in inside:
-                    d = len(inside) - 1 - inside[::-1].index(other)
-                    if not {"ul", "ol", "table", "dl"} & set(inside[d:]):
-                        close_to(d)
-        up = nodes[stack[-1]]
-        classes, marked = _marked(m[4])
-        in_article = any(nodes[k].tag in ("article", "main") for k in stack)
-        skipped = up.skipped or tag in SKIPPED or tag == "header" and not in_article or marked and tag not in ("html", "body", "article", "main", *HEADINGS)
-        nodes.append(Node(tag, f"{up.path}/{tag}{classes}" if block else up.path, skipped, up.link or tag == "a", stack[-1]))
-        if not m[4].rstrip().endswith("/") or block:
-            stack.append(len(nodes) - 1)
+                if (at := deepest(other)) and at > max(map(deepest, ("ul", "ol", "table", "dl"))):
+                    close_to(at)
+        up, k = nodes[stack[-1]], len(nodes)
+        classes, marked, soft = _marked(attributes)
+        soft &= tag in PROSE
+        skipped = up.skipped or tag in SKIPPED or tag == "header" and not up.article or marked and not soft and tag not in ("html", "body", "article", "main", *HEADINGS)
+        nodes.append(
+            Node(
+                tag, f"{tag}{classes}" if block else None, skipped, up.link or tag == "a", stack[-1],
+                k if tag in CONTAINER else up.container, k if tag in ("article", "main") else up.article, k if block else up.block, soft,
+            )
+        )
+        if block or not attributes.rstrip().endswith("/"):
+            depths.setdefault(tag, []).append(len(stack))
+            stack.append(k)
     flush()
     return page
 
@@ -168,14 +225,14 @@ def _worth(node: Node, text: str) -> float:
     return len(text) * (1.0 - node.linked / max(1, node.text)) + 20.0 * (node.tag in ("p", "pre", "blockquote"))
 
 
-def _articles(nodes: list[Node], k: int) -> list[int]:
-    """The article and main elements around a node, itself included, from inside to outside."""
-    found = []
+def _path(nodes: list[Node], k: int) -> str:
+    """Generalised tag-class steps from the page to a node, parted by blanks (no tag or class has one)."""
+    steps = []
     while k > 0:
-        if nodes[k].tag in ("article", "main"):
-            found.append(k)
+        if nodes[k].step is not None:
+            steps.append(nodes[k].step)
         k = nodes[k].parent
-    return found
+    return " ".join(reversed(steps))
 
 
 def _totals(page: Page) -> tuple[list[float], list[int], list[int]]:
@@ -192,8 +249,8 @@ def _totals(page: Page) -> tuple[list[float], list[int], list[int]]:
     return worth, text, linked
 
 
-def best_container(page: Page) -> tuple[str, float] | None:
-    """The path of the container of the whole article, and the worth of its text, links not counted.
+def _best(page: Page) -> tuple[int, float] | None:
+    """The container of the whole article, and the worth of its text, links not counted.
 
     The container whose own paragraphs hold the most text wins. From it, the article is all of the article or main
     element around it, then of each container further out whose added text isn't mostly links; no further than the
@@ -204,26 +261,31 @@ def best_container(page: Page) -> tuple[str, float] | None:
     for k, text in page.blocks:
         worth = _worth(nodes[k], text)
         share = 1.0
-        while k > 0:  # full worth to the nearest container, half to the next, and so on
-            if nodes[k].tag in CONTAINER:
-                scores[k] = scores.get(k, 0.0) + worth * share * (1.25 if nodes[k].tag in ("article", "main") else 1.0)
-                share /= 2
-            k = nodes[k].parent
+        k = nodes[k].container
+        while k > 0 and share > LEAST_SHARE:  # full worth to the nearest container, half to the next, and so on
+            scores[k] = scores.get(k, 0.0) + worth * share * (1.25 if nodes[k].tag in ("article", "main") else 1.0)
+            share /= 2
+            k = nodes[nodes[k].parent].container
     if not scores:
         return None
     best = max(scores, key=lambda k: (scores[k], -k))
     worths, texts, links = _totals(page)
-    around = _articles(nodes, best)
-    if around:
-        best = around[0]
-    last = around[-1] if around else 0
+    last, outer = 0, nodes[best].article
+    best = outer or best
+    while outer:
+        last, outer = outer, nodes[nodes[outer].parent].article
     k = best
     while k > last:
-        k = nodes[k].parent
-        if k > 0 and nodes[k].tag in CONTAINER and texts[k] > texts[best]:
-            if 2 * (links[k] - links[best]) <= texts[k] - texts[best]:
-                best = k
-    return nodes[best].path, worths[best]
+        k = nodes[nodes[k].parent].container
+        if k > 0 and texts[k] > texts[best] and 2 * (links[k] - links[best]) <= texts[k] - texts[best]:
+            best = k
+    return best, worths[best]
+
+
+def best_container(page: Page) -> tuple[str, float] | None:
+    """The path of the container of the whole article (see _best), and the worth of its text."""
+    found = _best(page)
+    return found and (_path(page.nodes, found[0]), found[1])
 
 
 def main_text(page: Page, path: str | None) -> str:
@@ -232,7 +294,16 @@ def main_text(page: Page, path: str | None) -> str:
     nodes = page.nodes
 
     def under(path: str) -> tuple[list[str], float]:
-        chosen = {(_articles(nodes, k) or [k])[0] for k, node in enumerate(nodes) if k and node.path == path and node.tag in CONTAINER}
+        steps = path.split(" ")
+        chosen: set[int] = set()
+        matched = [0] * len(nodes)  # how many steps a node's path has in common, -1 once it parts
+        for k, node in enumerate(nodes[1:], 1):
+            m = matched[node.parent]
+            if node.step is not None and m >= 0:
+                m = m + 1 if m < len(steps) and steps[m] == node.step else -1
+            matched[k] = m
+            if m == len(steps) and node.container == k:
+                chosen.add(node.article or k)
         inside = [False] * len(nodes)
         for k, node in enumerate(nodes[1:], 1):
             inside[k] = inside[node.parent] or k in chosen
@@ -272,15 +343,18 @@ def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 
 
 def extract_main_text(
-    pages: DataFrame, id_cols: tuple[str, ...] = ("page_id", "url"), url_col: str = "url", html_col: str = "html", broadcast_hosts: int = 100_000
+    pages: DataFrame, id_cols: tuple[str, ...] = ("page_id", "url"), url_col: str = "url", html_col: str = "html", broadcast_bytes: int = 8 << 20
 ) -> DataFrame:
     """id columns plus text (string, never NULL) of every page. NULL or empty html gives an empty text.
 
-    Only (host, path) rows are shuffled. The winners reach the pages by a broadcast join while there are at most
-    `broadcast_hosts` of them (a counted bound of a few MB), else by a shuffle join whose hot hosts AQE splits.
+    Repeated pages come out as often as they are there; pages without a host share one vote; NULL ids pass through; other
+    columns aren't read; an empty table gives no rows. Only (host, path) rows are shuffled; the winners are written to the
+    shared folder and reach the pages by a broadcast join while hosts and paths have at most `broadcast_bytes`, else by a
+    shuffle join whose hot hosts AQE splits.
     """
-    winners = host_paths(pages, url_col, html_col).select(F.col("host").alias("_host"), F.col("path").alias("_path")).persist()
-    small = winners.limit(broadcast_hosts + 1).count() <= broadcast_hosts
+    winners = written(host_paths(pages, url_col, html_col).select(F.col("host").alias("_host"), F.col("path").alias("_path")), "hosts")
+    size = winners.agg(F.coalesce(F.sum(F.octet_length("_host") + F.octet_length("_path") + 16), F.lit(0))).first()[0]
+    small = size <= broadcast_bytes
     ids = list(dict.fromkeys(id_cols))
     rows = pages.select(*ids, host_of(F.col(url_col)).alias("_host"), F.col(html_col).alias("_html"))
     joined = rows.join(F.broadcast(winners) if small else winners, "_host", "left").select(*ids, "_path", "_html")

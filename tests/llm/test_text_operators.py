@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -486,6 +487,38 @@ def test_op9_known_page(spark):
     assert pages.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_op9_hostile_pages_take_linear_time():
+    began = time.perf_counter()
+    for piece in ("<div>", "<div>text", "<a ", "<b>", "<p class='x", '<a href="', "<!", "<!-", "<ul><li>", "</div>", "<span>x</p>", "<table><tr><td>", "<"):
+        page = pages.parse(piece * (1_000_000 // len(piece)))
+        pages.main_text(page, pages.best_container(page)[0] if pages.best_container(page) else None)
+    assert time.perf_counter() - began < 120
+    began = time.perf_counter()
+    pages.main_text(pages.parse("<div>" * 200_000 + "text"), None)
+    assert time.perf_counter() - began < 5
+
+
+def test_op9_prose_stays_whatever_its_class_is_called(spark):
+    prose = "A paragraph about how neighbours share their tools and look after one another."
+    page = f"<body><article><p class=social>{prose}</p><p class=share>Share</p><p class=ad>{prose} Buy!</p><div class=share>{prose}</div><p>End of it.</p></article></body>"
+    assert pages.main_text(pages.parse(page), None) == f"{prose}\n\nEnd of it."
+    assert pages.main_text(pages.parse("<p>a \"quote <b class='never ends>b</b> c</p><p>d</p>"), None) == "a \"quote b c\n\nd"
+
+
+def test_op9_the_vote_of_a_host_overrides_a_page(spark):
+    """Only links stand beside the story on most pages of a host; where a page has other words there, by itself they seem
+    to belong to the story, but the host's path tells."""
+    story = ("The story goes on and on. " * 20).strip()
+    shell = "<body><div class=story-{}><p>{}</p></div><div class=extra>{}</div></body>"
+    links, more = "<a href=/a>Another page of the host</a> " * 3, "<p>Some words that are no links.</p>"
+    rows = [(k, "http://h.org/x", shell.format(k, story, links)) for k in range(5)] + [(9, "http://h.org/y", shell.format(9, story, more)), (10, "http://other.org/y", shell.format(9, story, more))]
+    df = spark.createDataFrame(rows + rows[:1], "page_id long, url string, html string")
+    got = pages.extract_main_text(df).collect()
+    assert len(got) == 8 and {r.page_id: r.text for r in got} == {**{k: story for k in (0, 1, 2, 3, 4, 9)}, 10: f"{story}\n\nSome words that are no links."}
+    assert {r.host: r.path for r in pages.host_paths(df).collect()} == {"h.org": "body div.story-#", "other.org": "body"}
+    assert pages.extract_main_text(df, broadcast_bytes=0).count() == 8
+
+
 def test_op9_hosts(spark):
     urls = ["HTTP://User@Www.A.org:80/x", "https://b.net?x", "//c", None]
     df = spark.createDataFrame([(u,) for u in urls], "url string").select(pages.host_of(F.col("url")).alias("h"))
