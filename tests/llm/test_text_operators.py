@@ -289,6 +289,20 @@ def test_op6_order_never_changes_the_verdict(spark, docs):
     assert a == b
 
 
+def test_op6_cascade_takes_cheap_rules_that_reject_first(spark):
+    text = " ".join(f"word{k}" for k in range(60))
+    docs = quality.measures(spark.createDataFrame([(None, text + "!" * (k % 2)) for k in range(100)], "doc_id long, text string").unionByName(spark.createDataFrame([(7, text)] * 3, "doc_id long, text string")))
+    dear = F.length("text") < 0
+    for k in range(6):
+        dear = dear | F.regexp_replace("text", f"w[o{k % 10}]+rd", "x").contains(f"zz{k}")
+    rules = [quality.Rule("dear", dear), quality.Rule("never", F.col("n_words") < 0), quality.Rule("marks", F.col("text").endswith("!"))]
+    (none, high), (zero, low), (half, cheap) = quality.rule_costs(docs.persist(), rules, repeats=40, runs=2)
+    assert (none, zero, half) == (0, 0, 50) and high > low and high > cheap
+    assert [r.name for r in quality.cascade_order(docs, rules)] == ["marks", "never", "dear"]
+    _, by = quality.cascade([rules[2], rules[0]])
+    assert docs.where(by == "marks").count() == 50
+
+
 def test_op3_against_all_pairs(spark):
     rnd = random.Random(2)
     vocabulary = [f"w{k}" for k in range(400)]
