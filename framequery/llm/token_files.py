@@ -22,6 +22,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from framequery.llm.words import gather, rebatched, split_words, to_batches, unique_words
 
@@ -49,6 +50,9 @@ class LibraryRuns:
         self.mark = os.path.commonprefix([*specials.values()])
         #: Run -> its ids as little-endian int32 bytes.
         self.cache: dict[str, bytes] = {}
+        probe = ["Half", "a", "word's", "2nd", "end."]
+        if self.t.encode(" \t".join(probe) + "\n", add_special_tokens=False).ids != self.encode(probe)[0].tolist():
+            raise ValueError(f"{path} doesn't split at white space: runs of it can't be encoded one by one")
 
     def encode(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of distinct runs and their offsets."""
@@ -99,12 +103,14 @@ def write_token_files(
 ) -> None:
     """Encode every whole text with the tokenizers library, append end_id, and write the format above to `path`.
 
-    Documents are ordered by id (NULL ids first; equal ids by text) with one range shuffle. NULL and empty texts give
-    end_id alone; an empty table gives empty tables. A task holds one batch of text and one open chunk.
+    Documents are ordered by id (NULL ids first; equal ids by a hash of the text, then as read) with one range shuffle,
+    which parts the rows of a frequent id too. Ids keep their type, any that Spark can order. NULL and empty texts give
+    end_id alone; an empty table gives empty tables; other columns aren't read. A task holds one batch of text and one
+    open chunk.
     """
-    key = docs.schema[id_col].dataType.simpleString()
-    schema = f"shard int, chunk int, keys array<{key}>, lengths array<long>, block_ids int, planes array<array<binary>>"
-    key_type = pa.string() if key == "string" else pa.int64()
+    key = docs.schema[id_col].dataType
+    schema = f"shard int, chunk int, keys array<{key.simpleString()}>, lengths array<long>, block_ids int, planes array<array<binary>>"
+    key_type = to_arrow_type(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard = library_runs(tokenizer_path), TaskContext.get().partitionId()
@@ -114,11 +120,14 @@ def write_token_files(
         lengths: list[np.ndarray] = []
         chunk = size = 0
 
+        def row_of(values: pa.ChunkedArray) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values.combine_chunks())
+
         def row() -> pa.RecordBatch:
             ids = np.concatenate(held)
             planes = [[zstd.compress(p) for p in split_planes(ids[k : k + block_ids], bits)] for k in range(0, len(ids), block_ids)]
             arrays = [
-                pa.array([shard], pa.int32()), pa.array([chunk], pa.int32()), pa.array([[k for x in keys for k in x.to_pylist()]], pa.list_(key_type)),
+                pa.array([shard], pa.int32()), pa.array([chunk], pa.int32()), row_of(pa.chunked_array([c for x in keys for c in x.chunks], key_type)),
                 pa.array([np.concatenate(lengths)], pa.list_(pa.int64())), pa.array([block_ids], pa.int32()), pa.array([planes], pa.list_(pa.list_(pa.binary()))),
             ]
             return pa.RecordBatch.from_arrays(arrays, names=["shard", "chunk", "keys", "lengths", "block_ids", "planes"])
@@ -147,8 +156,9 @@ def write_token_files(
             yield row()
 
     spark = docs.sparkSession
-    ordered = docs.select(F.col(id_col).cast("long" if key != "string" else "string"), text_col).repartitionByRange(F.col(id_col).asc_nulls_first())
-    ordered.sortWithinPartitions(F.col(id_col).asc_nulls_first(), text_col).mapInArrow(run, schema).write.mode("errorifexists").option("compression", "none").parquet(f"{path}/chunks")
+    order = [F.col("_id").asc_nulls_first(), F.col("_text").asc(), F.col("_read").asc()]
+    keyed = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("_text"), F.monotonically_increasing_id().alias("_read"))
+    keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("_id", "text").mapInArrow(run, schema).write.mode("errorifexists").option("compression", "none").parquet(f"{path}/chunks")
     # Two levels of running sums: over shards (a row each), then within each shard.
     chunks = spark.read.schema(schema).parquet(f"{path}/chunks").select(
         "shard", "chunk", F.size("keys").alias("n_docs"), F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_ids")
@@ -159,8 +169,8 @@ def write_token_files(
     chunks.join(shards, "shard").withColumn("start", start).select("shard", "chunk", "n_docs", "n_ids", "start").write.parquet(f"{path}/index")
 
 
-def read_token_files(spark: SparkSession, path: str, digests: bool = False) -> DataFrame:
-    """Rows (doc_id, start, n_tokens, ids) in the files, or ids_crc32 (of little-endian uint32 ids) for ids.
+def read_token_files(spark: SparkSession, path: str, digests: bool = False, id_col: str = "doc_id") -> DataFrame:
+    """Rows (id, start, n_tokens, ids) in the files, or ids_crc32 (of little-endian uint32 ids) for ids.
 
     Each chunk is decoded by itself; only the small per-document rows meet the index.
     """
@@ -194,7 +204,7 @@ def read_token_files(spark: SparkSession, path: str, digests: bool = False) -> D
     columns = ["shard", "chunk", "keys", "lengths", "block_ids", "planes"]
     rows = chunks.select(columns).mapInArrow(run, f"shard int, chunk int, doc_id {key.simpleString()}, at long, n_tokens long, last {last.split()[1]}")
     return rows.join(index, ["shard", "chunk"]).select(
-        "doc_id", (F.col("chunk_start") + F.col("at")).alias("start"), "n_tokens", F.col("last").alias(last.split()[0])
+        F.col("doc_id").alias(id_col), (F.col("chunk_start") + F.col("at")).alias("start"), "n_tokens", F.col("last").alias(last.split()[0])
     )
 
 

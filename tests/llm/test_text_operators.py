@@ -122,6 +122,23 @@ def test_op4_empty_and_odd_tables(spark, docs, rows, tmp_path):
     assert got.count() == len(rows) + 3 and got.where("doc_id IS NULL").first().start == 0
 
 
+@pytest.mark.parametrize("kind", ["int", "string", "date"])
+def test_op4_ids_of_any_type(spark, tmp_path, kind):
+    df = spark.range(300).select((F.col("id").cast("int") if kind == "int" else F.col("id").cast("string") if kind == "string" else F.date_add(F.lit("2020-01-01"), F.col("id").cast("int"))).alias("key"), F.concat(F.lit("text "), "id").alias("text"))
+    df = df.unionByName(df.select(F.lit(None).alias("key"), "text"))
+    token_files.write_token_files(df.repartition(5), str(tmp_path / kind), TOKENIZER, id_col="key", chunk_ids=50)
+    got = token_files.read_token_files(spark, str(tmp_path / kind), id_col="key")
+    assert got.schema["key"].dataType == df.schema["key"].dataType and got.count() == 600
+    rows = sorted(got.collect(), key=lambda r: r.start)
+    keys = [r.key for r in rows]
+    assert keys[:300] == [None] * 300 and keys[300:] == sorted(keys[300:]) and all(b.start == a.start + a.n_tokens for a, b in zip(rows, rows[1:]))
+
+
+def test_op4_refuses_tokenizers_that_keep_white_space():
+    with pytest.raises(ValueError):
+        token_files.LibraryRuns(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def brute_repeats(rows, split, width):
     """(id, units, removed mask) by comparing every window with all that start earlier."""
     seen, out = set(), {}
