@@ -89,3 +89,49 @@ def catmull_rom_table(points: list[tuple[float, float]], size: int = 1024) -> li
         y = 0.5 * (2 * p1 + (p2 - p0) * t + (2 * p0 - 5 * p1 + 4 * p2 - p3) * t * t + (3 * p1 - p0 - 3 * p2 + p3) * t**3)
         out.append(min(1.0, max(0.0, y)))
     return out
+
+
+def channel_normalise(v: Column, offset: Column | float, scale: Column | float) -> Column:
+    """As white_balance, but nothing is held at 0."""
+    return (v - offset) * scale
+
+
+def highlights_shadows(r: Column, g: Column, b: Column, highlights: float, shadows: float) -> tuple[Column, Column, Column]:
+    """Luma moved up or down above and below one half; the colour keeps its ratios."""
+    y = luma709(r, g, b)
+    moved = unit(y + F.lit(highlights * 0.5) * smoothstep(0.5, 1.0, y) + F.lit(shadows * 0.5) * (F.lit(1.0) - smoothstep(0.0, 0.5, y)))
+    ratio = F.when(y > F.lit(1e-4), F.try_divide(moved, y)).otherwise(F.lit(1.0))
+    return tuple(unit(c * ratio) for c in (r, g, b))
+
+
+def capture_gamma(slider: Column) -> Column:
+    """Gamma of a camera's slider (50 is 1), held to 0.1 .. 4; 1 where it isn't a number."""
+    raw = slider / F.lit(50.0)
+    return F.when(F.isnan(raw) | raw.isNull() | (F.abs(raw) == F.lit(float("inf"))), F.lit(1.0)).otherwise(F.greatest(F.lit(0.1), F.least(F.lit(4.0), raw)))
+
+
+def linearise(v: Column, gamma_of: Column) -> Column:
+    """v to the power gamma; negative values, and all where gamma is 1 or no positive number, stay."""
+    return F.when((gamma_of > 0) & (gamma_of != 1.0) & (v >= 0), F.pow(v, gamma_of)).otherwise(v)
+
+
+def add_shrunk(base: Column, layer: Column, amount: float, threshold: float) -> Column:
+    """base plus a layer of detail, shrunk towards 0 by the threshold, times the amount."""
+    return base + soft_threshold(layer, threshold) * F.lit(amount)
+
+
+def mask_at(mask: Column, x: Column, y: Column, grid: int, side: int) -> Column:
+    """A grid x grid mask (array, row-major) sampled bilinearly at a pixel of a square plane; cells hold their centres."""
+
+    def axis(p: Column) -> tuple[Column, Column, Column]:
+        at = (p + F.lit(0.5)) / F.lit(side / grid) - F.lit(0.5)
+        low = F.greatest(F.lit(0), F.least(F.floor(at), F.lit(grid - 1)))
+        return low, F.least(low + 1, F.lit(grid - 1)), unit(at - low)
+
+    (x0, x1, wx), (y0, y1, wy) = axis(x), axis(y)
+
+    def cell(cx: Column, cy: Column) -> Column:
+        return F.get(mask, (cy * grid + cx).cast("int"))
+
+    top, low = cell(x0, y0) * (F.lit(1.0) - wx) + cell(x1, y0) * wx, cell(x0, y1) * (F.lit(1.0) - wx) + cell(x1, y1) * wx
+    return top * (F.lit(1.0) - wy) + low * wy

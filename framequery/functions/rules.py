@@ -185,3 +185,30 @@ def output_name(stem: Column, utc: Column, target: Column) -> Column:
     """<stem>_stack.tif, or the capture's time and target where the time is known."""
     dated = F.concat(F.date_format(utc, "yyyy-MM-dd-HHmm_ss"), F.lit("-"), F.lower(F.coalesce(target, F.lit("other"))), F.lit(".tif"))
     return F.when(utc.isNotNull(), dated).otherwise(F.concat(stem, F.lit("_stack.tif")))
+
+
+# Colour ids of a capture's header, and the formats of an image header's date.
+COLOR_LABELS = {0: "mono", 8: "bayerRGGB", 9: "bayerGRBG", 10: "bayerGBRG", 11: "bayerBGGR", 16: "rgb", 17: "bgr"}
+DATE_FORMATS = ("yyyy-MM-dd'T'HH:mm:ss.SSS", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "yyyy-MM-dd'T'HH:mm:ssXXX")
+
+
+def color_label(color_id: Column) -> Column:
+    """Name of a colour id, NULL for unknown ones."""
+    return F.get(F.array(*(F.lit(COLOR_LABELS.get(k)) for k in range(18))), F.when((color_id >= 0) & (color_id < 18), color_id.cast("int")).otherwise(F.lit(-1)))
+
+
+def header_date(raw: Column) -> Column:
+    """Timestamp of an image header's date: the first of three plain formats (UTC), then ISO 8601 with a zone; else NULL."""
+    text = F.trim(raw)
+    return F.coalesce(*(F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS))
+
+
+def auto_keep_percent(fraction: Column) -> Column:
+    """A keep fraction as whole percent, 1 to 99."""
+    return clamp(F.floor(fraction * 100 + F.lit(0.5)), 1, 99).cast("int")
+
+
+def colour_camera(extension: Column, color_id: Column) -> Column:
+    """Whether a capture comes in colour: by its header for ser files, always for films."""
+    ext = F.lower(extension)
+    return F.when(ext == "ser", F.coalesce(color_id.isin(8, 9, 10, 11, 16, 17), F.lit(False))).otherwise(F.coalesce(ext.isin("avi", "mov", "mp4", "m4v"), F.lit(False)))

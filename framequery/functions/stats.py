@@ -17,12 +17,13 @@ def upper_median(sorted_values: Column) -> Column:
 
 
 def nearest_ranks(rows: DataFrame, by: list[str], value: str, ps: dict[str, float]) -> DataFrame:
-    """Nearest-rank percentiles per group by window ranks: no group is collected into one array."""
+    """Nearest-rank percentiles per group: values are counted map-side first, so the running counts are over a group's
+    distinct values (at most 65,536 for pixels of 16 bits), not over its rows."""
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_k"))
     w = Window.partitionBy(*by)
-    n = F.count(F.lit(1)).over(w)
-    ranked = rows.select(*by, value).where(F.col(value).isNotNull()).withColumns({"_r": F.row_number().over(w.orderBy(value)) - 1, "_n": n})
-    picks = {name: F.max(F.when(F.col("_r") == F.floor((F.col("_n") - 1) * F.lit(float(p)) + F.lit(0.5)), F.col(value))).alias(name) for name, p in ps.items()}
-    return ranked.groupBy(*by).agg(*picks.values())
+    run = counted.withColumns({"_c": F.sum("_k").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)), "_n": F.sum("_k").over(w)})
+    picks = {name: F.min(F.when(F.col("_c") > F.floor((F.col("_n") - 1) * F.lit(float(p)) + F.lit(0.5)), F.col(value))).alias(name) for name, p in ps.items()}
+    return run.groupBy(*by).agg(*picks.values())
 
 
 def median_and_mad(rows: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -48,6 +49,16 @@ def stretch_bounds(hist: DataFrame, by: list[str], low: float = 0.5, high: float
     return run.groupBy(*by).agg((lo / F.lit(float(bins - 1))).alias("lo"), (hi / F.lit(float(bins - 1))).alias("hi"))
 
 
+def thumbnail_bounds(counts: DataFrame, by: list[str], value: str, low: int = 100, high: int = 200) -> DataFrame:
+    """(by, lo, hi) of counted 8-bit values (n each): the first at which the running count reaches a `low`-th of all, and
+    all but a `high`-th."""
+    w = Window.partitionBy(*by)
+    run = counts.withColumns({"_c": F.sum("n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)), "_t": F.sum("n").over(w)})
+    lo = F.min(F.when(F.col("_c") >= F.floor(F.col("_t") / low), F.col(value)))
+    hi = F.min(F.when(F.col("_c") >= F.col("_t") - F.floor(F.col("_t") / high), F.col(value)))
+    return run.groupBy(*by).agg(lo.alias("lo"), hi.alias("hi"))
+
+
 def centroid(long: DataFrame, by: list[str], weight: Column) -> DataFrame:
     """Weighted centroid of (x, y); NULL where no weight is positive."""
     w = F.greatest(weight, F.lit(0.0))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framequery.session import shared_path
+
 
 def ranked(rows: DataFrame, place: str, *order: Column, kind: str = "int") -> DataFrame:
     """rows with their place (of type `kind`, from 1) in one order over all of them; `order` must tell all rows apart.
@@ -15,10 +15,7 @@ def ranked(rows: DataFrame, place: str, *order: Column, kind: str = "int") -> Da
     added. The ranges are written to the shared folder, as ranges of a second sample could differ from the first's.
     """
     spark = rows.sparkSession
-    root, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
-    if not root and master != "local" and not master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    path = f"{(root or '/tmp/framequery-checkpoints').rstrip('/')}/framequery/ranges-{uuid.uuid4().hex}"
+    path = shared_path(spark, "ranges")
     ranges = rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
     ranges.write.parquet(path)
     dealt = spark.read.schema(ranges.schema).parquet(path)

@@ -329,7 +329,7 @@ SELECT capture_id, frame_idx, x0, y0, round(score, 5) AS score FROM s WHERE peak
     "jo09_quality_cache": (jo09_quality_cache, "SELECT a.event_id, b.event_id::DOUBLE AS quality FROM events a LEFT JOIN events b ON b.event_id < 900 AND b.event_id % 900 = a.event_id % 900 AND b.event_id % 4 = a.event_id % 4"),
     "jo14_sibling": (
         jo14_sibling,
-        "WITH s AS (SELECT event_id // 3 AS stem, CASE WHEN event_id % 5 <> 0 THEN ['tif', 'png', 'jpg'][event_id % 3 + 1] END AS ext FROM events WHERE event_id < 500) SELECT stem, CASE WHEN count(*) FILTER (ext = 'png') > 0 THEN 'png' WHEN count(*) FILTER (ext = 'tif') > 0 THEN 'tif' END AS sibling FROM s GROUP BY stem",
+        "WITH s AS (SELECT event_id // 3 AS stem, CASE WHEN event_id % 5 <> 0 THEN ['tif', 'png', 'jpg'][event_id % 3 + 1] END AS ext FROM events) SELECT stem, CASE WHEN count(*) FILTER (ext = 'png') > 0 THEN 'png' WHEN count(*) FILTER (ext = 'tif') > 0 THEN 'tif' END AS sibling FROM s GROUP BY stem",
     ),
     "jo15_channels": (
         jo15_channels,

@@ -309,7 +309,7 @@ SELECT event_id, patch, least(greatest(patch // 2 + 2, 4), 16)::INT AS search, t
   round(4.5::DOUBLE - 0.6::DOUBLE * least(greatest(value / 50, 1), 5), 6) AS sigma, round(i, 6) AS inner_r, round(greatest(1.05::DOUBLE, i + 0.10::DOUBLE), 6) AS outer_r FROM a""",
     ),
     "sm05_pilot": (sm05_pilot, f"WITH {_SQL_HEADERS}, p AS (SELECT event_id, least(CASE WHEN fps > 0 THEN least(greatest(round(3 * fps), 100), 500) ELSE least(greatest(frames // 5, 100), 500) END, w)::INT AS n FROM hd) SELECT event_id, CASE WHEN n >= 30 THEN n END AS pilot FROM p"),
-    "jo10_target_detect": (jo10_target_detect, f"WITH t AS (SELECT doc_id, lower(text[1:200]) AS a, lower(source) AS b FROM documents) SELECT doc_id, CASE {_SQL_WORDS} END AS target FROM t"),
+    "jo10_target_detect": (jo10_target_detect, f"WITH t AS (SELECT doc_id, lower(text) AS a, lower(source) AS b FROM documents) SELECT doc_id, CASE {_SQL_WORDS} END AS target FROM t"),
     "sf01_metadata_map": (
         sf01_metadata_map,
         "SELECT event_id, 'gain' AS key, user_id::DOUBLE AS number FROM events UNION ALL SELECT event_id, 'exp', event_id + 0.5::DOUBLE FROM events UNION ALL SELECT event_id, lower(event_type), -3::DOUBLE FROM events UNION ALL SELECT event_id, 'temp', 21::DOUBLE FROM events",
@@ -369,7 +369,7 @@ SELECT * FROM j WHERE verdict IS NOT NULL""",
     "tk03_reference_frame": (tk03_reference_frame, f"WITH {SQL_SCORES} SELECT capture_id, frame_idx FROM scores QUALIFY row_number() OVER (PARTITION BY capture_id ORDER BY score DESC, frame_idx) = 1"),
     "tk06_sorted_catalog": (
         tk06_sorted_catalog,
-        "WITH f AS (SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN value END AS s, CASE WHEN event_id % 4 <> 0 THEN ts END AS c FROM events WHERE event_id < 400) SELECT event_id, row_number() OVER (ORDER BY s NULLS FIRST, event_id)::INT AS by_sharpness, row_number() OVER (ORDER BY c NULLS LAST, event_id)::INT AS by_created FROM f",
+        "WITH f AS (SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN value END AS s, CASE WHEN event_id % 4 <> 0 THEN ts END AS c FROM events) SELECT event_id, row_number() OVER (ORDER BY s NULLS FIRST, event_id)::INT AS by_sharpness, row_number() OVER (ORDER BY c NULLS LAST, event_id)::INT AS by_created FROM f",
     ),
     "wn02_mask_by_rank": (
         wn02_mask_by_rank,

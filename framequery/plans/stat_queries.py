@@ -155,7 +155,7 @@ def fi05_shift_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wn06_drift_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = stats.drift_fold(_shifts(spark, sf_dir).where("user_id < 5"), "user_id", "event_id", F.col("event_id") % 50 == 3)
+    f = stats.drift_fold(_shifts(spark, sf_dir), "user_id", "event_id", F.col("event_id") % 50 == 3)
     return f.select("user_id", "event_id", F.round("dx", 4).alias("dx"), F.round("dy", 4).alias("dy"))
 
 
@@ -231,7 +231,7 @@ SELECT user_id, event_id, dx, dy, far AND count(*) OVER w >= 20 AND sum(far::INT
     ),
     "wn06_drift_fold": (
         wn06_drift_fold,
-        f"""WITH RECURSIVE {_SQL_SHIFTS}, o AS (SELECT user_id, event_id, dx, dy, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM sh WHERE user_id < 5),
+        f"""WITH RECURSIVE {_SQL_SHIFTS}, o AS (SELECT user_id, event_id, dx, dy, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM sh),
 f(user_id, r, h) AS (
   SELECT user_id, 1::BIGINT, [{{'i': event_id, 'dx': CASE WHEN event_id % 50 = 3 THEN 0 ELSE dx END, 'dy': CASE WHEN event_id % 50 = 3 THEN 0 ELSE dy END}}] FROM o WHERE r = 1
   UNION ALL

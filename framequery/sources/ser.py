@@ -154,9 +154,48 @@ def bayer_channel(mosaic: np.ndarray, color: str, channel: str) -> np.ndarray:
     return np.mean([mosaic[y::2, x::2][: mosaic.shape[0] // 2, : mosaic.shape[1] // 2] for y, x in bayer_sites(color)[channel]], axis=0)
 
 
-def combine_channels(r: np.ndarray, g: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Full-size RGB of three half-size planes, each pixel repeated over its cell."""
-    return np.stack([np.kron(p, np.ones((2, 2))) for p in (r, g, b)], axis=-1)
+def combine_channels(r: np.ndarray, g: np.ndarray, b: np.ndarray, color: str = "bayerRGGB") -> np.ndarray:
+    """Full-size RGB of three half-size planes, each sampled bilinearly from where its sites lie in a cell: red and blue at
+    their own, green at the cell's centre. Places outside are those of the edge."""
+    (ry, rx), (by, bx) = bayer_sites(color)["R"][0], bayer_sites(color)["B"][0]
+
+    def axis(n: int, off: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = (np.arange(2 * n) - off) * 0.5
+        low = np.clip(np.floor(at).astype(int), 0, n - 1)
+        return low, np.minimum(low + 1, n - 1), np.clip(at - low, 0.0, 1.0)
+
+    def full(plane: np.ndarray, oy: float, ox: float) -> np.ndarray:
+        (y0, y1, wy), (x0, x1, wx) = axis(plane.shape[0], oy), axis(plane.shape[1], ox)
+        rows = plane[y0] * (1 - wy)[:, None] + plane[y1] * wy[:, None]
+        return rows[:, x0] * (1 - wx) + rows[:, x1] * wx
+
+    return np.stack([full(r, ry, rx), full(g, 0.5, 0.5), full(b, by, bx)], axis=-1)
+
+
+def demosaic(mosaic: np.ndarray, color: str, flip: bool = False) -> np.ndarray:
+    """RGB (h, w, 3) of a mosaic in 0..1 by the gradient-corrected linear filters of Malvar, He and Cutler (2004); places
+    outside are those of the edge. flip turns the image by 180 degrees."""
+    h, w = mosaic.shape
+    wide = np.pad(mosaic, 2, mode="edge")
+
+    def at(dy: int, dx: int) -> np.ndarray:
+        return wide[2 + dy : 2 + dy + h, 2 + dx : 2 + dx + w]
+
+    near_x, near_y = at(0, -1) + at(0, 1), at(-1, 0) + at(1, 0)
+    far_x, far_y = at(0, -2) + at(0, 2), at(-2, 0) + at(2, 0)
+    corners = at(-1, -1) + at(-1, 1) + at(1, -1) + at(1, 1)
+    green = np.clip((4 * mosaic + 2 * (near_x + near_y) - far_x - far_y) / 8, 0, 1)
+    across = np.clip((5 * mosaic + 4 * near_x - corners - far_x + 0.5 * far_y) / 8, 0, 1)
+    along = np.clip((5 * mosaic + 4 * near_y - corners - far_y + 0.5 * far_x) / 8, 0, 1)
+    other = np.clip((6 * mosaic + 2 * corners - 1.5 * (far_x + far_y)) / 8, 0, 1)
+    (ry, rx) = bayer_sites(color)["R"][0]
+    in_row, in_column = (np.arange(h) % 2 == ry)[:, None], (np.arange(w) % 2 == rx)[None, :]
+    red, blue, by_red = in_row & in_column, ~in_row & ~in_column, in_row & ~in_column
+    r = np.where(red, mosaic, np.where(blue, other, np.where(by_red, across, along)))
+    g = np.where(red | blue, green, mosaic)
+    b = np.where(blue, mosaic, np.where(red, other, np.where(by_red, along, across)))
+    out = np.stack([r, g, b], axis=-1)
+    return out[::-1, ::-1] if flip else out
 
 
 def encode_ser(frames: Sequence[bytes], w: int, h: int, depth: int = 8, color_id: int = 0, ticks: Sequence[int] = (), strings: tuple[str, str, str] = ("", "", ""), utc: int = 0, local: int = 0) -> bytes:
@@ -180,12 +219,13 @@ def synthetic(w: int = 64, h: int = 48, depth: int = 8, n: int = 3, color_id: in
 
 
 def planes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow function over FRAME_SCHEMA rows: (path, frame_idx, w, h, plane ARRAY<DOUBLE>) of mono luma."""
+    """mapInArrow function over FRAME_SCHEMA rows: (path, frame_idx, w, h, plane ARRAY<DOUBLE>) of luma; mosaics are interpolated first."""
     for batch in batches:
         rows = batch.to_pylist()
         out = []
         for r in rows:
             image = unpack(r["data"], r["w"], r["h"], r["depth"], r["color"])
+            image = demosaic(image, r["color"]) if r["color"].startswith("bayer") else image
             out.append((image @ np.array([0.2126, 0.7152, 0.0722]) if image.ndim == 3 else image).ravel())
         columns = [batch.column(i) for i in range(4)]
         yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.list_(pa.float64()))], names=["path", "frame_idx", "w", "h", "plane"])

@@ -6,8 +6,12 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from framequery.session import shared_path
+
+HOUR_MS = 3_600_000
 COMPLETION_OUT = "path string, size long, seq long"
 LIMIT_OUT = "producer string, seq long, hour long, accepted boolean"
 
@@ -23,7 +27,7 @@ def observe(state: tuple[int, int, bool] | None, size: int, needed: int = 2) ->
     return (size, repeats, fired or done), done
 
 
-def completed_files(samples: DataFrame, needed: int = 2, forget_after: str | None = None) -> DataFrame:
+def completed_files(samples: DataFrame, needed: int = 2, forget_after: int | None = None) -> DataFrame:
     """Rows of (path, size, seq) samples at which a file is complete. forget_after: state of paths not seen for so long
     (processing time, in ms) is dropped."""
 
@@ -48,21 +52,35 @@ def completed_files(samples: DataFrame, needed: int = 2, forget_after: str | Non
     return samples.groupBy("path").applyInPandasWithState(update, COMPLETION_OUT, "last long, repeats long, fired boolean", "append", timeout)
 
 
-def limited_calls(calls: DataFrame, per_hour: int) -> DataFrame:
+def limited_calls(calls: DataFrame, per_hour: int, forget_after: int | None = None) -> DataFrame:
     """calls (producer, seq, ms) with `accepted`: per_hour a fixed clock hour of the producer; rejected ones don't count.
-    Late calls of an hour before the current one are judged as of the current hour."""
+
+    An hour of a producer is a key of its own, so a late call is judged in the hour it belongs to. forget_after: state of
+    an hour not seen for so long (processing time, in ms) is dropped, as a service that never ends should ask for.
+    """
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        hour, used = state.get if state.exists else (-1, 0)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        used = state.get[0] if state.exists else 0
         rows = pd.concat(list(frames)).sort_values(["ms", "seq"])
-        out = []
-        for seq, ms in zip(rows["seq"].tolist(), rows["ms"].tolist(), strict=True):
-            if ms // 3_600_000 > hour:
-                hour, used = int(ms // 3_600_000), 0
-            good = used < per_hour
-            used += good
-            out.append((key[0], int(seq), hour, good))
-        state.update((hour, used))
-        yield pd.DataFrame(out, columns=["producer", "seq", "hour", "accepted"])
-
-    return calls.groupBy("producer").applyInPandasWithState(update, LIMIT_OUT, "hour long, used long", "append", GroupStateTimeout.NoTimeout)
+        good = [used + k < per_hour for k in range(len(rows))]
+        state.update((used + sum(good),))
+        if forget_after:
+            state.setTimeoutDuration(forget_after)
+        yield pd.DataFrame({"producer": key[0], "seq": rows["seq"].to_numpy(), "hour": key[1], "accepted": good})
+
+    hourly = calls.withColumn("hour", F.floor(F.col("ms") / HOUR_MS).cast("long"))
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if forget_after else GroupStateTimeout.NoTimeout
+    return hourly.groupBy("producer", "hour").applyInPandasWithState(update, LIMIT_OUT, "used long", "append", timeout)
+
+
+def run_to_table(stream: DataFrame, schema: str) -> DataFrame:
+    """Run a stream over what its source has now, to its end, and give its output as a table in the shared folder.
+    A stream whose state times out by processing time has no end."""
+    spark = stream.sparkSession
+    path = shared_path(spark, "stream")
+    query = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(schema).parquet(f"{path}/out")

@@ -1,4 +1,4 @@
-"""Queries whose SQL reads a part of a table, against plain Python over the whole of it."""
+"""Queries over whole tables against plain Python."""
 
 from framequery.functions.rules import TARGET_WORDS
 from framequery.plans import catalog
