@@ -99,6 +99,8 @@ def rebatched(batches: Iterable[pa.RecordBatch], max_bytes: int = 16 << 20) -> I
             size += part.nbytes
     if held:
         yield pa.Table.from_batches(held)
+        held.clear()
+        pa.default_memory_pool().release_unused()  # the worker lives on for other stages
 
 
 def to_batches(table: pa.Table, rows: int = 10_000) -> Iterator[pa.RecordBatch]:
