@@ -212,3 +212,10 @@ def colour_camera(extension: Column, color_id: Column) -> Column:
     """Whether a capture comes in colour: by its header for ser files, always for films."""
     ext = F.lower(extension)
     return F.when(ext == "ser", F.coalesce(color_id.isin(8, 9, 10, 11, 16, 17), F.lit(False))).otherwise(F.coalesce(ext.isin("avi", "mov", "mp4", "m4v"), F.lit(False)))
+
+
+def created_at(text: Column) -> Column:
+    """Timestamp of a server's ISO 8601 text with a zone, with fractions of a second or without; else the year 1, so that
+    such rows sort first."""
+    known = F.coalesce(*(F.try_to_timestamp(text, F.lit(f)) for f in ("yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "yyyy-MM-dd'T'HH:mm:ssXXX")))
+    return F.coalesce(known, F.timestamp_millis(F.lit(-62135596800000)))

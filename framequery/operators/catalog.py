@@ -110,3 +110,12 @@ def mark_rank(cells: DataFrame, by: list[str], score: str, tie: list[str]) -> Da
     rank = F.row_number().over(w.orderBy(score, *tie)) - 1
     n = F.count(F.lit(1)).over(w)
     return cells.withColumn("mask", F.lit(0.4) + F.lit(0.6) * F.sqrt(rank / F.greatest(F.lit(1), n - 1)))
+
+
+def best_candidates(candidates: DataFrame, keys: list[str], tie: str, most: int = 50) -> DataFrame:
+    """Of the `most` candidates of greatest magnitude of each key, the one of best step_contrast / (1 + dir_std / 10)."""
+    strongest = Window.partitionBy(*keys).orderBy(F.col("magnitude").desc(), tie)
+    best = Window.partitionBy(*keys).orderBy(F.col("score").desc(), F.col("magnitude").desc(), tie)
+    top = candidates.withColumn("_rank", F.row_number().over(strongest)).where(F.col("_rank") <= most)
+    scored = top.withColumn("score", F.col("step_contrast") / (F.lit(1.0) + F.col("dir_std") / F.lit(10.0)))
+    return scored.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") == 1).drop("_rank")

@@ -60,34 +60,102 @@ def _parabola(left: np.ndarray, centre: np.ndarray, right: np.ndarray) -> np.nda
     return np.where(np.abs(d) < 1e-8, 0.0, np.clip(0.5 * (left - right) / safe, -0.5, 0.5))
 
 
+def _peak_shift(cross: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
+    """(dx, dy) of each cross spectrum's peak, signed, with a parabola's sub-pixel part; (0, 0) without any energy."""
+    size = np.abs(cross)
+    flat = size.max(axis=(1, 2)) < 1e-12
+    c = np.fft.ifft2(cross / np.maximum(size, 1e-12)).real
+    i = np.arange(len(c))
+    k = c.reshape(len(c), -1).argmax(axis=1)
+    y, x = k // side, k % side
+    dx = x + _parabola(c[i, y, (x - 1) % side], c[i, y, x], c[i, y, (x + 1) % side])
+    dy = y + _parabola(c[i, (y - 1) % side, x], c[i, y, x], c[i, (y + 1) % side, x])
+    dx, dy = (np.where(v > side / 2, v - side, v) for v in (dx, dy))
+    return np.where(flat, 0.0, dx), np.where(flat, 0.0, dy)
+
+
+def _hann(planes: np.ndarray) -> np.ndarray:
+    """planes without their mean under a Hann window."""
+    side = planes.shape[-1]
+    return (planes - planes.mean(axis=(-2, -1), keepdims=True)) * np.outer(np.hanning(side + 1)[:-1], np.hanning(side + 1)[:-1])
+
+
+def _resized(planes: np.ndarray, side: int) -> np.ndarray:
+    """planes sampled bilinearly to side x side; cells hold their centres."""
+    for axis in (1, 2):
+        n = planes.shape[axis]
+        at = np.clip((np.arange(side) + 0.5) * n / side - 0.5, 0, n - 1)
+        low = np.floor(at).astype(int)
+        share = np.expand_dims(at - low, tuple(k for k in range(3) if k != axis))
+        planes = np.take(planes, low, axis=axis) * (1 - share) + np.take(planes, np.minimum(low + 1, n - 1), axis=axis) * share
+    return planes
+
+
 def phase_correlation(frames: DataFrame, reference: np.ndarray, side: int, window: bool = False) -> DataFrame:
     """(dx, dy) = reference - frame by the peak of the normalised cross spectrum, with a parabola's sub-pixel part.
     window: subtract the mean and apply a Hann window first. A frame without any energy gives (0, 0) and is kept."""
-    hann = np.outer(np.hanning(side + 1)[:-1], np.hanning(side + 1)[:-1]) if window else np.ones((side, side))
 
     def prepared(p: np.ndarray) -> np.ndarray:
-        return (p - p.mean(axis=(-2, -1), keepdims=True)) * hann if window else p
+        return _hann(p) if window else p
 
     ref = np.fft.fft2(prepared(reference.reshape(side, side)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cross = ref * np.conj(np.fft.fft2(prepared(_planes(batch, side))))
-            size = np.abs(cross)
-            flat = size.max(axis=(1, 2)) < 1e-12
-            c = np.fft.ifft2(cross / np.maximum(size, 1e-12)).real
-            n = len(c)
-            k = c.reshape(n, -1).argmax(axis=1)
-            y, x = k // side, k % side
-            i = np.arange(n)
-            dx = x + _parabola(c[i, y, (x - 1) % side], c[i, y, x], c[i, y, (x + 1) % side])
-            dy = y + _parabola(c[i, (y - 1) % side, x], c[i, y, x], c[i, (y + 1) % side, x])
-            wrap = [np.where(v > side / 2, v - side, v) for v in (dx, dy)]
-            yield _with(batch, {"dx": np.where(flat, 0.0, wrap[0]), "dy": np.where(flat, 0.0, wrap[1])})
+            dx, dy = _peak_shift(cross, side)
+            yield _with(batch, {"dx": dx, "dy": dy})
+
+    return frames.mapInArrow(run, _schema(frames, "dx double, dy double"))
+
+
+def region_correlation(frames: DataFrame, reference: np.ndarray, side: int, region: tuple[float, float, float, float], least: int = 64) -> DataFrame:
+    """phase_correlation within a region (x, y, width, height as shares of the plane, 8 pixels at least), sampled to the
+    largest power of two that fits (1024 at most). (dx, dy) are pixels of the plane; NULL where that is under least."""
+    x, y = (max(0, min(side - 8, round(v * side))) for v in region[:2])
+    w, h = (max(8, min(side - o, round(v * side))) for v, o in zip(region[2:], (x, y), strict=True))
+    n = 1 << (min(w, h, 1024).bit_length() - 1)
+
+    def spectrum(planes: np.ndarray) -> np.ndarray:
+        return np.fft.fft2(_hann(_resized(planes[:, y : y + h, x : x + w], n)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ref = spectrum(reference.reshape(1, side, side)) if n >= least else None
+        for batch in batches:
+            if ref is None:
+                none = pa.nulls(batch.num_rows, pa.float64())
+                yield _with(batch, {"dx": none, "dy": none})
+                continue
+            dx, dy = _peak_shift(ref * np.conj(spectrum(_planes(batch, side))), n)
+            yield _with(batch, {"dx": dx * w / n, "dy": dy * h / n})
 
     return frames.mapInArrow(run, _schema(frames, "dx double, dy double"))
 
 
+def channel_shifts(images: DataFrame, side: int, cap: float = 5.0, target: int = 256) -> DataFrame:
+    """(red_dx, red_dy, blue_dx, blue_dy) of images (red, green and blue planes): green - channel by phase correlation at
+    the largest power of two up to target, in pixels. A channel moved by over cap on an axis gives (0, 0): noise."""
+    n = 1 << (min(target, side).bit_length() - 1)
+    channels = ("red", "green", "blue")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spectra = {}
+            for c in channels:
+                flat = batch.column(batch.schema.get_field_index(c)).flatten().to_numpy(zero_copy_only=False)
+                spectra[c] = np.fft.fft2(_hann(_resized(flat.reshape(-1, side, side), n)))
+            found = {}
+            for c in ("red", "blue"):
+                dx, dy = (v * side / n for v in _peak_shift(spectra["green"] * np.conj(spectra[c]), n))
+                sane = (np.abs(dx) <= cap) & (np.abs(dy) <= cap)
+                found |= {f"{c}_dx": np.where(sane, dx, 0.0), f"{c}_dy": np.where(sane, dy, 0.0)}
+            keep = [i for i, name in enumerate(batch.schema.names) if name not in channels]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), *map(pa.array, found.values())], names=[*(batch.schema.names[i] for i in keep), *found])
+
+    own = [f"`{f.name}` {f.dataType.simpleString()}" for f in images.schema if f.name not in channels]
+    return images.mapInArrow(run, ", ".join([*own, "red_dx double, red_dy double, blue_dx double, blue_dy double"]))
+
+
 def gaussian_blur(planes: np.ndarray, sigma: float) -> np.ndarray:
     """Separable Gaussian blur with clamped edges."""
     radius = max(1, int(np.ceil(3 * sigma)))

@@ -14,6 +14,7 @@ from framequery.session import shared_path
 HOUR_MS = 3_600_000
 COMPLETION_OUT = "path string, size long, seq long"
 LIMIT_OUT = "producer string, seq long, hour long, accepted boolean"
+CURRENT_OUT = "queue string, generation long, seq long"
 
 
 def observe(state: tuple[int, int, bool] | None, size: int, needed: int = 2) -> tuple[tuple[int, int, bool], bool]:
@@ -76,6 +77,31 @@ def limited_calls(calls: DataFrame, per_hour: int, forget_after: int | None = No
     return hourly.groupBy("producer", "hour").applyInPandasWithState(update, LIMIT_OUT, "used long", "append", timeout)
 
 
+def current_callbacks(callbacks: DataFrame) -> DataFrame:
+    """callbacks (queue, generation, seq) without late ones: those of a run that a newer run of the queue had superseded."""
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames)).sort_values("seq")
+        newest = rows["generation"].cummax().clip(lower=state.get[0] if state.exists else None)
+        state.update((int(newest.iloc[-1]),))
+        yield rows.loc[rows["generation"] >= newest, ["queue", "generation", "seq"]]
+
+    return callbacks.groupBy("queue").applyInPandasWithState(update, CURRENT_OUT, "newest long", "append", GroupStateTimeout.NoTimeout)
+
+
+def arrivals(files: DataFrame, backlog: DataFrame) -> DataFrame:
+    """The files (path, target) of a watched folder that have come since its first listing. A file of unknown target is
+    passed over. backlog: the paths of that listing, as a table."""
+    return files.join(backlog.select("path"), "path", "left_anti").where(F.col("target").isNotNull())
+
+
+def debounced(requests: DataFrame, gap: str) -> DataFrame:
+    """One write for each burst of requests (key, at): those that follow within the gap join in. (key, requests, at of the
+    last). As a stream it needs a watermark on at; a burst comes out once the watermark has passed its gap."""
+    burst = F.session_window("at", gap)
+    return requests.groupBy("key", burst).agg(F.count(F.lit(1)).alias("requests"), F.max("at").alias("at")).drop("session_window")
+
+
 def run_to_table(stream: DataFrame, schema: str) -> DataFrame:
     """Run a stream over what its source has now, to its end, and give its output as a table in the shared folder.
     A stream whose state times out by processing time has no end."""
