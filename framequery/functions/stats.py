@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+from itertools import pairwise
+from math import hypot
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,26 +127,38 @@ def shift_outliers(shifts: DataFrame, by: list[str], k: float = 4.0, floor_px: f
 def drift_fold(shifts: DataFrame, by: str, order: str, is_reference: Column, limit: float = 10.0, history: int = 5) -> DataFrame:
     """Shifts in order, each replaced by its prediction where it is further than `limit` from it; corrected values feed
     the next prediction: the last one plus the mean velocity (per index step) of the last `history`. Reference frames
-    are the anchor (0, 0); the very first shift has no prediction. A capture's shifts are one array: a few MB for the
-    longest captures."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("i"), F.col("dx").cast("double").alias("dx"), F.col("dy").cast("double").alias("dy"), is_reference.alias("ref"))))
-
-    def step(state: Column, x: Column) -> Column:
-        past = F.slice(state, F.greatest(F.lit(1), F.size(state) - history + 1), F.lit(history))
-        n = F.size(past)
-        last = F.get(past, n - 1)
-        pairs = F.zip_with(F.slice(past, F.lit(1), n - 1), F.slice(past, F.lit(2), n - 1), lambda a, b: F.struct(((b["dx"] - a["dx"]) / (b["i"] - a["i"])).alias("x"), ((b["dy"] - a["dy"]) / (b["i"] - a["i"])).alias("y")))
-        steps = F.greatest(n - 1, F.lit(1))
-        px = last["dx"] + F.aggregate(pairs, F.lit(0.0), lambda s, p: s + p["x"]) / steps
-        py = last["dy"] + F.aggregate(pairs, F.lit(0.0), lambda s, p: s + p["y"]) / steps
-        far = F.sqrt((x["dx"] - px) * (x["dx"] - px) + (x["dy"] - py) * (x["dy"] - py)) > F.lit(limit)
-
-        def entry(dx: Column, dy: Column) -> Column:
-            return F.struct(x["i"].alias("i"), dx.alias("dx"), dy.alias("dy"))
-
-        own = entry(x["dx"], x["dy"])
-        new = F.when(x["ref"], entry(F.lit(0.0), F.lit(0.0))).when(F.size(state) == 0, own).when(far, entry(px, py)).otherwise(own)
-        return F.concat(state, F.array(new))
-
-    folded = F.aggregate(F.col("_rows"), F.expr("cast(array() as array<struct<i:bigint,dx:double,dy:double>>)"), step)
-    return shifts.groupBy(by).agg(rows.alias("_rows")).select(by, F.inline(folded)).withColumnRenamed("i", order)
+    are the anchor (0, 0); the very first shift has no prediction. A key's rows are one sorted stream: the fold holds
+    the last `history` of them, whatever their number. A missing shift takes its prediction, or stays NULL where nothing came before; steps between
+    equal indices have no velocity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, past = None, deque(maxlen=history)
+        for batch in batches:
+            xs, ys = [], []
+            for k, i, dx, dy, ref in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not past or k != key:
+                    key = k
+                    past.clear()
+                if ref:
+                    dx = dy = 0.0
+                elif past:
+                    px, py = predicted(past)
+                    if dx is None or dy is None or hypot(dx - px, dy - py) > limit:
+                        dx, dy = px, py
+                if dx is None or dy is None:
+                    dx = dy = None
+                else:
+                    past.append((i, dx, dy))
+                xs.append(dx)
+                ys.append(dy)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(xs, pa.float64()), pa.array(ys, pa.float64())], names=[by, order, "dx", "dy"])
+
+    def predicted(past: deque) -> tuple[float, float]:
+        steps = [(b[0] - a[0], b[1] - a[1], b[2] - a[2]) for a, b in pairwise(past)]
+        n = max(len(steps), 1)
+        return past[-1][1] + sum(x / i for i, x, _ in steps if i) / n, past[-1][2] + sum(y / i for i, _, y in steps if i) / n
+
+    rows = shifts.select(by, order, F.col("dx").cast("double").alias("dx"), F.col("dy").cast("double").alias("dy"), F.coalesce(is_reference, F.lit(False)).alias("_ref"))
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+    ordered = rows.repartition(by).sortWithinPartitions(by, order, "dx", "dy")
+    return ordered.mapInArrow(run, f"`{by}` {types[by]}, `{order}` {types[order]}, dx double, dy double")

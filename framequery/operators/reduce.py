@@ -62,13 +62,30 @@ def coverage_mean(frames: DataFrame, weight: Column) -> DataFrame:
     )
 
 
-def sigma_clipped_plane(frames: DataFrame, k: float = 2.5) -> DataFrame:
-    """One pass: mean and population deviation of each pixel, then the mean of values within k deviations."""
-    long = exploded(frames).select("capture_id", "px", "v")
-    by = Window.partitionBy("capture_id", "px")
-    held = long.withColumns({"mu": F.avg("v").over(by), "sd": F.stddev_pop("v").over(by)})
-    kept = held.where(F.abs(F.col("v") - F.col("mu")) <= F.lit(k) * F.col("sd") + F.lit(1e-12))
-    return kept.groupBy("capture_id", "px").agg(F.avg("v").alias("value"), F.count(F.lit(1)).alias("n_kept"))
+def sigma_clipped_plane(frames: DataFrame, k: float = 2.5, rounds: int = 1) -> DataFrame:
+    """(capture_id, px, value, n_kept): `rounds` times, the values further than k population deviations from a pixel's
+    mean go and both are taken anew. Where none is left the mean before stays and n_kept is 0.
+
+    A round sums map-side and joins its moments back as one plane a capture, so pixels never shuffle by themselves."""
+
+    def moments(held: DataFrame, before: Column) -> DataFrame:
+        long = held.select("capture_id", F.posexplode(F.arrays_zip(F.col("plane").alias("v"), before.alias("b"))).alias("px", "z"))
+        mu, sd = F.avg("z.v"), F.stddev_pop("z.v")
+        return long.groupBy("capture_id", "px").agg(
+            F.coalesce(mu, F.max("z.b.mu")).alias("mu"), F.coalesce(sd, F.max("z.b.sd")).alias("sd"), F.count("z.v").alias("n_kept")
+        )
+
+    held = frames.select("capture_id", "plane")
+    none = F.transform("plane", lambda _: F.lit(None).cast("struct<mu:double,sd:double>"))
+    found = moments(held, none)
+    for _ in range(rounds):
+        plane = F.transform(F.array_sort(F.collect_list(F.struct("px", "mu", "sd"))), lambda m: F.struct(m["mu"].alias("mu"), m["sd"].alias("sd")))
+        bounds = found.groupBy(F.col("capture_id").alias("_capture")).agg(plane.alias("_bounds"))
+        met = held.join(bounds, F.col("capture_id").eqNullSafe(F.col("_capture")))
+        near = F.zip_with("plane", "_bounds", lambda v, b: F.when(F.abs(v - b["mu"]) <= F.lit(k) * b["sd"] + F.lit(1e-12), v))
+        cut = met.select("capture_id", near.alias("plane"), "_bounds")
+        found, held = moments(cut, F.col("_bounds")), cut.select("capture_id", "plane")
+    return found.select("capture_id", "px", F.col("mu").alias("value"), "n_kept")
 
 
 def clipped_mean(values: Column, k: float = 2.5, rounds: int = 3) -> Column:
@@ -145,12 +162,42 @@ def region_selection(tiles: DataFrame, fraction: float = 1.0, min_k: int = 1, ma
     return ranked.where(good & (F.col("rank") <= max_k)).select("capture_id", "ty", "tx", "rank", "frame_idx")
 
 
+def pixel_weight(p: Column, weights: Column, tile: int, side: int = SIDE, cosine: bool = False) -> Column:
+    """Pixel p's blend of the weights of its four nearest tiles (an array in row order), as tile_of_pixel blends them."""
+    tiles = side // tile
+    gx = F.least(F.greatest((p % side + F.lit(0.5)) / tile - F.lit(0.5), F.lit(0.0)), F.lit(float(tiles - 1)))
+    gy = F.least(F.greatest((F.floor(p / side) + F.lit(0.5)) / tile - F.lit(0.5), F.lit(0.0)), F.lit(float(tiles - 1)))
+
+    def axis(g: Column, far: int) -> tuple[Column, Column]:
+        d = g - F.floor(g)
+        d = (F.lit(1.0) - F.cos(F.lit(3.141592653589793) * d)) / F.lit(2.0) if cosine else d
+        return F.least(F.floor(g) + far, F.lit(tiles - 1)), d if far else F.lit(1.0) - d
+
+    total = F.lit(0.0)
+    for dy in (0, 1):
+        for dx in (0, 1):
+            (ty, fy), (tx, fx) = axis(gy, dy), axis(gx, dx)
+            total = total + fx * fy * F.get(weights, (ty * tiles + tx).cast("int"))
+    return total
+
+
+def tile_weighted_mean(frames: DataFrame, weights: DataFrame, tile: int, side: int = SIDE, cosine: bool = False) -> DataFrame:
+    """(capture_id, px, value): mean of frames by weights (capture_id, frame_idx, ty, tx, w) of their tiles, blended between
+    tiles. A frame's weights join it as one small array, so frames without any never explode and pixels only sum."""
+    tiles = side // tile
+    held = F.map_from_entries(F.collect_list(F.struct((F.col("ty") * tiles + F.col("tx")).cast("int"), "w")))
+    own = weights.groupBy("capture_id", "frame_idx").agg(held.alias("_held"))
+    flat = F.transform(F.sequence(F.lit(0), F.lit(tiles * tiles - 1)), lambda t: F.coalesce(F.try_element_at("_held", t), F.lit(0.0)))
+    met = frames.select("capture_id", "frame_idx", "plane").join(own, ["capture_id", "frame_idx"]).withColumn("_flat", flat)
+    weighed = F.transform("plane", lambda v, p: F.struct(v.alias("v"), pixel_weight(p, F.col("_flat"), tile, side, cosine).alias("w")))
+    long = met.select("capture_id", F.posexplode(weighed).alias("px", "z")).where(F.col("z.w") > 0)
+    return long.groupBy("capture_id", "px").agg((F.sum(F.col("z.v") * F.col("z.w")) / F.sum("z.w")).alias("value"))
+
+
 def region_stack(frames: DataFrame, selection: DataFrame, tile: int, side: int = SIDE) -> DataFrame:
     """Blend of the frames selected per tile: equal weights within a tile, bilinear weights between tiles."""
-    counted = selection.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("capture_id", "ty", "tx")))
-    near = tile_of_pixel(exploded(frames), tile, side)
-    met = near.join(counted.select("capture_id", "ty", "tx", "frame_idx", "k"), ["capture_id", "ty", "tx", "frame_idx"])
-    return met.groupBy("capture_id", "px").agg((F.sum(F.col("v") * F.col("w") / F.col("k")) / F.sum(F.col("w") / F.col("k"))).alias("value"))
+    share = F.lit(1.0) / F.count(F.lit(1)).over(Window.partitionBy("capture_id", "ty", "tx"))
+    return tile_weighted_mean(frames, selection.withColumn("w", share), tile, side)
 
 
 def sigmoid_weights(cells: DataFrame, fraction: float) -> DataFrame:
@@ -164,10 +211,8 @@ def sigmoid_weights(cells: DataFrame, fraction: float) -> DataFrame:
 
 def two_stage_stack(frames: DataFrame, weights: DataFrame, grid: int, side: int = SIDE) -> DataFrame:
     """Per-cell weights, blended between cells by raised cosines: Sum(v b w) / Sum(b w) per pixel."""
-    near = tile_of_pixel(exploded(frames), side // grid, side, cosine=True).withColumnsRenamed({"w": "b"})
     own = weights.select("capture_id", "frame_idx", F.col("cy").alias("ty"), F.col("cx").alias("tx"), "w")
-    met = near.join(own, ["capture_id", "frame_idx", "ty", "tx"])
-    return met.groupBy("capture_id", "px").agg((F.sum(F.col("v") * F.col("b") * F.col("w")) / F.sum(F.col("b") * F.col("w"))).alias("value"))
+    return tile_weighted_mean(frames, own, side // grid, side, cosine=True)
 
 
 def drizzle(frames: DataFrame, scale: int, pixfrac: float, side: int = SIDE) -> DataFrame:

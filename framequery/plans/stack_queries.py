@@ -71,8 +71,7 @@ def ag10_sigma_clip_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ag11_clipped_mean_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = rd.exploded(_frames(spark, sf_dir)).groupBy("capture_id", "px").agg(F.array_sort(F.collect_list("v")).alias("vs"))
-    return lists.select("capture_id", "px", F.round(rd.clipped_mean(F.col("vs"), 2.0, 2), 6).alias("value"))
+    return rd.sigma_clipped_plane(_frames(spark, sf_dir), 2.0, rounds=2).select("capture_id", "px", F.round("value", 6).alias("value"))
 
 
 def tk04_region_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
