@@ -54,6 +54,27 @@ def shifted(frames: DataFrame, dx: Column, dy: Column, outside: str = "zero", si
     return moved.withColumn("plane", F.transform(F.sequence(F.lit(0), F.size("plane") - 1), one)).drop("_dx", "_dy")
 
 
+def locally_shifted(frames: DataFrame, dx: Column, dy: Column, local: DataFrame, grid: int, side: int = SIDE) -> DataFrame:
+    """Each frame moved by (dx, dy) plus a shift map's bilinear sample at each pixel; edges repeat.
+    local: (capture_id, frame_idx, ay, ax, dx, dy), one row a cell of a grid x grid map. A frame without a map, or a
+    cell without a row, has the local shift 0. The map joins its frame as one small array."""
+    cell = F.struct((F.col("ay") * grid + F.col("ax")).cast("int"), F.struct(F.col("dx").cast("double").alias("x"), F.col("dy").cast("double").alias("y")))
+    maps = local.groupBy(F.col("capture_id").alias("_capture"), F.col("frame_idx").alias("_frame")).agg(F.map_from_entries(F.collect_list(cell)).alias("_held"))
+    zero = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    flat = F.transform(F.sequence(F.lit(0), F.lit(grid * grid - 1)), lambda c: F.coalesce(F.try_element_at("_held", c), zero))
+    own = F.col("capture_id").eqNullSafe(F.col("_capture")) & (F.col("frame_idx") == F.col("_frame"))
+    moved = frames.withColumns({"_dx": dx.cast("double"), "_dy": dy.cast("double")}).join(maps, own, "left").withColumn("_flat", flat)
+
+    def from_map(p: Column) -> Column:
+        ux, uy = ((v + F.lit(0.5)) * F.lit(grid / side) - F.lit(0.5) for v in (p % side, F.floor(p / side)))
+        both = {a: sample_bilinear(F.transform("_flat", lambda m: m[a]), ux, uy, grid, "clamp") for a in ("x", "y")}
+        return F.struct(((p % side) - F.col("_dx") - both["x"]).alias("x"), (F.floor(p / side) - F.col("_dy") - both["y"]).alias("y"))
+
+    at = F.transform(F.sequence(F.lit(0), F.size("plane") - 1), from_map)
+    read = F.transform("_at", lambda s: sample_bilinear(F.col("plane"), s["x"], s["y"], side, "clamp"))
+    return moved.withColumn("_at", at).withColumn("plane", read).select(frames.columns)
+
+
 def coverage_mean(frames: DataFrame, weight: Column) -> DataFrame:
     """Weighted mean over the samples that lie in their frame; NULL samples carry no weight, and weights have a floor."""
     long = exploded(frames.withColumn("_w", weight)).where(F.col("v").isNotNull())

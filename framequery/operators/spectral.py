@@ -1,6 +1,7 @@
 """Operators on whole planes that need FFTs or wide stencils: numpy over Arrow batches, one plane a row.
 
-All are maps over frames (`plane ARRAY<DOUBLE>`); a reference plane is a closure of one frame's size.
+All are maps over frames (`plane ARRAY<DOUBLE>`). A reference is a closure of one frame's size, or the name of a column
+that holds each row's own.
 """
 
 from __future__ import annotations
@@ -12,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
-def _planes(batch: pa.RecordBatch, side: int) -> np.ndarray:
-    flat = batch.column(batch.schema.get_field_index("plane")).flatten().to_numpy(zero_copy_only=False)
+def _planes(batch: pa.RecordBatch, side: int, name: str = "plane") -> np.ndarray:
+    flat = batch.column(batch.schema.get_field_index(name)).flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(-1, side, side)
 
 
@@ -60,13 +61,19 @@ def _parabola(left: np.ndarray, centre: np.ndarray, right: np.ndarray) -> np.nda
     return np.where(np.abs(d) < 1e-8, 0.0, np.clip(0.5 * (left - right) / safe, -0.5, 0.5))
 
 
-def _peak_shift(cross: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
-    """(dx, dy) of each cross spectrum's peak, signed, with a parabola's sub-pixel part; (0, 0) without any energy."""
+def _peak_shift(cross: np.ndarray, side: int, near: tuple[np.ndarray, np.ndarray] | None = None, radius: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(dx, dy) of each cross spectrum's peak, signed, with a parabola's sub-pixel part; (0, 0) without any energy.
+    near: peaks are sought within radius of these (x, y), around the edges."""
     size = np.abs(cross)
     flat = size.max(axis=(1, 2)) < 1e-12
     c = np.fft.ifft2(cross / np.maximum(size, 1e-12)).real
     i = np.arange(len(c))
-    k = c.reshape(len(c), -1).argmax(axis=1)
+    searched = c
+    if near is not None:
+        away = [np.abs(np.arange(side) - (v[:, None] % side)) for v in near]
+        far_x, far_y = (np.minimum(d, side - d) > radius for d in away)
+        searched = np.where(far_y[:, :, None] | far_x[:, None, :], -np.inf, c)
+    k = searched.reshape(len(c), -1).argmax(axis=1)
     y, x = k // side, k % side
     dx = x + _parabola(c[i, y, (x - 1) % side], c[i, y, x], c[i, y, (x + 1) % side])
     dy = y + _parabola(c[i, (y - 1) % side, x], c[i, y, x], c[i, (y + 1) % side, x])
@@ -91,22 +98,46 @@ def _resized(planes: np.ndarray, side: int) -> np.ndarray:
     return planes
 
 
-def phase_correlation(frames: DataFrame, reference: np.ndarray, side: int, window: bool = False) -> DataFrame:
+def phase_correlation(frames: DataFrame, reference: np.ndarray | str, side: int, window: bool = False) -> DataFrame:
     """(dx, dy) = reference - frame by the peak of the normalised cross spectrum, with a parabola's sub-pixel part.
     window: subtract the mean and apply a Hann window first. A frame without any energy gives (0, 0) and is kept."""
 
     def prepared(p: np.ndarray) -> np.ndarray:
         return _hann(p) if window else p
 
-    ref = np.fft.fft2(prepared(reference.reshape(side, side)))
+    own = reference if isinstance(reference, str) else None
+    ref = None if own else np.fft.fft2(prepared(reference.reshape(side, side)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cross = ref * np.conj(np.fft.fft2(prepared(_planes(batch, side))))
-            dx, dy = _peak_shift(cross, side)
-            yield _with(batch, {"dx": dx, "dy": dy})
+            spectrum = np.fft.fft2(prepared(_planes(batch, side, own))) if own else ref
+            dx, dy = _peak_shift(spectrum * np.conj(np.fft.fft2(prepared(_planes(batch, side)))), side)
+            yield _with(batch.drop_columns([own]) if own else batch, {"dx": dx, "dy": dy})
 
-    return frames.mapInArrow(run, _schema(frames, "dx double, dy double"))
+    return frames.mapInArrow(run, _schema(frames.drop(own) if own else frames, "dx double, dy double"))
+
+
+def cascade_correlation(frames: DataFrame, reference: str, side: int, coarse: int = 256, radius: int = 8, least: int = 64) -> DataFrame:
+    """(dx, dy) = reference - frame in two passes under Hann windows: planes sampled to coarse x coarse give a first shift;
+    at the largest power of two that fits (1024 at most) the peak within radius of it counts. Under least pixels the
+    first shift stands. So no far basin of noise wins. reference: the column of each row's reference plane."""
+    fine = 1 << (min(side, 1024).bit_length() - 1)
+
+    def cross(frame: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
+        return np.fft.fft2(_hann(_resized(own, n))) * np.conj(np.fft.fft2(_hann(_resized(frame, n))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            frame, own = _planes(batch, side), _planes(batch, side, reference)
+            dx, dy = _peak_shift(cross(frame, own, coarse), coarse)
+            n = coarse
+            if fine >= least:
+                n = fine
+                near = tuple(np.rint(v * n / coarse).astype(int) for v in (dx, dy))
+                dx, dy = _peak_shift(cross(frame, own, n), n, near, radius)
+            yield _with(batch.drop_columns([reference]), {"dx": dx * side / n, "dy": dy * side / n})
+
+    return frames.mapInArrow(run, _schema(frames.drop(reference), "dx double, dy double"))
 
 
 def region_correlation(frames: DataFrame, reference: np.ndarray, side: int, region: tuple[float, float, float, float], least: int = 64) -> DataFrame:
@@ -169,8 +200,13 @@ def gaussian_blur(planes: np.ndarray, sigma: float) -> np.ndarray:
     return planes
 
 
-def unsharp(planes: np.ndarray, sigma: float, amount: float) -> np.ndarray:
-    return planes + amount * (planes - gaussian_blur(planes, sigma))
+def unsharp(planes: np.ndarray, sigma: float, amount: float, adaptive: tuple[float, float] | None = None) -> np.ndarray:
+    """planes plus amount times what a blur takes away, held to 0 .. 1. adaptive: a smoothstep of the values between these
+    two scales the amount."""
+    if adaptive:
+        t = np.clip((planes - adaptive[0]) / (adaptive[1] - adaptive[0]), 0.0, 1.0)
+        amount = amount * (t * t * (3 - 2 * t))
+    return np.clip(planes + amount * (planes - gaussian_blur(planes, sigma)), 0.0, 1.0)
 
 
 def wavelet_sharpen(planes: np.ndarray, amounts: list[float], base_sigma: float = 1.0, threshold: float = 0.0) -> np.ndarray:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framequery.functions import pixels as px
 from framequery.operators import reduce as rd
 from framequery.operators import spectral as sp
+from framequery.plans import spectral_sql as sql
 from framequery.plans.frame_queries import _frames
 
 _OWN = ["capture_id", "frame_idx"]
@@ -64,16 +64,28 @@ def ag28_fft_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp.fft_bands(_frames(spark, sf_dir), 8).select(*_OWN, F.round("mid", 6).alias("mid"), F.round("high", 6).alias("high"))
 
 
-def rg01_phase_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _referred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each frame beside the first plane of its capture."""
     f = _frames(spark, sf_dir)
-    reference = np.array(f.orderBy("frame_idx").first()["plane"])  # one frame
-    return sp.phase_correlation(f, reference, 8).select(*_OWN, F.round("dx", 6).alias("dx"), F.round("dy", 6).alias("dy"))
+    first = f.groupBy(F.col("capture_id").alias("_capture")).agg(F.min_by("plane", "frame_idx").alias("reference"))
+    return f.join(first, F.col("capture_id").eqNullSafe(F.col("_capture"))).select(*_OWN, "plane", "reference")
+
+
+def _shift_columns(shifts: DataFrame) -> DataFrame:
+    return shifts.select(*_OWN, F.round("dx", 6).alias("dx"), F.round("dy", 6).alias("dy"))
+
+
+def rg01_phase_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shift_columns(sp.phase_correlation(_referred(spark, sf_dir), "reference", 8))
 
 
 def rg02_phase_correlation_hann(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _frames(spark, sf_dir)
-    reference = np.array(f.orderBy("frame_idx").first()["plane"])  # one frame
-    return sp.phase_correlation(f, reference, 8, window=True).select(*_OWN, F.round("dx", 6).alias("dx"), F.round("dy", 6).alias("dy"))
+    return _shift_columns(sp.phase_correlation(_referred(spark, sf_dir), "reference", 8, window=True))
+
+
+def rg02_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both passes at the size of 8x8 frames."""
+    return _shift_columns(sp.cascade_correlation(_referred(spark, sf_dir), "reference", 8, coarse=4, radius=1, least=8))
 
 
 def _mapped(f):
@@ -105,13 +117,14 @@ SELECT event_id, round(power(least(greatest((r - 0.1::DOUBLE) / 0.8::DOUBLE, 0),
         px10_tone_lookup,
         f"WITH {_SQL_RGB}, t AS (SELECT event_id, least(greatest(g, 0), 1) * 32 AS k, {_LIST} AS l FROM c) SELECT event_id, round(l[floor(k)::INT + 1] + (l[least(floor(k)::INT + 1, 32) + 1] - l[floor(k)::INT + 1]) * (k - floor(k)), 6) AS g FROM t",
     ),
-    "ag28_fft_bands": (ag28_fft_bands, None),
+    "ag28_fft_bands": (ag28_fft_bands, sql.fft_bands()),
     "rg01_phase_correlation": (rg01_phase_correlation, None),
     "rg02_phase_correlation_hann": (rg02_phase_correlation_hann, None),
-    "px14_unsharp": (_mapped(lambda p: sp.unsharp(p, 1.0, 0.5)), None),
-    "px15_guided_filter": (_mapped(lambda p: sp.guided_filter(p, 1)), None),
-    "px16_wavelet": (_mapped(lambda p: sp.wavelet_sharpen(p, [1.5, 1.2, 1.0], 0.8, 0.01)), None),
-    "px17_richardson_lucy": (_mapped(lambda p: sp.richardson_lucy(p + 0.5, 0.8, 5)), None),
-    "px18_wiener": (_mapped(lambda p: sp.wiener(p + 0.5, 0.8, 50.0)), None),
-    "px19_bilateral": (_mapped(lambda p: sp.bilateral(p, 1, 1.0, 0.2)), None),
+    "rg02_cascade": (rg02_cascade, None),
+    "px14_unsharp": (_mapped(lambda p: sp.unsharp(p + 0.5, 1.0, 0.5, (0.25, 0.75))), sql.unsharp(1.0, 0.5, 0.25, 0.75, 0.5)),
+    "px15_guided_filter": (_mapped(lambda p: sp.guided_filter(p, 1)), sql.guided(8e-4)),
+    "px16_wavelet": (_mapped(lambda p: sp.wavelet_sharpen(p, [1.5, 1.2, 1.0], 0.8, 0.01)), sql.wavelet([1.5, 1.2, 1.0], 0.8, 0.01)),
+    "px17_richardson_lucy": (_mapped(lambda p: sp.richardson_lucy(p + 0.5, 0.8, 5)), sql.richardson_lucy(0.8, 5, 0.5)),
+    "px18_wiener": (_mapped(lambda p: sp.wiener(p + 0.5, 0.8, 50.0)), sql.wiener(0.8, 50.0, 0.5)),
+    "px19_bilateral": (_mapped(lambda p: sp.bilateral(p, 1, 1.0, 0.2)), sql.bilateral(1.0, 0.2)),
 }

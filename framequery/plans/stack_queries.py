@@ -100,6 +100,27 @@ def ag14_drizzle2x(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("capture_id", "ox", "oy", F.round("value", 6).alias("value"), F.round("weight", 6).alias("weight"))
 
 
+def ag15_local_accumulate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames moved by a made-up drift and a made-up 4x4 shift map, then averaged by weight."""
+    f = _frames(spark, sf_dir)
+    cells = f.select(*_OWN, F.explode(F.sequence(F.lit(0), F.lit(15))).alias("c"))
+    ay, ax = F.floor(F.col("c") / 4), F.col("c") % 4
+    dx, dy = (((F.col("frame_idx") + ax + ay * 2) % 3) - 1) * F.lit(0.25), (((F.col("frame_idx") + ax * 2 + ay) % 5) - 2) * F.lit(0.125)
+    local = cells.select(*_OWN, ay.alias("ay"), ax.alias("ax"), dx.alias("dx"), dy.alias("dy"))
+    got = rd.coverage_mean(rd.locally_shifted(f, *_drift(), local, 4), F.lit(1.0) + F.col("frame_idx") % 2)
+    return got.select("capture_id", "px", F.round("value", 6).alias("value"))
+
+
+def _sql_map(value: str) -> str:
+    """SQL of the 4x4 map's bilinear sample at (ux, uy); value is of (ax, ay)."""
+
+    def at(i: int, j: int) -> str:
+        return value.replace("ax", f"least(floor(ux) + {i}, 3)").replace("ay", f"least(floor(uy) + {j}, 3)")
+
+    parts = (f"({at(i, j)}) * ({'ux - floor(ux)' if i else '1 - ux + floor(ux)'}) * ({'uy - floor(uy)' if j else '1 - uy + floor(uy)'})" for i in (0, 1) for j in (0, 1))
+    return " + ".join(parts)
+
+
 def ag17_calibration_masters(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = _frames(spark, sf_dir)
     dark = rd.mean_plane(f.where(F.col("frame_idx") % 2 == 0))
@@ -207,6 +228,13 @@ SELECT capture_id, p::INT AS px, round(avg(v), 6) AS value FROM b WHERE abs(v -
   FROM px SEMI JOIN kept USING (capture_id, frame_idx), range(2) a(i), range(2) b(j)),
 c AS (SELECT *, greatest(least(x1, ox + 1) - greatest(x0, ox), 0) * greatest(least(y1, oy + 1) - greatest(y0, oy), 0) AS a FROM d)
 SELECT capture_id, ox::INT AS ox, oy::INT AS oy, round(CASE WHEN sum(a) > 0 THEN sum(v * a) / sum(a) ELSE 0 END, 6) AS value, round(sum(a), 6) AS weight FROM c GROUP BY ALL""",
+    ),
+    "ag15_local_accumulate": (
+        ag15_local_accumulate,
+        f"""WITH {SQL_PIXELS}, u AS (SELECT *, least(greatest((x + 0.5::DOUBLE) / 2 - 0.5::DOUBLE, 0), 3) AS ux, least(greatest((y + 0.5::DOUBLE) / 2 - 0.5::DOUBLE, 0), 3) AS uy FROM px),
+s AS (SELECT *, x - ({SQL_DX}) - ({_sql_map("((frame_idx + ax + ay * 2) % 3 - 1) * 0.25::DOUBLE")}) AS sx, y - ({SQL_DY}) - ({_sql_map("((frame_idx + ax * 2 + ay) % 5 - 2) * 0.125::DOUBLE")}) AS sy FROM u),
+m AS (SELECT capture_id, frame_idx, p, {sql_sample("sx", "sy", "clamp")} AS v FROM s)
+SELECT capture_id, p::INT AS px, round(sum(v * (1 + frame_idx % 2)) / sum(1.0::DOUBLE + frame_idx % 2), 6) AS value FROM m GROUP BY ALL""",
     ),
     "ag17_calibration_masters": (
         ag17_calibration_masters,

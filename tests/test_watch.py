@@ -42,3 +42,28 @@ def test_region_and_channel_shifts_are_found(spark):
     c = sp.channel_shifts(images, 64).first()
     assert abs(c.red_dx - 3) < 0.6 and abs(c.red_dy + 2) < 0.6
     assert (c.blue_dx, c.blue_dy) == (0.0, 0.0)
+
+
+def test_cascade_finds_shifts_and_ignores_a_far_basin(spark):
+    plane = _scene(128)
+    wanted = [(3, -2), (-17, 9), (0, 0)]
+    rows = [(k, np.roll(plane, (-dy, -dx), axis=(0, 1)).ravel().tolist(), plane.ravel().tolist()) for k, (dx, dy) in enumerate(wanted)]
+    frames = spark.createDataFrame(rows, "id int, plane array<double>, reference array<double>")
+    for coarse, side_least in ((64, 64), (64, 256)):
+        got = {r.id: (r.dx, r.dy) for r in sp.cascade_correlation(frames, "reference", 128, coarse=coarse, least=side_least).collect()}
+        assert all(abs(got[k][0] - dx) < 1.5 and abs(got[k][1] - dy) < 1.5 for k, (dx, dy) in enumerate(wanted)), got
+    # The peak at (20, 0) is higher, but only those near (2, 126) count.
+    surface = np.zeros((1, 128, 128))
+    surface[0, 0, 20], surface[0, 127, 2] = 2.0, 1.0
+    cross = np.fft.fft2(surface)
+    dx, dy = sp._peak_shift(cross, 128, (np.array([2]), np.array([-2])), 8)
+    assert abs(dx[0] - 2) <= 0.5 and abs(dy[0] + 1) <= 0.5
+
+
+def test_phase_correlation_takes_a_reference_per_row(spark):
+    plane = _scene(32)
+    rows = [(0, np.roll(plane, 2, axis=1).ravel().tolist(), plane.ravel().tolist()), (1, plane.ravel().tolist(), np.roll(plane, 3, axis=0).ravel().tolist())]
+    got = sp.phase_correlation(spark.createDataFrame(rows, "id int, plane array<double>, reference array<double>"), "reference", 32)
+    assert got.columns == ["id", "dx", "dy"]
+    found = {r.id: (round(r.dx), round(r.dy)) for r in got.collect()}
+    assert found == {0: (-2, 0), 1: (0, 3)}
