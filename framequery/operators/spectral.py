@@ -18,9 +18,9 @@ def _planes(batch: pa.RecordBatch, side: int, name: str = "plane") -> np.ndarray
     return flat.reshape(-1, side, side)
 
 
-def _with(batch: pa.RecordBatch, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+def _with(batch: pa.RecordBatch, columns: dict[str, np.ndarray | pa.Array]) -> pa.RecordBatch:
     keep = [i for i, n in enumerate(batch.schema.names) if n != "plane"]
-    return pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), *map(pa.array, columns.values())], names=[*(batch.schema.names[i] for i in keep), *columns])
+    return pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), *(v if isinstance(v, pa.Array) else pa.array(v) for v in columns.values())], names=[*(batch.schema.names[i] for i in keep), *columns])
 
 
 def _schema(frames: DataFrame, extra: str) -> str:

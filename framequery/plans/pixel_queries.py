@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from framequery.functions import pixels as px
 from framequery.operators import reduce as rd
 from framequery.operators import spectral as sp
+from framequery.operators.point_spread import point_spread
 from framequery.plans import spectral_sql as sql
 from framequery.plans.frame_queries import _frames
 
@@ -88,6 +89,21 @@ def rg02_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shift_columns(sp.cascade_correlation(_referred(spark, sf_dir), "reference", 8, coarse=4, radius=1, least=8))
 
 
+def rg08_point_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Made-up 96x96 scenes, one a frame: a disc, a slanted edge or nothing, each as soft as the frame's index says."""
+    f = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("label").alias("capture_id"), F.col("vec_id").alias("frame_idx"))
+    soft = F.lit(0.5) + (F.col("frame_idx") % 5) * F.lit(0.25)
+
+    def scene(p):
+        x, y = (p % 96) - F.lit(48.0), F.floor(p / 96) - F.lit(48.0)
+        depth = F.when(F.col("frame_idx") % 3 == 0, F.lit(30.0) - F.sqrt(x * x + y * y)).when(F.col("frame_idx") % 3 == 1, x * F.lit(0.96) + y * F.lit(0.28))
+        return F.coalesce(F.lit(0.8) / (F.lit(1.0) + F.exp(-depth / soft)), F.lit(0.0))
+
+    made = f.withColumn("plane", F.transform(F.sequence(F.lit(0), F.lit(96 * 96 - 1)), scene))
+    got = point_spread(made, 96)
+    return got.select(*_OWN, "spread_of", *(F.round(c, 4).alias(c) for c in ("sigma", "confidence", "x", "y")))
+
+
 def _mapped(f):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return rd.exploded(sp.map_planes(_frames(spark, sf_dir), f, 8)).select(*_OWN, "px", F.round("v", 6).alias("v"))
@@ -121,6 +137,7 @@ SELECT event_id, round(power(least(greatest((r - 0.1::DOUBLE) / 0.8::DOUBLE, 0),
     "rg01_phase_correlation": (rg01_phase_correlation, None),
     "rg02_phase_correlation_hann": (rg02_phase_correlation_hann, None),
     "rg02_cascade": (rg02_cascade, None),
+    "rg08_point_spread": (rg08_point_spread, None),
     "px14_unsharp": (_mapped(lambda p: sp.unsharp(p + 0.5, 1.0, 0.5, (0.25, 0.75))), sql.unsharp(1.0, 0.5, 0.25, 0.75, 0.5)),
     "px15_guided_filter": (_mapped(lambda p: sp.guided_filter(p, 1)), sql.guided(8e-4)),
     "px16_wavelet": (_mapped(lambda p: sp.wavelet_sharpen(p, [1.5, 1.2, 1.0], 0.8, 0.01)), sql.wavelet([1.5, 1.2, 1.0], 0.8, 0.01)),
