@@ -14,9 +14,10 @@ from framequery.functions import rules as ru
 from framequery.functions import stats
 from framequery.plans.frame_queries import _frames
 from framequery.plans.pixel_queries import _SQL_RGB, _rgb
-from framequery.sources import ser
+from framequery.sources import report, ser
 
 _OWN = ["capture_id", "frame_idx"]
+_COLORS = ("mono", "bayerRGGB", "rgb", "bgr")
 _PATTERNS = ("bayerRGGB", "bayerGRBG", "bayerGBRG", "bayerBGGR")
 
 
@@ -125,6 +126,19 @@ def sc13_header_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", F.unix_millis(ru.header_date(raw)).alias("ms"))
 
 
+def sk10_capture_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of made-up headers, one an event."""
+    e, n = spark.read.parquet(f"{sf_dir}/events.parquet"), F.col("event_id")
+    frames, each = (n % 900).cast("int"), n % 1000 + 1
+    ticks = F.when(n % 4 == 0, F.lit(0)).otherwise(F.lit(637500000000000000) + n * 10000000)
+    heads = e.select(
+        n, F.concat(F.lit("/captures/"), F.col("event_type"), F.lit("-"), n, F.lit(".ser")).alias("path"), (n % 640 + 1).cast("int").alias("w"), (n % 480 + 1).cast("int").alias("h"),
+        F.when(n % 2 == 0, 8).otherwise(16).alias("depth"), F.get(F.array(*(F.lit(c) for c in _COLORS)), (n % 4).cast("int")).alias("color"), frames.alias("frame_count"),
+        each.alias("bytes_per_frame"), F.lit("cam").alias("instrument"), F.lit("").alias("observer"), F.lit("80 mm").alias("telescope"), ticks.alias("ticks_utc"),
+    )
+    return report.ser_report(heads).select("event_id", "report")
+
+
 def sf08_color_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     return e.select("event_id", ru.color_label(F.col("event_id") % 21 - 1).alias("label"))
@@ -209,6 +223,14 @@ SELECT capture_id, frame_idx, i::INT AS px, round(a + (b - a) * ({_SQL_MASK_AT})
 c AS (SELECT event_type, v, sum(n) OVER (PARTITION BY event_type ORDER BY v) AS c, sum(n) OVER (PARTITION BY event_type) AS t FROM n),
 b AS (SELECT event_type, min(v) FILTER (c >= t // 100) AS lo, min(v) FILTER (c >= t - t // 200) AS hi FROM c GROUP BY ALL)
 SELECT event_id, (CASE WHEN hi > lo + 1 THEN floor(greatest(0, least(255, round((v - lo) * (255::DOUBLE / (hi - lo)), 9)))) ELSE v END)::INT AS v FROM e JOIN b USING (event_type)""",
+    ),
+    "sk10_capture_reports": (
+        sk10_capture_reports,
+        """WITH c AS (SELECT *, ['mono', 'bayerRGGB', 'rgb', 'bgr'][event_id % 4 + 1] AS color FROM events)
+SELECT event_id, json_object('bytesPerFrame', event_id % 1000 + 1, 'captureDateUTC', CASE WHEN event_id % 4 > 0 THEN strftime(make_timestamp(1614403200000000 + event_id * 1000000), '%Y-%m-%dT%H:%M:%SZ') END,
+  'colorID', color, 'colorIsBayer', color = 'bayerRGGB', 'colorIsMono', color = 'mono', 'colorIsRGB', color IN ('rgb', 'bgr'), 'filename', event_type || '-' || event_id || '.ser', 'frameCount', event_id % 900,
+  'imageHeight', event_id % 480 + 1, 'imageWidth', event_id % 640 + 1, 'instrument', 'cam', 'observer', '', 'pixelDepth', CASE WHEN event_id % 2 = 0 THEN 8 ELSE 16 END, 'telescope', '80 mm',
+  'totalBytes', (event_id % 900) * (event_id % 1000 + 1))::VARCHAR AS report FROM c""",
     ),
     "sc13_header_dates": (
         sc13_header_dates,

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator, Sequence
+from typing import BinaryIO
 
 import numpy as np
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-from framequery.sources.ser import list_files, open_path
+from framequery.sources.ser import list_sizes, open_path
 
 # Sizes of the format.
 BLOCK, CARD = 2880, 80
 SCHEMA = "path string, w int, h int, date_obs string, cards map<string,string>, plane array<float>"
+HEADER_SCHEMA = "path string, w int, h int, date_obs string, cards map<string,string>, file_bytes long"
 
 
 def parse_card(card: str) -> tuple[str, str] | None:
@@ -34,12 +37,12 @@ def parse_card(card: str) -> tuple[str, str] | None:
     return key, value
 
 
-def decode(data: bytes, path: str = "") -> tuple[dict[str, str], np.ndarray]:
-    """Cards and (h, w) plane. Only two-dimensional 32-bit float images are read."""
+def read_cards(f: BinaryIO, path: str = "") -> dict[str, str]:
+    """The cards of a header, which f is left behind. Only two-dimensional 32-bit float images are read."""
     cards: dict[str, str] = {}
-    at, ended = 0, False
+    ended = False
     while not ended:
-        block = data[at : at + BLOCK]
+        block = f.read(BLOCK)
         if len(block) < BLOCK:
             raise ValueError(f"{path}: the header doesn't end")
         for k in range(0, BLOCK, CARD):
@@ -49,13 +52,19 @@ def decode(data: bytes, path: str = "") -> tuple[dict[str, str], np.ndarray]:
                 break
             if (found := parse_card(card)) and found[0] not in cards:
                 cards[found[0]] = found[1]
-        at += BLOCK
     if cards.get("SIMPLE") != "T" or cards.get("BITPIX") != "-32" or cards.get("NAXIS") != "2":
         raise ValueError(f"{path}: not a two-dimensional 32-bit float image")
+    return cards
+
+
+def decode(data: bytes, path: str = "") -> tuple[dict[str, str], np.ndarray]:
+    """Cards and (h, w) plane."""
+    f = io.BytesIO(data)
+    cards = read_cards(f, path)
     w, h = int(cards["NAXIS1"]), int(cards["NAXIS2"])
-    if len(data) < at + 4 * w * h:
+    if len(data) < f.tell() + 4 * w * h:
         raise ValueError(f"{path}: the data end early")
-    return cards, np.frombuffer(data, ">f4", w * h, at).reshape(h, w).astype(np.float32)
+    return cards, np.frombuffer(data, ">f4", w * h, f.tell()).reshape(h, w).astype(np.float32)
 
 
 def encode(plane: np.ndarray, cards: dict[str, str | float | int] | None = None) -> bytes:
@@ -71,35 +80,46 @@ def encode(plane: np.ndarray, cards: dict[str, str | float | int] | None = None)
     return head + b" " * (-len(head) % BLOCK) + body + b"\0" * (-len(body) % BLOCK)
 
 
-class FitsFile(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+class FitsFiles(InputPartition):
+    def __init__(self, files: list[tuple[str, int]]):
+        self.files = files
 
 
 class FitsReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.path = options["path"]
+    """The driver only lists files; a task of headers reads many."""
 
-    def partitions(self) -> Sequence[InputPartition]:
-        found = {p for suffix in (".fits", ".fit") for p in list_files(self.path, suffix)}
-        return [FitsFile(p) for p in sorted(found)]
+    def __init__(self, options: dict, headers_only: bool):
+        self.path, self.headers_only = options["path"], headers_only
 
-    def read(self, partition: FitsFile) -> Iterator[tuple]:
-        system, inner = open_path(partition.path)
-        with system.open_input_file(inner) as f:
-            cards, plane = decode(f.read(), partition.path)
-        yield partition.path, plane.shape[1], plane.shape[0], cards.get("DATE-OBS"), cards, plane.ravel().tolist()
+    def partitions(self) -> Sequence[InputPartition]:
+        found = sorted({f for suffix in (".fits", ".fit") for f in list_sizes(self.path, suffix)})
+        many = 256 if self.headers_only else 1
+        return [FitsFiles(found[k : k + many]) for k in range(0, len(found), many)]
+
+    def read(self, partition: FitsFiles) -> Iterator[tuple]:
+        for path, size in partition.files:
+            system, inner = open_path(path)
+            with system.open_input_file(inner) as f:
+                if self.headers_only:
+                    cards = read_cards(f, path)
+                    yield path, int(cards["NAXIS1"]), int(cards["NAXIS2"]), cards.get("DATE-OBS"), cards, size
+                else:
+                    cards, plane = decode(f.read(), path)
+                    yield path, plane.shape[1], plane.shape[0], cards.get("DATE-OBS"), cards, plane.ravel().tolist()
 
 
 class FitsDataSource(DataSource):
-    """spark.read.format("fits").load(path)."""
+    """spark.read.format("fits").load(path): one row a file; headersOnly=true: without the plane."""
 
     @classmethod
     def name(cls) -> str:
         return "fits"
 
+    def _headers_only(self) -> bool:
+        return str(self.options.get("headersOnly", "false")).lower() == "true"
+
     def schema(self) -> str:
-        return SCHEMA
+        return HEADER_SCHEMA if self._headers_only() else SCHEMA
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return FitsReader(self.options)
+        return FitsReader(self.options, self._headers_only())

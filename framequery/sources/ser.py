@@ -64,15 +64,19 @@ def open_path(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
-def list_files(path: str, suffix: str) -> list[str]:
-    """The files of a folder (or the one file), by name; hidden ones are skipped."""
+def list_sizes(path: str, suffix: str) -> list[tuple[str, int]]:
+    """The files of a folder (or the one file) with their sizes, by name; hidden ones are skipped."""
     system, inner = open_path(path)
     info = system.get_file_info(inner)
     prefix = path[: len(path) - len(inner)] if path.endswith(inner) else ""
     if info.type == fs.FileType.File:
-        return [path]
+        return [(path, info.size)]
     found = system.get_file_info(fs.FileSelector(inner))
-    return [prefix + f.path for f in sorted(found, key=lambda f: f.path) if f.is_file and f.path.lower().endswith(suffix) and not f.base_name.startswith(".")]
+    return [(prefix + f.path, f.size) for f in sorted(found, key=lambda f: f.path) if f.is_file and f.path.lower().endswith(suffix) and not f.base_name.startswith(".")]
+
+
+def list_files(path: str, suffix: str) -> list[str]:
+    return [p for p, _ in list_sizes(path, suffix)]
 
 
 def read_header(path: str) -> dict:
@@ -82,42 +86,49 @@ def read_header(path: str) -> dict:
         return parse_header(f.read(HEADER_BYTES), length, path)
 
 
-class FrameRange(InputPartition):
-    def __init__(self, header: dict, first: int, last: int):
-        self.header, self.first, self.last = header, first, last
+class Share(InputPartition):
+    """Files whose headers a task reads, or its share of one file's frames: `part` of `parts`."""
+
+    def __init__(self, paths: list[str], part: int = 0, parts: int = 1):
+        self.paths, self.part, self.parts = paths, part, parts
 
 
 class SerReader(DataSourceReader):
+    """The driver only lists files and their sizes; tasks read the headers."""
+
     def __init__(self, options: dict, headers_only: bool):
         self.headers_only = headers_only
         self.path = options["path"]
-        self.per_partition = int(options.get("framesPerPartition", "64"))
+        self.per_share = int(options.get("bytesPerPartition", str(64 << 20)))
 
     def partitions(self) -> Sequence[InputPartition]:
-        headers = [read_header(p) for p in list_files(self.path, ".ser")]
+        found = list_sizes(self.path, ".ser")
         if self.headers_only:
-            return [FrameRange(h, 0, 0) for h in headers]
-        return [FrameRange(h, k, min(k + self.per_partition, h["readable_frames"])) for h in headers for k in range(0, h["readable_frames"], self.per_partition)]
+            return [Share([p for p, _ in found[k : k + 256]]) for k in range(0, len(found), 256)]
+        parts = ((path, max(1, -(-size // self.per_share))) for path, size in found)
+        return [Share([path], k, n) for path, n in parts for k in range(n)]
 
-    def read(self, partition: FrameRange) -> Iterator[tuple]:
-        h = partition.header
+    def read(self, partition: Share) -> Iterator[tuple]:
         if self.headers_only:
-            yield tuple(h.values())
+            for path in partition.paths:
+                yield tuple(read_header(path).values())
             return
+        h = read_header(partition.paths[0])
+        first, last = (h["readable_frames"] * k // partition.parts for k in (partition.part, partition.part + 1))
         system, inner = open_path(h["path"])
         trailer = HEADER_BYTES + h["frame_count"] * h["bytes_per_frame"]
         with system.open_input_file(inner) as f:
-            ticks: tuple = (None,) * (partition.last - partition.first)
+            ticks: tuple = (None,) * (last - first)
             if h["file_bytes"] >= trailer + 8 * h["frame_count"]:
-                f.seek(trailer + 8 * partition.first)
+                f.seek(trailer + 8 * first)
                 ticks = struct.unpack(f"<{len(ticks)}q", f.read(8 * len(ticks)))
-            for k in range(partition.first, partition.last):
-                f.seek(HEADER_BYTES + k * h["bytes_per_frame"])
-                yield h["path"], k, h["w"], h["h"], h["depth"], h["color"], ticks[k - partition.first], f.read(h["bytes_per_frame"])
+            f.seek(HEADER_BYTES + first * h["bytes_per_frame"])
+            for k in range(first, last):
+                yield h["path"], k, h["w"], h["h"], h["depth"], h["color"], ticks[k - first], f.read(h["bytes_per_frame"])
 
 
 class SerDataSource(DataSource):
-    """spark.read.format("ser").load(path): raw frames; option headersOnly=true: one row a file."""
+    """spark.read.format("ser").load(path): raw frames, bytesPerPartition (64 MB) of a file a task; headersOnly=true: one row a file."""
 
     @classmethod
     def name(cls) -> str:

@@ -1,7 +1,9 @@
+import json
+
 import numpy as np
 import pytest
 
-from framequery.sources import fits, register, ser
+from framequery.sources import fits, register, report, ser
 
 
 def test_header_round_trip(tmp_path):
@@ -38,7 +40,7 @@ def test_truncated_file_reads_whole_frames_only(tmp_path, spark):
     (tmp_path / ".hidden.ser").write_bytes(whole)
     heads = spark.read.format("ser").option("headersOnly", "true").load(str(tmp_path)).orderBy("path").collect()
     assert [h.readable_frames for h in heads] == [4, 3]
-    frames = spark.read.format("ser").option("framesPerPartition", "2").load(str(tmp_path)).orderBy("path", "frame_idx").collect()
+    frames = spark.read.format("ser").option("bytesPerPartition", "150").load(str(tmp_path)).orderBy("path", "frame_idx").collect()
     assert [(f.frame_idx, f.data[0], f.ticks) for f in frames[:4]] == [(i, 0x10 + i, None) for i in range(4)]
     assert [f.ticks for f in frames[4:]] == [7, 8, 9]
     planes = spark.read.format("ser").load(str(tmp_path)).mapInArrow(ser.planes, "path string, frame_idx int, w int, h int, plane array<double>")
@@ -76,3 +78,28 @@ def test_fits_rejects_other_kinds():
 def test_fits_cards():
     assert fits.parse_card("EXPTIME =                  1.5 / seconds") == ("EXPTIME", "1.5")
     assert fits.parse_card("HISTORY made") is None
+
+
+def test_reports_of_a_folder(tmp_path, spark):
+    (tmp_path / "a.ser").write_bytes(ser.synthetic(w=8, h=6, n=5, color_id=8, strings=("Ann", "cam", ""), utc=638000000000000000))
+    (tmp_path / "b.ser").write_bytes(ser.synthetic(w=8, h=6, n=2, depth=16))
+    plane = np.zeros((3, 5), np.float32)
+    (tmp_path / "c.fits").write_bytes(fits.encode(plane, {"DATE-OBS": "2024-01-02T03:04:05"}))
+    (tmp_path / "d.fit").write_bytes(fits.encode(plane))
+    got = {r.path.rsplit("/", 1)[-1]: json.loads(r.report) for r in report.reports(spark, str(tmp_path)).collect()}
+    assert sorted(got) == ["a.ser", "b.ser", "c.fits", "d.fit"] and all(list(r) == sorted(r) for r in got.values())
+    a, b, c, d = (got[k] for k in sorted(got))
+    assert (a["filename"], a["frameCount"], a["bytesPerFrame"], a["totalBytes"], a["colorID"], a["colorIsBayer"]) == ("a.ser", 5, 48, 240, "bayerRGGB", True)
+    assert a["captureDateUTC"].startswith("2022-") and b["captureDateUTC"] is None and b["pixelDepth"] == 16 and b["colorIsMono"]
+    assert c["captureDateUTC"] == "2024-01-02T03:04:05Z" and "captureDateUTC" not in d and d["totalBytes"] == (tmp_path / "d.fit").stat().st_size
+    heads = spark.read.format("fits").option("headersOnly", "true").load(str(tmp_path))
+    assert "plane" not in heads.columns and heads.count() == 2
+
+
+def test_shares_hold_each_frame_once(tmp_path, spark):
+    register(spark)
+    (tmp_path / "a.ser").write_bytes(ser.synthetic(w=8, h=6, n=11, ticks=list(range(11))))
+    (tmp_path / "empty.ser").write_bytes(ser.synthetic(w=8, h=6, n=0))
+    for size in ("1", "100", "1000000"):
+        got = spark.read.format("ser").option("bytesPerPartition", size).load(str(tmp_path)).collect()
+        assert sorted((r.frame_idx, r.data[0], r.ticks) for r in got) == [(i, 0x10 + i, i) for i in range(11)]
