@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framequery.llm import decontaminate_queries, hmm_queries, page_queries, passage_queries, quality_queries, simhash_queries, tokenizer_queries, toxicity_queries
+from framequery.llm import chat_queries, decontaminate_queries, fim_queries, hmm_queries, page_queries, passage_queries, quality_queries, simhash_queries, tokenizer_queries, toxicity_queries, variant_queries
 
-_MODULES = (hmm_queries, decontaminate_queries, tokenizer_queries, simhash_queries, quality_queries, toxicity_queries, page_queries, passage_queries)
+_MODULES = (hmm_queries, decontaminate_queries, tokenizer_queries, simhash_queries, quality_queries, toxicity_queries, page_queries, passage_queries, variant_queries, fim_queries, chat_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
