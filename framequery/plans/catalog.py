@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framequery.plans import frame_queries, mosaic_queries, pixel_queries, planning_queries, rule_queries, stack_queries, stat_queries, stream_queries, watch_queries
+from framequery.plans import frame_queries, mosaic_queries, pixel_queries, planning_queries, rule_queries, stack_queries, stat_queries, stream_queries, watch_queries, writer_queries
 
-_MODULES = (frame_queries, stack_queries, stat_queries, rule_queries, pixel_queries, planning_queries, mosaic_queries, stream_queries, watch_queries)
+_MODULES = (frame_queries, stack_queries, stat_queries, rule_queries, pixel_queries, planning_queries, mosaic_queries, stream_queries, watch_queries, writer_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

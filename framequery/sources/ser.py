@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator, Sequence
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 # The header's layout and the colour ids of the format.
@@ -143,6 +144,88 @@ class SerDataSource(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return SerReader(self.options, self._headers_only())
 
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
+        return SerWriter(self.options, schema, overwrite)
+
+
+class SerWriter(DataSourceArrowWriter):
+    """df.write.format("ser").mode("append" or "overwrite").save(folder): one file for each path of the rows.
+
+    Rows are those of FRAME_SCHEMA, a path's together and in frame order (export.write_captures deals them so); files are
+    named by the last part of path. observer, instrument, telescope, ticks_local and ticks_utc are taken from columns of
+    these names where there are any. Ticks are appended where every frame has them. A task holds one batch of frames and the ticks of one file; a file's frames are first written beside it,
+    as the header tells their number.
+    """
+
+    def __init__(self, options: dict, schema: StructType, overwrite: bool):
+        from framequery.sources.commit import FileCommit
+
+        self.names = schema.names
+        missing = {"path", "w", "h", "depth", "color", "data"} - set(self.names)
+        if missing:
+            raise ValueError(f"rows of captures have no {sorted(missing)}")
+        self.out = FileCommit(options["path"], ".ser", overwrite)
+
+    def write(self, iterator: Iterator[pa.RecordBatch]):
+        from framequery.sources.commit import Written
+
+        folder, files, now = self.out.attempt(), [], None
+        for batch in iterator:
+            for k in range(batch.num_rows):
+                path = batch.column("path")[k].as_py()
+                if now is None or path != now.path:
+                    if now is not None:
+                        files.append(now.close())
+                    row = {n: batch.column(n)[k].as_py() for n in self.names if n not in ("data", "ticks")}
+                    now = OneCapture(f"{folder}/{len(files)}", path, row)
+                now.add(batch.column("data")[k].as_buffer(), batch.column("ticks")[k].as_py() if "ticks" in self.names else None)
+        if now is not None:
+            files.append(now.close())
+        return Written(files)
+
+    def commit(self, messages: list) -> None:
+        self.out.commit(messages)
+
+    def abort(self, messages: list) -> None:
+        self.out.abort(messages)
+
+
+class OneCapture:
+    """A file that is being written: its frames, then header, frames and ticks."""
+
+    def __init__(self, place: str, path: str, row: dict):
+        from framequery.sources.commit import opened
+
+        self.place, self.path, self.row = place, path, row
+        self.name = path.rsplit("/", 1)[-1]
+        self.name += "" if self.name.lower().endswith(".ser") else ".ser"
+        self.color = next((k for k, v in COLORS.items() if v == row["color"]), None)
+        if self.color is None or row["depth"] not in (8, 16) or row["w"] <= 0 or row["h"] <= 0:
+            raise ValueError(f"{path}: {row['w']} x {row['h']} {row['color']} at {row['depth']} bits can't be written")
+        self.size = row["w"] * row["h"] * row["depth"] // 8 * (3 if self.color in (16, 17) else 1)
+        self.ticks: list[int | None] = []
+        self.system = open_path(place)[0]
+        self.frames: BinaryIO = opened(f"{place}.frames")
+
+    def add(self, data: pa.Buffer, ticks: int | None) -> None:
+        if data is None or data.size != self.size:
+            raise ValueError(f"{self.path}: frame {len(self.ticks)} has not {self.size} bytes")
+        self.frames.write(data)
+        self.ticks.append(ticks)
+
+    def close(self) -> tuple[str, str]:
+        self.frames.close()
+        row, n = self.row, len(self.ticks)
+        ticks = [] if None in self.ticks else self.ticks
+        strings, inner = tuple(row.get(k) or "" for k in ("observer", "instrument", "telescope")), open_path(self.place)[1]
+        with self.system.open_output_stream(f"{inner}.ser") as out, self.system.open_input_stream(f"{inner}.frames") as frames:
+            out.write(header_bytes(n, row["w"], row["h"], row["depth"], self.color, strings, row.get("ticks_utc") or 0, row.get("ticks_local") or 0))
+            while part := frames.read(8 << 20):
+                out.write(part)
+            out.write(struct.pack(f"<{len(ticks)}q", *ticks))
+        self.system.delete_file(f"{inner}.frames")
+        return f"{self.place}.ser", self.name
+
 
 def unpack(data: bytes, w: int, h: int, depth: int, color: str) -> np.ndarray:
     """A frame as floats in 0..1: (h, w), or (h, w, 3) in RGB order."""
@@ -209,11 +292,14 @@ def demosaic(mosaic: np.ndarray, color: str, flip: bool = False) -> np.ndarray:
     return out[::-1, ::-1] if flip else out
 
 
+def header_bytes(n: int, w: int, h: int, depth: int, color_id: int, strings: tuple[str, str, str] = ("", "", ""), utc: int = 0, local: int = 0) -> bytes:
+    names = [s.encode("ascii", "replace")[:40] for s in strings]
+    return HEADER.pack(b"LUCAM-RECORDER", 0, color_id, 0, w, h, depth, n, *names, local, utc)
+
+
 def encode_ser(frames: Sequence[bytes], w: int, h: int, depth: int = 8, color_id: int = 0, ticks: Sequence[int] = (), strings: tuple[str, str, str] = ("", "", ""), utc: int = 0, local: int = 0) -> bytes:
     """A whole SER file: header, frames, and the trailer of ticks where there are any."""
-    names = [s.encode("ascii", "replace")[:40] for s in strings]
-    head = HEADER.pack(b"LUCAM-RECORDER", 0, color_id, 0, w, h, depth, len(frames), *names, local, utc)
-    return head + b"".join(frames) + struct.pack(f"<{len(ticks)}q", *ticks)
+    return header_bytes(len(frames), w, h, depth, color_id, strings, utc, local) + b"".join(frames) + struct.pack(f"<{len(ticks)}q", *ticks)
 
 
 def write_ser(path: str, frames: Sequence[bytes], **header) -> None:
