@@ -87,6 +87,21 @@ def read_header(path: str) -> dict:
         return parse_header(f.read(HEADER_BYTES), length, path)
 
 
+def read_frames(path: str, first: int, last: int) -> Iterator[tuple]:
+    """Rows of FRAME_SCHEMA of the frames [first, last) of a capture; nothing else of it is read."""
+    h = read_header(path)
+    system, inner = open_path(path)
+    trailer = HEADER_BYTES + h["frame_count"] * h["bytes_per_frame"]
+    with system.open_input_file(inner) as f:
+        ticks: tuple = (None,) * (last - first)
+        if h["file_bytes"] >= trailer + 8 * h["frame_count"]:
+            f.seek(trailer + 8 * first)
+            ticks = struct.unpack(f"<{len(ticks)}q", f.read(8 * len(ticks)))
+        f.seek(HEADER_BYTES + first * h["bytes_per_frame"])
+        for k in range(first, last):
+            yield path, k, h["w"], h["h"], h["depth"], h["color"], ticks[k - first], f.read(h["bytes_per_frame"])
+
+
 class Share(InputPartition):
     """Files whose headers a task reads, or its share of one file's frames: `part` of `parts`."""
 
@@ -114,18 +129,9 @@ class SerReader(DataSourceReader):
             for path in partition.paths:
                 yield tuple(read_header(path).values())
             return
-        h = read_header(partition.paths[0])
-        first, last = (h["readable_frames"] * k // partition.parts for k in (partition.part, partition.part + 1))
-        system, inner = open_path(h["path"])
-        trailer = HEADER_BYTES + h["frame_count"] * h["bytes_per_frame"]
-        with system.open_input_file(inner) as f:
-            ticks: tuple = (None,) * (last - first)
-            if h["file_bytes"] >= trailer + 8 * h["frame_count"]:
-                f.seek(trailer + 8 * first)
-                ticks = struct.unpack(f"<{len(ticks)}q", f.read(8 * len(ticks)))
-            f.seek(HEADER_BYTES + first * h["bytes_per_frame"])
-            for k in range(first, last):
-                yield h["path"], k, h["w"], h["h"], h["depth"], h["color"], ticks[k - first], f.read(h["bytes_per_frame"])
+        path = partition.paths[0]
+        n = read_header(path)["readable_frames"]
+        yield from read_frames(path, *(n * k // partition.parts for k in (partition.part, partition.part + 1)))
 
 
 class SerDataSource(DataSource):

@@ -56,25 +56,28 @@ def completed_files(samples: DataFrame, needed: int = 2, forget_after: int | Non
 def limited_calls(calls: DataFrame, per_hour: int, forget_after: int | None = None) -> DataFrame:
     """calls (producer, seq, ms) with `accepted`: per_hour a fixed clock hour of the producer; rejected ones don't count.
 
-    An hour of a producer is a key of its own, so a late call is judged in the hour it belongs to. forget_after: state of
-    an hour not seen for so long (processing time, in ms) is dropped, as a service that never ends should ask for.
+    A producer is a key, its state the calls accepted in each of its hours, so a late call is judged in the hour it
+    belongs to. forget_after: a producer not seen for so long (processing time, in ms) is dropped, as a service that
+    never ends should ask for.
     """
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        used = state.get[0] if state.exists else 0
+        used = dict(zip(*state.get, strict=True)) if state.exists else {}
         rows = pd.concat(list(frames)).sort_values(["ms", "seq"])
-        good = [used + k < per_hour for k in range(len(rows))]
-        state.update((used + sum(good),))
+        hour = rows["ms"] // HOUR_MS
+        turn = rows.groupby(hour).cumcount() + hour.map(used).fillna(0).astype("int64")
+        for h, n in hour.value_counts().items():
+            used[h] = min(per_hour, used.get(h, 0) + n)
+        state.update(([int(h) for h in used], [int(n) for n in used.values()]))
         if forget_after:
             state.setTimeoutDuration(forget_after)
-        yield pd.DataFrame({"producer": key[0], "seq": rows["seq"].to_numpy(), "hour": key[1], "accepted": good})
+        yield pd.DataFrame({"producer": key[0], "seq": rows["seq"].to_numpy(), "hour": hour.to_numpy(), "accepted": (turn < per_hour).to_numpy()})
 
-    hourly = calls.withColumn("hour", F.floor(F.col("ms") / HOUR_MS).cast("long"))
     timeout = GroupStateTimeout.ProcessingTimeTimeout if forget_after else GroupStateTimeout.NoTimeout
-    return hourly.groupBy("producer", "hour").applyInPandasWithState(update, LIMIT_OUT, "used long", "append", timeout)
+    return calls.groupBy("producer").applyInPandasWithState(update, LIMIT_OUT, "hours array<long>, used array<long>", "append", timeout)
 
 
 def current_callbacks(callbacks: DataFrame) -> DataFrame:
@@ -110,3 +113,16 @@ def run_to_table(stream: DataFrame, schema: str) -> DataFrame:
     query = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(schema).parquet(f"{path}/out")
+
+
+def in_slices(table: DataFrame, order: str, slices: int = 4, files: int = 4) -> DataFrame:
+    """A table as a stream of several micro-batches: rows by ranges of the number `order`, each range written to the
+    shared folder after the one before, `files` files to a batch. Files are taken by the time they were written."""
+    spark = table.sparkSession
+    path = shared_path(spark, "slices")
+    low, high = table.agg(F.min(order), F.max(order)).first()
+    step = max(1, -(-((high or 0) - (low or 0) + 1) // slices))
+    for k in range(slices):
+        here = F.floor((F.col(order) - (low or 0)) / step) == k
+        table.where(here if k else here | F.col(order).isNull()).repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files).parquet(path)
