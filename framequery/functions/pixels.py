@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -91,6 +93,13 @@ def catmull_rom_table(points: list[tuple[float, float]], size: int = 1024) -> li
     return out
 
 
+def dual_zone_table(size: int = 1024, beta: float = 20.0) -> list[float]:
+    """A tone table of two zones: below one half an asinh stretch that ends in one half, so that what is faint beside a
+    disc is lifted; from there on the identity, so that the disc stays as it is."""
+    at = (i / (size - 1) for i in range(size))
+    return [0.5 * math.asinh(2 * t * beta) / math.asinh(beta) if t < 0.5 else t for t in at]
+
+
 def channel_normalise(v: Column, offset: Column | float, scale: Column | float) -> Column:
     """As white_balance, but nothing is held at 0."""
     return (v - offset) * scale

@@ -140,9 +140,10 @@ def cascade_correlation(frames: DataFrame, reference: str, side: int, coarse: in
     return frames.mapInArrow(run, _schema(frames.drop(reference), "dx double, dy double"))
 
 
-def region_correlation(frames: DataFrame, reference: np.ndarray, side: int, region: tuple[float, float, float, float], least: int = 64) -> DataFrame:
+def region_correlation(frames: DataFrame, reference: np.ndarray | str, side: int, region: tuple[float, float, float, float], least: int = 64) -> DataFrame:
     """phase_correlation within a region (x, y, width, height as shares of the plane, 8 pixels at least), sampled to the
-    largest power of two that fits (1024 at most). (dx, dy) are pixels of the plane; NULL where that is under least."""
+    largest power of two that fits (1024 at most). reference: one plane for all, or the column of each frame's own.
+    (dx, dy) are pixels of the plane; NULL where that is under least."""
     x, y = (max(0, min(side - 8, round(v * side))) for v in region[:2])
     w, h = (max(8, min(side - o, round(v * side))) for v, o in zip(region[2:], (x, y), strict=True))
     n = 1 << (min(w, h, 1024).bit_length() - 1)
@@ -151,12 +152,13 @@ def region_correlation(frames: DataFrame, reference: np.ndarray, side: int, regi
         return np.fft.fft2(_hann(_resized(planes[:, y : y + h, x : x + w], n)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ref = spectrum(reference.reshape(1, side, side)) if n >= least else None
+        one = None if isinstance(reference, str) else spectrum(reference.reshape(1, side, side))
         for batch in batches:
-            if ref is None:
+            if n < least:
                 none = pa.nulls(batch.num_rows, pa.float64())
                 yield _with(batch, {"dx": none, "dy": none})
                 continue
+            ref = spectrum(_planes(batch, side, reference)) if one is None else one
             dx, dy = _peak_shift(ref * np.conj(spectrum(_planes(batch, side))), n)
             yield _with(batch, {"dx": dx * w / n, "dy": dy * h / n})
 

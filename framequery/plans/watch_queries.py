@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +9,7 @@ from framequery.functions import rules as ru
 from framequery.operators import catalog as ct
 from framequery.operators import spectral as sp
 from framequery.plans.frame_queries import _frames
+from framequery.plans.pixel_queries import _referred
 from framequery.plans.stream_queries import _stream
 from framequery.streaming import stateful as st
 
@@ -73,9 +73,9 @@ def tk10_best_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rg04_region_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _frames(spark, sf_dir)
-    reference = np.array(f.orderBy("frame_idx").first()["plane"])  # one frame
-    return sp.region_correlation(f, reference, 8, (0.0, 0.0, 1.0, 1.0), least=8).select("capture_id", "frame_idx", F.round("dx", 6).alias("dx"), F.round("dy", 6).alias("dy"))
+    """Each frame against the first of its capture."""
+    found = sp.region_correlation(_referred(spark, sf_dir), "reference", 8, (0.0, 0.0, 1.0, 1.0), least=8)
+    return found.select("capture_id", "frame_idx", F.round("dx", 6).alias("dx"), F.round("dy", 6).alias("dy"))
 
 
 def rg07_channel_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:

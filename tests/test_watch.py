@@ -37,6 +37,10 @@ def test_region_and_channel_shifts_are_found(spark):
     r = sp.region_correlation(frames, plane, 64, (0.0, 0.0, 1.0, 1.0)).first()
     assert abs(r.dx - 3) < 0.6 and abs(r.dy + 2) < 0.6
     assert sp.region_correlation(frames, plane, 64, (0.1, 0.1, 0.5, 0.5)).first().dx is None
+    other = _scene(64)[::-1].copy()  # each frame beside a reference of its own
+    rows = [(0, moved.ravel().tolist(), plane.ravel().tolist()), (1, np.roll(other, (1, 4), axis=(0, 1)).ravel().tolist(), other.ravel().tolist())]
+    own = sp.region_correlation(spark.createDataFrame(rows, "id int, plane array<double>, reference array<double>"), "reference", 64, (0.0, 0.0, 1.0, 1.0)).orderBy("id").collect()
+    assert all(abs(q.dx - dx) < 0.6 and abs(q.dy - dy) < 0.6 for q, (dx, dy) in zip(own, [(3, -2), (-4, -1)], strict=True))
     far = np.roll(plane, 9, axis=1)
     images = spark.createDataFrame([(0, moved.ravel().tolist(), plane.ravel().tolist(), far.ravel().tolist())], "id int, red array<double>, green array<double>, blue array<double>")
     c = sp.channel_shifts(images, 64).first()
