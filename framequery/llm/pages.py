@@ -27,7 +27,7 @@ ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'
 # Element names of HTML by their part in a page.
 RAW = {tag: re.compile(rf"</{tag}\s*+>", re.IGNORECASE) for tag in "script style noscript template iframe textarea svg math select object".split()}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("head nav footer aside form button menu dialog label fieldset title".split())
+SKIPPED = frozenset("head nav footer aside button menu dialog label fieldset title".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup"
     " html li main nav ol p pre section summary table tbody td tfoot th thead tr ul hr caption".split()
@@ -43,6 +43,17 @@ MARKS = frozenset(
 # Those of MARKS that may also stand on a paragraph of the article.
 SOFT = frozenset("banner menu header footer notice notices alert social share sharing related recommended reply replies skip widget widgets toolbar promotion".split())
 PROSE = frozenset("p pre blockquote".split())
+# Those of MARKS that readers' comments have.
+COMMENTS = frozenset("comment comments commentlist disqus respond reply replies".split())
+# Those of MARKS that boxes beside an article have, never the layout of a page.
+BOXES = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal newsletter subscribe subscription signup login".split()
+)
+#: A marked block is a wrapper of the page, and stays, if it holds an article or a first heading and half of the page's
+#: worth, or nearly all of it.
+HALF, NEARLY = 0.5, 0.9
+#: Where all blocks are marked, one of such a worth stays.
+LONG = 500
 #: A paragraph with a soft mark stays if it has so many characters, at most half of them in links.
 PROSE_CHARS = 40
 #: Shares of a block's worth that go to containers further out: halved so often, they no longer count.
@@ -57,8 +68,9 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 
 @dataclass(slots=True)
 class Node:
-    """An element. step: its part of the path (None: the parent's path). container, article, block: the innermost such
-    element around it, itself included (0: none). doubtful: a paragraph that its marks alone don't decide about."""
+    """An element. step: its part of the path (None: the parent's path). skipped: its text isn't read. container, article,
+    block: the innermost such element around it, itself included (0: none). doubtful: a paragraph that its marks alone
+    don't decide about. marks: those of its names; judged: whether it stays is settled once the page is read."""
 
     tag: str
     step: str | None
@@ -69,6 +81,8 @@ class Node:
     article: int
     block: int
     doubtful: bool = False
+    marks: frozenset[str] = frozenset()
+    judged: bool = False
     text: int = 0
     linked: int = 0
 
@@ -80,11 +94,11 @@ class Page:
     blocks: list[tuple[int, str]] = field(default_factory=list)
 
 
-def _marked(attributes: str) -> tuple[str, bool, bool]:
-    """The generalised class part of a path, whether the names or the role say it isn't the article, and whether only
-    soft marks do."""
+def _marked(attributes: str) -> tuple[str, bool, frozenset[str]]:
+    """The generalised class part of a path, whether role or style say that it isn't shown or isn't the article, and the
+    marks among the names."""
     if not attributes or "=" not in attributes and "hidden" not in attributes:
-        return "", False, False
+        return "", False, frozenset()
     names: list[str] = []
     classes: list[str] = []
     skipped = False
@@ -101,8 +115,8 @@ def _marked(attributes: str) -> tuple[str, bool, bool]:
             skipped = True
         elif key == "style":
             skipped |= "display:none" in value.replace(" ", "").lower()
-    parts = {p for name in names for p in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower())} & MARKS
-    return "".join(f".{c}" for c in sorted(DIGITS.sub("#", c.lower()) for c in classes)), skipped or bool(parts), bool(parts) and not skipped and parts <= SOFT
+    parts = MARKS & {p for name in names for p in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower())}
+    return "".join(f".{c}" for c in sorted(DIGITS.sub("#", c.lower()) for c in classes)), skipped, parts
 
 
 def tokens(source: str) -> Iterator[tuple[str, str | None, str]]:
@@ -205,22 +219,71 @@ def parse(source: str) -> Page:
                 if (at := deepest(other)) and at > max(map(deepest, ("ul", "ol", "table", "dl"))):
                     close_to(at)
         up, k = nodes[stack[-1]], len(nodes)
-        classes, marked, soft = _marked(attributes)
-        soft &= tag in PROSE
-        skipped = up.skipped or tag in SKIPPED or tag == "header" and not up.article or marked and not soft and tag not in ("html", "body", "article", "main", *HEADINGS)
+        classes, hidden, marks = _marked(attributes)
+        soft = tag in PROSE and bool(marks) and marks <= SOFT
+        against = bool(marks) and not soft and tag not in ("html", "body", "article", "main", *HEADINGS)
+        judged = block and (against or tag == "form" or tag == "header" and not up.article)
+        skipped = up.skipped or hidden or tag in SKIPPED or against and not block
         nodes.append(
             Node(
                 tag, f"{tag}{classes}" if block else None, skipped, up.link or tag == "a", stack[-1],
-                k if tag in CONTAINER else up.container, k if tag in ("article", "main") else up.article, k if block else up.block, soft,
+                k if tag in CONTAINER else up.container, k if tag in ("article", "main") else up.article, k if block else up.block, soft, marks, judged,
             )
         )
         if block or not attributes.rstrip().endswith("/"):
             depths.setdefault(tag, []).append(len(stack))
             stack.append(k)
     flush()
+    _settle(page)
     return page
 
 
+def _settle(page: Page) -> None:
+    """Take out what the judged blocks hold, but for wrappers of the page and headers of an article.
+
+    A wrapper has a mark by chance, as `with-sidebar` or `comments-open`, or is a form around the page. It holds an
+    article or main element without marks, or a first heading, none of them inside another marked block, and HALF of the
+    page's worth; or NEARLY all of it, unless its names are those of BOXES; with names of comments all of it. A header stays if it has a
+    heading and stands beside paragraphs, in one element with them.
+    """
+    nodes = page.nodes
+    if not any(node.judged for node in nodes):
+        return
+    worth, _, _ = _totals(page)
+    # What a node holds outside marked blocks below it: an article or first heading, any heading, paragraphs of its own.
+    article, heading, prose = ([False] * len(nodes) for _ in range(3))
+    for k in range(len(nodes) - 1, 0, -1):
+        node = nodes[k]
+        if node.skipped:
+            continue
+        article[k] |= node.tag in ("article", "main") and not node.marks or node.tag == "h1"
+        heading[k] |= node.tag in HEADINGS
+        if node.tag in PROSE and node.text:
+            prose[node.parent] = True
+        if not node.judged:
+            article[node.parent] |= article[k]
+            heading[node.parent] |= heading[k]
+
+    def taken(stays: int) -> list[bool]:
+        gone = [False] * len(nodes)
+        for k, node in enumerate(nodes[1:], 1):
+            gone[k] = gone[node.parent]
+            if node.judged and not gone[k] and k != stays:
+                nearly = worth[k] >= (1.0 if node.marks & COMMENTS else NEARLY) * worth[0] and not node.marks & BOXES
+                beside = (node.tag == "header" or node.marks == {"header"}) and heading[k] and prose[node.parent]
+                gone[k] = not (article[k] and worth[k] >= HALF * worth[0] or nearly or beside)
+        return gone
+
+    gone = taken(0)
+    if all(gone[k] for k, _ in page.blocks):  # nothing is left: a long block without comments may be the article
+        most = max((k for k, node in enumerate(nodes) if node.judged and not node.marks & COMMENTS), key=lambda k: (worth[k], -k), default=0)
+        gone = taken(most) if most and worth[most] >= LONG else gone
+    page.blocks = [(k, text) for k, text in page.blocks if not gone[k]]
+    for k, node in enumerate(nodes):
+        if gone[k]:
+            node.text = node.linked = 0
+
+
 def _worth(node: Node, text: str) -> float:
     return len(text) * (1.0 - node.linked / max(1, node.text)) + 20.0 * (node.tag in ("p", "pre", "blockquote"))
 
