@@ -216,8 +216,8 @@ def links(distinct: DataFrame, most: int = 3, hot_rows: int = 50_000) -> DataFra
 def near_duplicates(docs: DataFrame, most: int = 3, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component_id): fp as a long; component_id is the least id that a row reaches over links.
 
-    Equal fingerprints are one class from the start, so copies are never paired. Rows with a NULL id get their class's
-    component (NULL where no row of it has an id). Fingerprints are written once to the shared folder. Ids are whole
+    Equal fingerprints are one class from the start, so copies are never paired. Rows with a NULL id link like any other
+    and get their component (NULL where no row of it has an id). Fingerprints are written once to the shared folder. Ids are whole
     numbers; repeated rows come out as often as they are there, and an empty table gives none. Other columns aren't
     read. Memory is bounded by a batch of text, a document's shingles, and a group of `links`.
     """
@@ -227,8 +227,10 @@ def near_duplicates(docs: DataFrame, most: int = 3, words: int = 3, id_col: str
     path = shared_folder(spark, "fingerprints")
     fingerprints(docs, words, id_col, text_col).write.parquet(path)
     fps = spark.read.schema(f"{id_col} long, fp long").parquet(path)
-    classes = fps.groupBy("fp").agg(F.min(id_col).alias("node"))
-    edges = links(classes.where(F.col("node").isNotNull()), most)
-    found = connected_components(edges)
-    named = classes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    # Fingerprints are linked, whatever ids their rows have; a component takes the least id of its rows afterwards.
+    classes = fps.groupBy("fp").agg(F.min(id_col).alias("least"))
+    found = connected_components(links(classes.select(F.col("fp").alias("node"), "fp"), most))
+    placed = classes.join(found.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = placed.select("fp", "component").join(least, "component").select("fp", "component_id")
     return fps.join(named, "fp").select(id_col, "fp", "component_id")
