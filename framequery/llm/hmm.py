@@ -276,8 +276,10 @@ def score_texts(
     docs = docs.select(F.col(id_col), F.col(text_col))
     learn = docs.where(~held)
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
-    shard = F.pmod(F.xxhash64(id_col, text_col), F.lit(max(1, -(-total // SHARD_BYTES)))).cast("int")
-    rows = docs.select(shard.alias("shard"), F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("text"), held.alias("held"))
+    # Rows are dealt over shards by a number that is written once, not by content: equal rows don't share a shard.
+    shard = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(max(1, -(-total // SHARD_BYTES)))).cast("int")
+    numbered = docs.select(shard.alias("shard"), F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("text"), held.alias("held"))
+    rows = written(numbered, "numbered")
     with finished_steps_leave_no_shuffle(docs.sparkSession):
         counts = written(count_words(learn, text_col), "counts")
         lexicon = build_lexicon(counts, learn.count(), own, endings, frequent)
