@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framequery.llm.steps import Steps
@@ -30,16 +30,16 @@ from framequery.operators.catalog import ranked
 SHARD_BYTES = 2 << 20
 #: Places that fit beside the upper bits of a gram's order; always the same, so that equal windows select alike.
 PLACES = 1 << 28
-#: Distinct phrases of one trigger beyond which its windows are dealt over slices by their content.
+#: Distinct phrases of one trigger beyond which its windows are parts of their own, compared by aggregates and a join.
 HOT_PHRASES = 20_000
-#: Content of the dictionary that is sorted at once (and the largest group of one trigger).
+#: Content of the dictionary that is sorted at once; a group is a trigger with at most HOT_PHRASES phrases.
 SORTED_BYTES = 2 << 20
 A64_INVERSE = np.uint64(pow(int(A64), -1, 1 << 64))
 #: A shard's first place of a phrase and its occurrences there, or (kind REMOVED) a span to remove.
 FOUND = "shard int, kind int, gram long, phrase long, doc long, a int, n int, copies int"
 REMOVED, OPEN = 0, 1
-#: A part of the dictionary: the windows of a phrase (k 0), or the k-th window of a hot trigger's phrase.
-CONTENTS = "gram long, slice int, phrase long, k int, shard int, doc long, a int, n int, content binary"
+#: A part of the dictionary: the windows of a phrase (k 0), or the k-th window of a hot trigger's phrase (hot 1).
+CONTENTS = "gram long, hot int, phrase long, k int, shard int, doc long, a int, n int, content binary"
 #: The n windows from the k-th of a phrase, first at (doc, a), equal those from (first_doc, first_a) on.
 LATE = "gram long, phrase long, k int, shard int, doc long, a int, n int, first_doc long, first_a int"
 
@@ -180,7 +180,7 @@ def count_grams(rows: DataFrame, spec: Spec) -> DataFrame:
 
 FOUND_NAMES = ["shard", "kind", "gram", "phrase", "doc", "a", "n", "copies"]
 FOUND_TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-CONTENT_NAMES = ["gram", "slice", "phrase", "k", "shard", "doc", "a", "n", "content"]
+CONTENT_NAMES = ["gram", "hot", "phrase", "k", "shard", "doc", "a", "n", "content"]
 CONTENT_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 LATE_NAMES = ["gram", "phrase", "k", "shard", "doc", "a", "n", "first_doc", "first_a"]
 LATE_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
@@ -237,11 +237,10 @@ def dictionary(opened: DataFrame) -> DataFrame:
 
 
 def various(phrases: DataFrame) -> DataFrame:
-    """The phrases whose trigger has others as well, with the number of slices that a hot trigger's windows are dealt to
-    (0 for others). The join lets AQE split a frequent trigger's phrases."""
+    """The phrases whose trigger has others as well, and whether it is hot: has over HOT_PHRASES of them. The join lets
+    AQE split a frequent trigger's phrases."""
     kinds = phrases.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > 1)
-    slices = F.when(F.col("kinds") > HOT_PHRASES, F.ceil(F.col("kinds") * 16 / HOT_PHRASES).cast("int")).otherwise(F.lit(0))
-    return phrases.join(kinds, "gram").select("shard", "gram", "phrase", "doc", "a", "n", slices.alias("slices"))
+    return phrases.join(kinds, "gram").select("shard", "gram", "phrase", "doc", "a", "n", (F.col("kinds") > HOT_PHRASES).alias("hot"))
 
 
 def phrase_contents(rows: DataFrame, opened: DataFrame, spec: Spec) -> DataFrame:
@@ -253,14 +252,13 @@ def phrase_contents(rows: DataFrame, opened: DataFrame, spec: Spec) -> DataFrame
         shard = docs["shard"][0].as_py()
         docs = docs.filter(pc.is_in(docs["doc"], opened["doc"].combine_chunks())).sort_by("doc")
         texts = docs["text"].combine_chunks()
-        units, offsets = spec.units(texts)
+        _, offsets = spec.units(texts)
         data = spec.contents(texts)
-        gram, phrase, which, a, n, slices = (opened[c].to_numpy() for c in ("gram", "phrase", "doc", "a", "n", "slices"))
+        gram, phrase, which, a, n = (opened[c].to_numpy() for c in ("gram", "phrase", "doc", "a", "n"))
+        hot = opened["hot"].to_numpy()
         start = offsets[np.searchsorted(docs["doc"].to_numpy(), which)] + a
-        hot = slices > 0
-        # The windows of hot triggers are parts of their own, dealt by a hash of their content.
+        # The windows of hot triggers are parts of their own.
         at = np.arange(n[hot].sum()) + np.repeat(start[hot] - np.concatenate([[0], np.cumsum(n[hot])])[:-1], n[hot])
-        slice_of = range_hash(prefix_hashes(units), at, at + spec.width) % np.repeat(slices[hot], n[hot]).astype(np.uint64) if len(at) else np.zeros(0, np.uint64)
         begin = np.concatenate([start[~hot], at])
         key, name, doc, place = (np.concatenate([x[~hot], np.repeat(x[hot], n[hot])]) for x in (gram, phrase, which, a))
         none = np.zeros(int((~hot).sum()), np.int64)
@@ -270,7 +268,7 @@ def phrase_contents(rows: DataFrame, opened: DataFrame, spec: Spec) -> DataFrame
         ends = np.concatenate([[0], np.cumsum(size)])
         raw = data[np.arange(ends[-1]) + np.repeat(begin * spec.stored - ends[:-1], size)]
         content = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(raw)])
-        part = np.concatenate([none, slice_of.astype(np.int64)])
+        part = np.concatenate([none, np.ones(len(at), np.int64)])
         return _rows(CONTENT_TYPES, CONTENT_NAMES, key, part, name, k, shard, doc, place + k, count, content)
 
     return rows.groupBy("shard").cogroup(opened.groupBy("shard")).applyInArrow(run, CONTENTS)
@@ -297,19 +295,38 @@ def equal_suffixes(data: np.ndarray, starts: np.ndarray, group: np.ndarray, widt
     return active, cls
 
 
-def late_windows(parts: DataFrame, spec: Spec) -> DataFrame:
-    """LATE rows of CONTENTS: windows of the dictionary that equal one of a phrase with an earlier place.
+def late_windows(contents: DataFrame, spec: Spec) -> DataFrame:
+    """LATE rows of CONTENTS: windows of the dictionary that equal one of a phrase with an earlier place. However many
+    phrases share a window, no task holds them together."""
+    return late_in_groups(contents.where("hot = 0"), spec).unionByName(late_of_hot(contents.where("hot = 1")))
 
-    Parts of one trigger (and slice) meet in one partition, sorted, and are taken by whole groups of about SORTED_BYTES.
-    """
+
+def late_of_hot(windows: DataFrame) -> DataFrame:
+    """LATE rows of windows (n 1) by their content: a window's first place is a minimum that is combined map-side, and is
+    joined back, where AQE splits a window that many phrases share. Neighbours in a phrase whose first places are
+    neighbours too make one row."""
+    place = F.min(F.struct("doc", "a")).alias("first")
+    first = windows.groupBy("gram", "content").agg(place, F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
+    late = windows.join(first, ["gram", "content"]).where(F.struct("doc", "a") != F.col("first"))
+    phrase = Window.partitionBy("gram", "phrase").orderBy("k")
+    goes_on = (F.col("k") == F.lag("k").over(phrase) + 1) & (F.col("first.doc") == F.lag("first.doc").over(phrase)) & (F.col("first.a") == F.lag("first.a").over(phrase) + 1)
+    placed = late.select("gram", "phrase", "k", "shard", "doc", "a", F.col("first.doc").alias("first_doc"), F.col("first.a").alias("first_a"), F.coalesce(goes_on, F.lit(False)).alias("on"))
+    runs = placed.withColumn("run", F.sum(F.when(F.col("on"), 0).otherwise(1)).over(phrase))
+    heads = {"k": F.min("k"), "shard": F.min("shard"), "doc": F.min("doc"), "a": F.min("a"), "n": F.count(F.lit(1)).cast("int"), "first_doc": F.min("first_doc"), "first_a": F.min("first_a")}
+    return runs.groupBy("gram", "phrase", "run").agg(*(v.alias(n) for n, v in heads.items())).select(*LATE_NAMES)
+
+
+def late_in_groups(parts: DataFrame, spec: Spec) -> DataFrame:
+    """LATE rows of phrases of triggers that aren't hot. Parts of one trigger meet in one partition, sorted, and are taken
+    by whole groups of about SORTED_BYTES."""
 
     def settle(table: pa.Table) -> pa.Table:
         content = table["content"].combine_chunks().cast(pa.large_binary())
         offsets = np.frombuffer(content.buffers()[1], np.int64)[content.offset : content.offset + len(content) + 1]
         data = np.frombuffer(content.buffers()[2], np.uint8)
         n = table["n"].to_numpy().astype(np.int64)
-        gram, part = table["gram"].to_numpy(), table["slice"].to_numpy()
-        group = np.cumsum(np.concatenate([[0], (gram[1:] != gram[:-1]) | (part[1:] != part[:-1])]))
+        gram = table["gram"].to_numpy()
+        group = np.cumsum(np.concatenate([[0], gram[1:] != gram[:-1]]))
         owner = np.repeat(np.arange(len(n)), n)
         step = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
         which, cls = equal_suffixes(data, offsets[owner] + step * spec.stored, group[owner], spec.width, spec.stored)
@@ -340,8 +357,8 @@ def late_windows(parts: DataFrame, spec: Spec) -> DataFrame:
             size += batch.nbytes
             if size > SORTED_BYTES:
                 table = pa.concat_tables(held)
-                gram, part = table["gram"].to_numpy(), table["slice"].to_numpy()
-                other = np.flatnonzero((gram != gram[-1]) | (part != part[-1]))
+                gram = table["gram"].to_numpy()
+                other = np.flatnonzero(gram != gram[-1])
                 cut = int(other[-1]) + 1 if len(other) else 0  # the last group may go on
                 if cut:
                     yield from to_batches(settle(table.slice(0, cut)), 50_000)
@@ -349,7 +366,7 @@ def late_windows(parts: DataFrame, spec: Spec) -> DataFrame:
         if held and (table := pa.concat_tables(held)).num_rows:
             yield from to_batches(settle(table), 50_000)
 
-    return parts.repartition("gram", "slice").sortWithinPartitions("gram", "slice").mapInArrow(run, LATE)
+    return parts.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, LATE)
 
 
 def repeated_phrases(rows: DataFrame, spec: Spec, steps: Steps) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -1,9 +1,11 @@
 """Rows without ids that link others, and equal rows in great number."""
 
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from framequery.llm import hmm, simhash
+from framequery.llm import byte_repeats, hmm, repeats, simhash
 
 
 def test_op5_rows_without_ids_link_others(spark, monkeypatch):
@@ -42,3 +44,33 @@ def test_op1_equal_rows_are_dealt_over_shards(spark, monkeypatch):
     assert tuple(got) == (1500, 1, 1)
     sizes = np.array([r["count"] for r in seen["numbered"].groupBy("shard").count().collect()])
     assert len(sizes) > 20 and sizes.max() < 4 * sizes.mean()
+
+
+def test_a_window_that_many_phrases_share_is_in_no_group(spark, monkeypatch):
+    """3,000 documents with one passage between texts of their own: its windows are aggregated, never sorted together."""
+    monkeypatch.setattr(repeats, "HOT_PHRASES", 200)
+    rnd = random.Random(4)
+    passage = "".join(rnd.choice("abcdefgh ") for _ in range(120))
+    own = [["".join(rnd.choice("klmnopqr ") for _ in range(60)) for _ in range(2)] for _ in range(3000)]
+    docs = spark.createDataFrame([(k, f"{a}{passage}{b}") for k, (a, b) in enumerate(own)], "doc_id long, text string").repartition(4)
+    seen = {}
+    real = repeats.late_windows
+
+    def spy(contents, spec):
+        seen["hot"] = contents.where("hot = 1").count()
+        seen["group"] = contents.where("hot = 0").groupBy("gram").count().agg({"count": "max"}).first()[0] or 0
+        return real(contents, spec)
+
+    monkeypatch.setattr(repeats, "late_windows", spy)
+    got = {r.doc_id: bytes(r.kept) for r in byte_repeats.remove_repeated_bytes(docs).collect()}
+    known, want = set(), {}
+    for k, (a, b) in enumerate(own):
+        data = f"{a}{passage}{b}".encode()
+        gone = bytearray(len(data))
+        for at in range(len(data) - 99):
+            if data[at : at + 100] in known:
+                gone[at : at + 100] = b"\1" * 100
+            known.add(data[at : at + 100])
+        want[k] = bytes(x for x, g in zip(data, gone) if not g)
+    assert got == want and len(want[0]) == 240 and max(len(want[k]) for k in range(1, 3000)) <= 120
+    assert seen["hot"] > 3000 and seen["group"] <= 200
