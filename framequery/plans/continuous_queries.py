@@ -55,14 +55,14 @@ def st06_debounced_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def st08_frame_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All frames of written captures, passed as a stream: 7 frames a range, 2 ranges a file, 8 files a trigger."""
+    """All frames of written captures, passed as a stream: 50 frames a range, 4 ranges a file, 4 files a trigger."""
     register(spark)
     captures, plan = shared_path(spark, "captures"), shared_path(spark, "plan")
     ex.write_captures(_raw(spark, sf_dir), captures, index="frame_idx")
     headers = spark.read.format("ser").option("headersOnly", "true").load(captures)
-    fs.add_to_plan(fs.frame_ranges(headers, 7), plan, 2)
+    fs.add_to_plan(fs.frame_ranges(headers, 50), plan, 4)
     name = F.element_at(F.split("path", "/"), -1)
-    frames = fs.frame_stream(spark, plan, 8).select(name.alias("name"), "frame_idx", "color", F.hex("data").alias("data"))
+    frames = fs.frame_stream(spark, plan, 4).select(name.alias("name"), "frame_idx", "color", F.hex("data").alias("data"))
     return st.run_to_table(frames, "name string, frame_idx int, color string, data string")
 
 
