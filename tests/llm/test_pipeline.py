@@ -46,8 +46,37 @@ def test_repeated_and_missing_ids_lose_and_keep_no_row_too_many(spark):
     assert sorted(left, key=str) == sorted(rows, key=str)
 
 
-def test_all_eleven_queries_are_registered():
+def tables(spark, folder, rows, schema):
+    """A folder of tables with these documents and the labels and benchmark of SF."""
+    spark.createDataFrame(rows, schema).write.parquet(f"{folder}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_an_empty_table_gives_none(spark, tmp_path):
+    out = cp.run(spark, tables(spark, tmp_path, [], "doc_id long, text string, lang string, source string, n_chars long"))
+    assert out.count() == 0 and "ids" in out.columns
+
+
+def test_missing_texts_and_clashing_columns(spark, tmp_path):
+    """NULL and empty texts are one class of equal texts; columns with the names of results stay as they were."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, fp string, component_id string, toxic string, kept string, _row string"
+    rows = [(k, None, "en", "s", None, *["own"] * 5) for k in (4, 2, 9)] + [(7, "", "en", "s", 0, *["own"] * 5), (8, " ".join(f"Plain{k}" for k in range(90)), "en", "s", 9, *["own"] * 5)]
+    sf = tables(spark, tmp_path, rows, schema)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for k, (name, stage) in enumerate(cp.STAGES[:-1]):
+        stage(spark, docs, sf).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert docs.columns == [f.split()[0] for f in schema.split(", ")]
+        assert {r.component_id for r in docs.collect()} <= {"own"}
+    assert sorted(r.doc_id for r in docs.collect()) == [2, 8]
+    out = {r.doc_id: r for r in cp.encode(spark, docs, sf).collect()}
+    assert sorted(out) == [2, 8] and len(out[2].ids) == 0 and len(out[8].ids) > 90
+
+
+def test_all_queries_are_registered():
     names = entry.queries()
     assert "pipeline" in names
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert len([x for x in names if x.startswith(f"op{n}_")]) == 1
