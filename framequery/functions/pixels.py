@@ -24,17 +24,27 @@ def white_balance(v: Column, offset: Column | float, scale: Column | float) -> C
     return F.greatest((v - offset) * scale, F.lit(0.0))
 
 
-def purple_factor(r: Column, g: Column, b: Column, strength: float = 1.0) -> Column:
-    """Factor on the saturation: 1 - strength cos^2 within 30 degrees of hue 290; 1 for grey (saturation under 5 %)."""
+def _from_purple(r: Column, g: Column, b: Column) -> tuple[Column, Column]:
+    """Whether a pixel has colour (saturation of 5 % or more), and how far its hue is from 290 degrees."""
     top, low = F.greatest(r, g, b), F.least(r, g, b)
     span = top - low
     sector = F.when(top == r, F.try_divide(g - b, span)).when(top == g, F.try_divide(b - r, span) + F.lit(2.0)).otherwise(F.try_divide(r - g, span) + F.lit(4.0))
     hue = F.pmod(F.lit(60.0) * sector + F.lit(360.0), F.lit(360.0))
     off = F.abs(hue - F.lit(290.0))
-    near = F.least(off, F.lit(360.0) - off)
+    return (top > 0) & (F.try_divide(span, top) >= F.lit(0.05)), F.least(off, F.lit(360.0) - off)
+
+
+def purple_factor(r: Column, g: Column, b: Column, strength: float = 1.0) -> Column:
+    """Factor on the saturation: 1 - strength cos^2 within 30 degrees of hue 290; 1 for grey (saturation under 5 %)."""
+    coloured, near = _from_purple(r, g, b)
     wave = F.cos(near / F.lit(30.0) * F.lit(1.5707963267948966))
-    coloured = (top > 0) & (F.try_divide(span, top) >= F.lit(0.05)) & (near < 30)
-    return F.when(coloured, F.lit(1.0) - F.lit(strength) * wave * wave).otherwise(F.lit(1.0))
+    return F.when(coloured & (near < 30), F.lit(1.0) - F.lit(strength) * wave * wave).otherwise(F.lit(1.0))
+
+
+def purple_gate(r: Column, g: Column, b: Column, least: float = 0.005) -> Column:
+    """Aggregate over pixels: whether this share of them or more is purple, so that fringes are worth reducing."""
+    coloured, near = _from_purple(r, g, b)
+    return F.avg(F.coalesce(coloured & (near <= 30), F.lit(False)).cast("double")) >= F.lit(least)
 
 
 def highlight_knee(v: Column, knee: float) -> Column:

@@ -69,3 +69,30 @@ def polar_profile(plane: Column, side: int, cx: Column, cy: Column, radii: int,
         return F.when(F.size(seen) > 0, total / F.size(seen)).otherwise(F.lit(0.0))
 
     return F.transform(F.sequence(F.lit(0), F.lit(radii - 1)), lambda r: at(r.cast("double")))
+
+
+def sampled(plane: Column, w: int, h: int, x: Column, y: Column) -> Column:
+    """Bilinear value of a plane at (x, y), in pixels from the first one's centre; places outside are those of the edge."""
+    x, y = F.least(F.greatest(x, F.lit(0.0)), F.lit(w - 1.0)), F.least(F.greatest(y, F.lit(0.0)), F.lit(h - 1.0))
+    x0, y0 = F.floor(x).cast("int"), F.floor(y).cast("int")
+    x1, y1 = F.least(x0 + 1, F.lit(w - 1)), F.least(y0 + 1, F.lit(h - 1))
+    fx, fy = x - x0, y - y0
+    top = (1 - fx) * F.get(plane, y0 * w + x0) + fx * F.get(plane, y0 * w + x1)
+    low = (1 - fx) * F.get(plane, y1 * w + x0) + fx * F.get(plane, y1 * w + x1)
+    return (1 - fy) * top + fy * low
+
+
+def resampled(plane: Column, w: int, h: int, to_w: int, to_h: int) -> Column:
+    """A w x h plane at another size, sampled bilinearly at the centres of the new pixels."""
+
+    def value(k: Column) -> Column:
+        x, y = k % to_w, F.floor(k / to_w)
+        return sampled(plane, w, h, (x + F.lit(0.5)) * F.lit(w / to_w) - F.lit(0.5), (y + F.lit(0.5)) * F.lit(h / to_h) - F.lit(0.5))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(to_w * to_h - 1)), value)
+
+
+def moved(plane: Column, w: int, h: int, dx: Column | float, dy: Column | float) -> Column:
+    """A plane moved by (dx, dy) pixels, sampled bilinearly; the edge is repeated. Red and blue planes so moved align with
+    green."""
+    return F.transform(plane, lambda _, k: sampled(plane, w, h, k % w - dx, F.floor(k / w) - dy))

@@ -140,6 +140,7 @@ SELECT event_id, round(power(least(greatest((r - 0.1::DOUBLE) / 0.8::DOUBLE, 0),
     "rg08_point_spread": (rg08_point_spread, None),
     "px14_unsharp": (_mapped(lambda p: sp.unsharp(p + 0.5, 1.0, 0.5, (0.25, 0.75))), sql.unsharp(1.0, 0.5, 0.25, 0.75, 0.5)),
     "px15_guided_filter": (_mapped(lambda p: sp.guided_filter(p, 1)), sql.guided(8e-4)),
+    "px22_denoise": (_mapped(lambda p: sp.denoise(p, 60)), sql.wavelet([1.0] * 6, 1.0, 0.015)),
     "px16_wavelet": (_mapped(lambda p: sp.wavelet_sharpen(p, [1.5, 1.2, 1.0], 0.8, 0.01)), sql.wavelet([1.5, 1.2, 1.0], 0.8, 0.01)),
     "px17_richardson_lucy": (_mapped(lambda p: sp.richardson_lucy(p + 0.5, 0.8, 5)), sql.richardson_lucy(0.8, 5, 0.5)),
     "px18_wiener": (_mapped(lambda p: sp.wiener(p + 0.5, 0.8, 50.0)), sql.wiener(0.8, 50.0, 0.5)),

@@ -9,6 +9,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator, Sequence
 from typing import BinaryIO
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
@@ -62,7 +63,8 @@ def parse_header(head: bytes, length: int, path: str = "") -> dict:
 
 
 def open_path(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    """File system and path of a path or URI. URIs are written as Spark writes paths, blanks and percent signs as they are."""
+    return fs.FileSystem.from_uri(quote(path, safe="/:?&=@,+~[]")) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
 def list_sizes(path: str, suffix: str) -> list[tuple[str, int]]:
@@ -116,10 +118,11 @@ class SerReader(DataSourceReader):
         self.headers_only = headers_only
         self.path = options["path"]
         self.per_share = int(options.get("bytesPerPartition", str(64 << 20)))
+        self.first = int(options.get("firstFrames", "0"))
 
     def partitions(self) -> Sequence[InputPartition]:
         found = list_sizes(self.path, ".ser")
-        if self.headers_only:
+        if self.headers_only or self.first:
             return [Share([p for p, _ in found[k : k + 256]]) for k in range(0, len(found), 256)]
         parts = ((path, max(1, -(-size // self.per_share))) for path, size in found)
         return [Share([path], k, n) for path, n in parts for k in range(n)]
@@ -129,13 +132,18 @@ class SerReader(DataSourceReader):
             for path in partition.paths:
                 yield tuple(read_header(path).values())
             return
+        if self.first:
+            for path in partition.paths:
+                yield from read_frames(path, 0, min(self.first, read_header(path)["readable_frames"]))
+            return
         path = partition.paths[0]
         n = read_header(path)["readable_frames"]
         yield from read_frames(path, *(n * k // partition.parts for k in (partition.part, partition.part + 1)))
 
 
 class SerDataSource(DataSource):
-    """spark.read.format("ser").load(path): raw frames, bytesPerPartition (64 MB) of a file a task; headersOnly=true: one row a file."""
+    """spark.read.format("ser").load(path): raw frames, bytesPerPartition (64 MB) of a file a task; headersOnly=true: one row a file;
+    firstFrames=k: no more than the first k frames of each file, many files a task."""
 
     @classmethod
     def name(cls) -> str:
