@@ -96,3 +96,28 @@ def moved(plane: Column, w: int, h: int, dx: Column | float, dy: Column | float)
     """A plane moved by (dx, dy) pixels, sampled bilinearly; the edge is repeated. Red and blue planes so moved align with
     green."""
     return F.transform(plane, lambda _, k: sampled(plane, w, h, k % w - dx, F.floor(k / w) - dy))
+
+
+def half_flux_radius(plane: Column, side: int, width: float = 0.5) -> Column:
+    """Radius around the flux centroid that holds half the positive flux, linear inside its radial bin; NULL where no value
+    is positive."""
+    total = moments(plane, side, lambda v: v)
+
+    def radius(m: Column) -> Column:
+        def bin_of(p: Column) -> Column:
+            dx, dy = p % side - m["x"] / m["s"], F.floor(p / side) - m["y"] / m["s"]
+            return F.floor(F.sqrt(dx * dx + dy * dy) / F.lit(width))
+
+        lit = F.filter(F.transform(plane, lambda v, p: F.struct(bin_of(p).alias("bin"), v.alias("v"))), lambda z: z["v"] > 0)
+        half = m["s"] / 2
+        start = F.struct(F.lit(-1).cast("long").alias("bin"), F.lit(0.0).alias("before"), F.lit(0.0).alias("flux"))
+
+        def add(a: Column, z: Column) -> Column:
+            same = F.struct(a["bin"].alias("bin"), a["before"].alias("before"), (a["flux"] + z["v"]).alias("flux"))
+            later = F.struct(z["bin"].alias("bin"), (a["before"] + a["flux"]).alias("before"), z["v"].alias("flux"))
+            return F.when(a["bin"] == z["bin"], same).when(a["before"] + a["flux"] >= half, a).otherwise(later)
+
+        end = F.aggregate(F.array_sort(lit), start, add)
+        return F.get(F.transform(F.array(end), lambda a: (a["bin"] + (half - a["before"]) / a["flux"]) * F.lit(width)), F.lit(0))
+
+    return F.get(F.transform(F.array(total), lambda m: F.when(m["s"] > 0, radius(m))), F.lit(0))

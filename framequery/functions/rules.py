@@ -160,6 +160,16 @@ def synthetic_sigma(seeing: Column) -> Column:
     return F.lit(4.5) - F.lit(0.6) * clamp(seeing, 1.0, 5.0)
 
 
+def psf_sigma(limb: Column, edge: Column, seeing: Column, with_edge: bool = True, synthetic: bool = True) -> Column:
+    """(sigma, origin): the width measured at the limb, else at an edge, else that of the seeing index; NULL and "none" where
+    none of those allowed has one. A width that isn't above 0 is none."""
+    ways = [("limb", limb)] + [("edge", edge)] * with_edge + [("synthetic", F.when(seeing.isNotNull(), synthetic_sigma(seeing)))] * synthetic
+    sigma, origin = F.lit(None).cast("double"), F.lit("none")
+    for name, width in reversed(ways):
+        sigma, origin = F.when(width > 0, width).otherwise(sigma), F.when(width > 0, F.lit(name)).otherwise(origin)
+    return F.struct(sigma.alias("sigma"), origin.alias("origin"))
+
+
 def blend_radii(sigma: Column, radius: Column) -> tuple[Column, Column]:
     """Inner and outer radius, as fractions, within which the deconvolved image fades."""
     inner = clamp(F.lit(1.0) - F.lit(15.0) * F.greatest(F.lit(0.0), F.try_divide(sigma, radius) - F.lit(0.025)), 0.65, 1.0)

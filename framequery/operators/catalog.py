@@ -119,3 +119,54 @@ def best_candidates(candidates: DataFrame, keys: list[str], tie: str, most: int
     top = candidates.withColumn("_rank", F.row_number().over(strongest)).where(F.col("_rank") <= most)
     scored = top.withColumn("score", F.col("step_contrast") / (F.lit(1.0) + F.col("dir_std") / F.lit(10.0)))
     return scored.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") == 1).drop("_rank")
+
+
+def marked(files: DataFrame, id_col: str, marks: DataFrame, action: str, selection: DataFrame | None = None) -> DataFrame:
+    """The ids marked after an action: "all" files, "none", "invert" (the files not marked), or "selection" (marks and
+    selected ids together). Ids come once each, NULL never; marks of files that aren't there stay until inverted or replaced."""
+    ids = files.select(id_col).where(F.col(id_col).isNotNull())
+    held = marks.select(id_col).where(F.col(id_col).isNotNull())
+    if action == "all":
+        return ids.distinct()
+    if action == "none":
+        return ids.where(F.lit(False))
+    if action == "invert":
+        return ids.join(held, id_col, "left_anti").distinct()
+    if action == "selection" and selection is not None:
+        return held.union(selection.select(id_col).where(F.col(id_col).isNotNull())).distinct()
+    raise ValueError(f"no such action: {action}")
+
+
+#: The columns a listing can be sorted by, each as a number and a text of which one decides. A missing sharpness is below all
+#: others and a missing date above them; sizes of pictures sort by their area, 0 where unknown.
+def sort_keys() -> dict[str, tuple[Column, Column]]:
+    text, number = F.lit(""), F.lit(0.0)
+    typed = F.lower(F.regexp_extract("name", r"\.([^./]+)$", 1))
+    return {
+        "name": (number, F.coalesce("name", text)),
+        "type": (number, F.coalesce(typed, text)),
+        "sharpness": (F.coalesce(F.col("sharpness").cast("double"), F.lit(float("-inf"))), text),
+        "created": (F.coalesce(F.unix_micros(F.col("created").cast("timestamp")).cast("double"), F.lit(float("inf"))), text),
+        "size": (F.coalesce(F.col("bytes").cast("double"), number), text),
+        "area": (F.coalesce(F.col("width").cast("double") * F.col("height"), number), text),
+    }
+
+
+def sorted_places(files: DataFrame, id_col: str, descending: tuple[str, ...] = ()) -> DataFrame:
+    """(id, key, place): each file's place, from 1, in the order of each of sort_keys(); equal values by id.
+
+    All orders are worked out by one ranking over (key, value, id): one range shuffle and one written copy, whatever the
+    number of keys. `descending` turns keys round, ids among equals still rising. Ids tell files apart.
+    """
+    columns = []
+    for key, (number, text) in sort_keys().items():
+        way = F.lit(-1.0 if key in descending else 1.0)
+        columns.append(F.struct(F.lit(key).alias("key"), (number * way).alias("_number"), text.alias("_text")))
+    turned = [k for k in descending if k in ("name", "type")]
+    if turned:
+        raise ValueError(f"text keys are sorted in rising order only: {turned}")
+    long = files.select(F.col(id_col), F.explode(F.array(*columns)).alias("k")).select(id_col, "k.*")
+    placed = ranked(long, "_at", F.col("key").asc(), F.col("_number").asc(), F.col("_text").asc(), F.col(id_col).asc(), kind="long")
+    # One row a key.
+    first = placed.groupBy("key").agg(F.min("_at").alias("_first"))
+    return placed.join(F.broadcast(first), "key").select(id_col, "key", (F.col("_at") - F.col("_first") + 1).alias("place"))

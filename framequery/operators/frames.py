@@ -80,3 +80,33 @@ def weighted_plane(weighted: DataFrame) -> DataFrame:
     return long.groupBy("capture_id", "px").agg(
         (F.sum(F.col("v") * F.col("weight")) / F.sum("weight")).alias("value")
     )
+
+
+def with_scores(frames: DataFrame, scores: DataFrame) -> DataFrame:
+    """frames that have a score, with it: an inner join by capture and index. scores hold one row a frame; they are without
+    planes, so Spark broadcasts them where their files are small and shuffles both sides beyond that."""
+    return frames.join(scores.select("capture_id", "frame_idx", "score").where("score IS NOT NULL"), ["capture_id", "frame_idx"])
+
+
+def with_masters(frames: DataFrame, masters: DataFrame) -> DataFrame:
+    """frames calibrated in the row by their capture's dark and flat, plus `calibrated`: which of them applied, as text.
+
+    frames: (capture_id, frame_idx, w, h, plane); masters: (capture_id, kind dark or flat, w, h, plane), one row of a kind a
+    capture. A master of another width or height than the frame's is left out, as if there were none; without any the plane
+    stays as it is. A dark counts as 0 where missing, a flat as 1.
+    """
+    one = masters.where("kind IN ('dark', 'flat')").groupBy("capture_id", "w", "h").agg(
+        F.first(F.when(F.col("kind") == "dark", F.col("plane")), ignorenulls=True).alias("_dark"),
+        F.first(F.when(F.col("kind") == "flat", F.col("plane")), ignorenulls=True).alias("_flat"),
+    )
+    held = frames.join(one, ["capture_id", "w", "h"], "left")
+    dark, flat = F.col("_dark"), F.col("_flat")
+
+    def lit(v: Column, k: Column) -> Column:
+        less = v - F.coalesce(F.get(dark, k), F.lit(0.0))
+        over = F.coalesce(F.get(flat, k), F.lit(1.0))
+        return F.greatest(F.lit(0.0), F.when(over > F.lit(1e-4), F.try_divide(less, over)).otherwise(less))
+
+    plane = F.when(dark.isNull() & flat.isNull(), F.col("plane")).otherwise(F.transform("plane", lit))
+    applied = F.concat_ws("+", F.when(dark.isNotNull(), F.lit("dark")), F.when(flat.isNotNull(), F.lit("flat")))
+    return held.withColumns({"plane": plane, "calibrated": applied}).select(*frames.columns, "calibrated")

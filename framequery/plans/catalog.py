@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framequery.plans import continuous_queries, folder_queries, frame_queries, geometry_queries, mosaic_queries, pixel_queries, planning_queries, rule_queries, stack_queries, stat_queries, stream_queries, watch_queries, writer_queries
+from framequery.plans import continuous_queries, folder_queries, frame_queries, geometry_queries, mosaic_queries, pixel_queries, planning_queries, rule_queries, stack_queries, stat_queries, store_queries, stream_queries, watch_queries, writer_queries
 
-_MODULES = (frame_queries, stack_queries, stat_queries, rule_queries, pixel_queries, planning_queries, mosaic_queries, stream_queries, watch_queries, writer_queries, continuous_queries, geometry_queries, folder_queries)
+_MODULES = (frame_queries, stack_queries, stat_queries, rule_queries, pixel_queries, planning_queries, mosaic_queries, stream_queries, watch_queries, writer_queries, continuous_queries, geometry_queries, folder_queries, store_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
