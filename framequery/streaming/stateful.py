@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from framequery.session import shared_path
+from framequery.streaming.buckets import by_buckets, forgotten, table
 
 HOUR_MS = 3_600_000
 COMPLETION_OUT = "path string, size long, seq long"
@@ -31,26 +33,22 @@ def observe(state: tuple[int, int, bool] | None, size: int, needed: int = 2) ->
 def completed_files(samples: DataFrame, needed: int = 2, forget_after: int | None = None) -> DataFrame:
     """Rows of (path, size, seq) samples at which a file is complete. forget_after: state of paths not seen for so long
     (processing time, in ms) is dropped."""
+    held = pa.schema({"path": pa.string(), "last": pa.int64(), "repeats": pa.int64(), "fired": pa.bool_(), "seen": pa.int64()})
 
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        now = tuple(state.get) if state.exists else None
-        rows = pd.concat(list(frames)).sort_values("seq")
+    def update(rows: pd.DataFrame, before: pd.DataFrame, state: GroupState) -> tuple[pd.DataFrame, pd.DataFrame, int | None]:
+        now = state.getCurrentProcessingTimeMs() if forget_after else 0
+        files = {path: (file, seen) for path, *file, seen in before.itertuples(index=False, name=None)}
+        rows = rows.sort_values("seq")
         out = []
-        for size, seq in zip(rows["size"].tolist(), rows["seq"].tolist(), strict=True):
-            now, done = observe(now, int(size), needed)
+        for path, size, seq in zip(rows["path"].tolist(), rows["size"].tolist(), rows["seq"].tolist(), strict=True):
+            file, done = observe(files[path][0] if path in files else None, int(size), needed)
+            files[path] = (file, now)
             if done:
-                out.append((key[0], int(size), int(seq)))
-        state.update(now)
-        if forget_after:
-            state.setTimeoutDuration(int(forget_after))
-        if out:
-            yield pd.DataFrame(out, columns=["path", "size", "seq"])
+                out.append((path, int(size), int(seq)))
+        after, due = forgotten(table(held, [(path, *file, seen) for path, (file, seen) in files.items()]), forget_after, state)
+        return pd.DataFrame(out, columns=["path", "size", "seq"]), after, due
 
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if forget_after else GroupStateTimeout.NoTimeout
-    return samples.groupBy("path").applyInPandasWithState(update, COMPLETION_OUT, "last long, repeats long, fired boolean", "append", timeout)
+    return by_buckets(samples.select("path", "size", "seq"), ["path"], update, COMPLETION_OUT, held, _timeout(forget_after))
 
 
 def limited_calls(calls: DataFrame, per_hour: int, forget_after: int | None = None) -> DataFrame:
@@ -92,6 +90,10 @@ def current_callbacks(callbacks: DataFrame) -> DataFrame:
     return callbacks.groupBy("queue").applyInPandasWithState(update, CURRENT_OUT, "newest long", "append", GroupStateTimeout.NoTimeout)
 
 
+def _timeout(forget_after: int | None) -> str:
+    return GroupStateTimeout.ProcessingTimeTimeout if forget_after else GroupStateTimeout.NoTimeout
+
+
 def arrivals(files: DataFrame, backlog: DataFrame) -> DataFrame:
     """The files (path, target) of a watched folder that have come since its first listing. A file of unknown target is
     passed over. backlog: the paths of that listing, as a table."""
