@@ -54,28 +54,28 @@ def completed_files(samples: DataFrame, needed: int = 2, forget_after: int | Non
 def limited_calls(calls: DataFrame, per_hour: int, forget_after: int | None = None) -> DataFrame:
     """calls (producer, seq, ms) with `accepted`: per_hour a fixed clock hour of the producer; rejected ones don't count.
 
-    A producer is a key, its state the calls accepted in each of its hours, so a late call is judged in the hour it
-    belongs to. forget_after: a producer not seen for so long (processing time, in ms) is dropped, as a service that
-    never ends should ask for.
+    The state is the calls accepted in each hour of each producer, so a late call is judged in the hour it belongs to.
+    forget_after: a producer not seen for so long (processing time, in ms) is dropped, as a service that never ends
+    should ask for.
     """
+    held, key = pa.schema({"producer": pa.string(), "hour": pa.int64(), "used": pa.int64(), "seen": pa.int64()}), ["producer", "hour"]
 
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        used = dict(zip(*state.get, strict=True)) if state.exists else {}
-        rows = pd.concat(list(frames)).sort_values(["ms", "seq"])
-        hour = rows["ms"] // HOUR_MS
-        turn = rows.groupby(hour).cumcount() + hour.map(used).fillna(0).astype("int64")
-        for h, n in hour.value_counts().items():
-            used[h] = min(per_hour, used.get(h, 0) + n)
-        state.update(([int(h) for h in used], [int(n) for n in used.values()]))
+    def update(rows: pd.DataFrame, before: pd.DataFrame, state: GroupState) -> tuple[pd.DataFrame, pd.DataFrame, int | None]:
+        now = state.getCurrentProcessingTimeMs() if forget_after else 0
+        rows = rows.sort_values(["ms", "seq"], ignore_index=True)
+        rows["hour"] = rows["ms"] // HOUR_MS
+        every = pd.concat([before, rows.assign(used=1, seen=now)[held.names]], ignore_index=True)
+        # Calls of an hour stand behind its state, in order: what was used before a call is the sum up to it.
+        groups = every.groupby(key, dropna=False, sort=False)
+        turn = (groups["used"].cumsum() - every["used"]).to_numpy()[len(before) :]
+        after = groups.agg({"used": "sum", "seen": "max"}).reset_index()
+        after["used"] = after["used"].clip(upper=per_hour)
         if forget_after:
-            state.setTimeoutDuration(forget_after)
-        yield pd.DataFrame({"producer": key[0], "seq": rows["seq"].to_numpy(), "hour": hour.to_numpy(), "accepted": (turn < per_hour).to_numpy()})
+            after["seen"] = after.groupby("producer", dropna=False)["seen"].transform("max")
+        found = pd.DataFrame({"producer": rows["producer"], "seq": rows["seq"], "hour": rows["hour"], "accepted": turn < per_hour})
+        return found, *forgotten(after, forget_after, state)
 
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if forget_after else GroupStateTimeout.NoTimeout
-    return calls.groupBy("producer").applyInPandasWithState(update, LIMIT_OUT, "hours array<long>, used array<long>", "append", timeout)
+    return by_buckets(calls.select("producer", "seq", "ms"), ["producer"], update, LIMIT_OUT, held, _timeout(forget_after))
 
 
 def current_callbacks(callbacks: DataFrame) -> DataFrame:

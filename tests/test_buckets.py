@@ -38,3 +38,32 @@ def test_completed_files_of_many_paths(spark, tmp_path):
             state, done = st.observe(state, k, 1)
             want += [(key, k, n)] * done
     assert len(want) > 500 and sorted(map(str, want)) == sorted(str(tuple(r)) for r in got) and 0 < held <= BUCKETS
+
+
+def test_limited_calls_of_many_producers(spark, tmp_path):
+    by_key, got, held = run(spark, tmp_path, lambda s: st.limited_calls(s.selectExpr("key AS producer", "n AS seq", "k * 3600000 AS ms"), 2))
+    want = [(key, n, k, sum(j == k for _, j in seen[:i]) < 2) for key, seen in by_key.items() for i, (n, k) in enumerate(seen)]
+    # Within a batch calls count by time, here the order of n in an hour.
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got) and 0 < held <= BUCKETS
+
+
+def test_producers_are_forgotten(spark, tmp_path):
+    source, schema = str(tmp_path / "in"), "producer string, seq long, ms long"
+    add = lambda *rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+    add(("p", 1, 0), ("p", 2, 1), ("q", 3, 2))
+    calls = st.limited_calls(spark.readStream.schema(schema).parquet(source), 1, forget_after=500)
+    query = calls.writeStream.format("memory").queryName("forgotten").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="300 milliseconds").start()
+    try:
+        for _ in range(300):
+            done = query.recentProgress
+            if any(p["numInputRows"] for p in done) and done[-1]["stateOperators"][0]["numRowsTotal"] == 0:
+                break
+            query.awaitTermination(0.2)
+        add(("p", 4, 3))
+        for _ in range(300):
+            if spark.table("forgotten").count() == 4:
+                break
+            query.awaitTermination(0.2)
+    finally:
+        query.stop()
+    assert {r.seq: r.accepted for r in spark.table("forgotten").collect()} == {1: True, 2: False, 3: True, 4: True}
