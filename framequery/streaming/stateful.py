@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -80,14 +78,16 @@ def limited_calls(calls: DataFrame, per_hour: int, forget_after: int | None = No
 
 def current_callbacks(callbacks: DataFrame) -> DataFrame:
     """callbacks (queue, generation, seq) without late ones: those of a run that a newer run of the queue had superseded."""
+    held = pa.schema({"queue": pa.string(), "generation": pa.int64()})
 
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values("seq")
-        newest = rows["generation"].cummax().clip(lower=state.get[0] if state.exists else None)
-        state.update((int(newest.iloc[-1]),))
-        yield rows.loc[rows["generation"] >= newest, ["queue", "generation", "seq"]]
+    def update(rows: pd.DataFrame, before: pd.DataFrame, state: GroupState) -> tuple[pd.DataFrame, pd.DataFrame, int | None]:
+        rows = rows.sort_values("seq")
+        every = pd.concat([before, rows[held.names]], ignore_index=True)
+        groups = every.groupby("queue", dropna=False, sort=False)["generation"]
+        newest = groups.cummax().to_numpy()[len(before) :]
+        return rows[rows["generation"].to_numpy() >= newest][["queue", "generation", "seq"]], groups.max().reset_index(), None
 
-    return callbacks.groupBy("queue").applyInPandasWithState(update, CURRENT_OUT, "newest long", "append", GroupStateTimeout.NoTimeout)
+    return by_buckets(callbacks.select("queue", "generation", "seq"), ["queue"], update, CURRENT_OUT, held)
 
 
 def _timeout(forget_after: int | None) -> str:

@@ -67,3 +67,9 @@ def test_producers_are_forgotten(spark, tmp_path):
     finally:
         query.stop()
     assert {r.seq: r.accepted for r in spark.table("forgotten").collect()} == {1: True, 2: False, 3: True, 4: True}
+
+
+def test_current_callbacks_of_many_queues(spark, tmp_path):
+    by_key, got, held = run(spark, tmp_path, lambda s: st.current_callbacks(s.selectExpr("key AS queue", "k AS generation", "n AS seq")))
+    want = [(key, k, n) for key, seen in by_key.items() for i, (n, k) in enumerate(seen) if k >= max(j for _, j in seen[: i + 1])]
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got) and 0 < held <= BUCKETS
