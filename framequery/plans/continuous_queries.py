@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framequery.operators import export as ex
-from framequery.plans.stream_queries import _stream
+from framequery.plans.stream_queries import _stream, _timed_stream
 from framequery.plans.writer_queries import _raw
 from framequery.session import shared_path
 from framequery.sources import frame_stream as fs
@@ -37,7 +37,7 @@ def st02_folder_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def st05_upload_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as polls of a user's file; a file is gone after an hour and a half without one."""
-    samples = _stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("path"), F.floor(F.col("event_id") / 900).alias("size"), F.col("ts").cast("timestamp").alias("at"))
+    samples = _timed_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("path"), F.floor(F.col("event_id") / 900).alias("size"), "at")
     return st.run_to_table(wt.upload_states(samples, 5_400_000), wt.UPLOAD_OUT)
 
 

@@ -13,6 +13,12 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.in_slices(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_id")
 
 
+def _timed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream of several micro-batches, by time (at): no batch holds rows that a watermark has passed."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("at", F.col("ts").cast("timestamp"))
+    return st.in_slices(events.withColumn("us", F.unix_micros("at")), "us")
+
+
 def st01_completed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as size samples of a file per user and quarter of ids: sizes are 0 now and then."""
     n = F.col("event_id")

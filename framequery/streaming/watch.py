@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from framequery.streaming.buckets import by_buckets, table
 from framequery.streaming.stateful import observe
 
 QUEUE_OUT = "folder string, seq long, path string, target string, event string"
@@ -97,6 +99,10 @@ def _in_order(frames: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
     return pd.concat(list(frames)).sort_values(by)
 
 
+def _timed(rows: DataFrame, key: str, delay: str, *columns: str) -> DataFrame:
+    return rows.withWatermark("at", delay).select(key, "at", *columns, F.unix_millis("at").alias("ms"))
+
+
 def upload_states(samples: DataFrame, prune_after: int, delay: str = "0 seconds") -> DataFrame:
     """(path, ms, size, state) for samples (path, size, at): `new` at first sight, `uploading` where the size isn't the
     last one, else `settled`; and `gone`, prune_after ms after the last sample, for a path that was not seen for longer.
@@ -104,28 +110,25 @@ def upload_states(samples: DataFrame, prune_after: int, delay: str = "0 seconds"
     A path's state is dropped as it goes, by an event-time timer once the watermark (delay behind the latest `at`) has
     passed, or before its next sample; so results don't depend on how rows fall into batches.
     """
+    held = pa.schema({"path": pa.string(), "last": pa.int64(), "size": pa.int64()})
 
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def update(rows: pd.DataFrame, before: pd.DataFrame, state: GroupState) -> tuple[pd.DataFrame, pd.DataFrame, int | None]:
+        files = {path: (last, size) for path, last, size in before.itertuples(index=False, name=None)}
+        rows = rows.sort_values(["ms", "size"])
         out = []
-        if state.hasTimedOut:
-            last, size = state.get
-            state.remove()
-            yield pd.DataFrame([(key[0], last + prune_after, size, "gone")], columns=["path", "ms", "size", "state"])
-            return
-        last, size = state.get if state.exists else (None, None)
-        rows = _in_order(frames, ["ms", "size"])
-        for ms, now in zip(rows["ms"].tolist(), rows["size"].tolist(), strict=True):
+        for path, ms, now in zip(rows["path"].tolist(), rows["ms"].tolist(), rows["size"].tolist(), strict=True):
+            last, size = files.get(path, (None, None))
             if last is not None and ms - last > prune_after:
-                out.append((key[0], last + prune_after, size, "gone"))
+                out.append((path, last + prune_after, size, "gone"))
                 last = None
-            out.append((key[0], ms, now, "new" if last is None else "settled" if now == size else "uploading"))
-            last, size = ms, now
-        state.update((last, size))
-        state.setTimeoutTimestamp(max(last + prune_after, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["path", "ms", "size", "state"])
-
-    timed = samples.withWatermark("at", delay).withColumn("ms", F.unix_millis("at"))
-    return timed.groupBy("path").applyInPandasWithState(update, UPLOAD_OUT, "last long, size long", "append", GroupStateTimeout.EventTimeTimeout)
+            out.append((path, ms, now, "new" if last is None else "settled" if now == size else "uploading"))
+            files[path] = (ms, now)
+        over = state.getCurrentWatermarkMs() - prune_after
+        out += [(path, last + prune_after, size, "gone") for path, (last, size) in files.items() if last < over]
+        left = [(path, last, size) for path, (last, size) in files.items() if last >= over]
+        return pd.DataFrame(out, columns=["path", "ms", "size", "state"]), table(held, left), min((last for _, last, _ in left), default=0) + prune_after
+
+    return by_buckets(_timed(samples, "path", delay, "size"), ["path"], update, UPLOAD_OUT, held, GroupStateTimeout.EventTimeTimeout)
 
 
 def previews(requests: DataFrame, throttle: int = 33, settle: int = 200, delay: str = "0 seconds") -> DataFrame:

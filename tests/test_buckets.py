@@ -2,7 +2,12 @@
 
 import random
 
+import duckdb
+import pytest
+
+from framequery.plans import catalog
 from framequery.streaming import stateful as st
+from framequery.streaming import watch as wt
 from framequery.streaming.buckets import BUCKETS
 
 
@@ -73,3 +78,29 @@ def test_current_callbacks_of_many_queues(spark, tmp_path):
     by_key, got, held = run(spark, tmp_path, lambda s: st.current_callbacks(s.selectExpr("key AS queue", "k AS generation", "n AS seq")))
     want = [(key, k, n) for key, seen in by_key.items() for i, (n, k) in enumerate(seen) if k >= max(j for _, j in seen[: i + 1])]
     assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got) and 0 < held <= BUCKETS
+
+
+def test_uploads_of_many_paths(spark, tmp_path):
+    by_key, got, held = run(spark, tmp_path, lambda s: wt.upload_states(s.selectExpr("key AS path", "k AS size", "timestamp_millis(1000 + n) AS at"), 1000))
+    want, end = [], 6 * KEYS - 1
+    for key, seen in by_key.items():
+        for i, (n, k) in enumerate(seen):
+            first = i == 0 or n - seen[i - 1][0] > 1000
+            want.append((key, n, k, "new" if first else "settled" if seen[i - 1][1] == k else "uploading"))
+            after = seen[i + 1][0] if i + 1 < len(seen) else None
+            if (after is None and n + 1000 < end) or (after is not None and after - n > 1000):
+                want.append((key, n + 1000, k, "gone"))
+    assert sorted(map(str, want)) == sorted(str((r[0], r[1] - 1000, *r[2:])) for r in got) and 0 < held <= BUCKETS
+
+
+@pytest.mark.parametrize("name", ["st05_upload_states"])
+def test_timed_queries_take_rows_in_any_order_of_ids(spark, tmp_path, name):
+    path = str(tmp_path / "events.parquet")
+    # Later ids have earlier times, as in copies of a table with shifted ids.
+    spark.range(4000).selectExpr("id AS event_id", "timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 40 * ((3999 - id) % 2000), id % 50) AS ts", "id % 37 AS user_id").write.parquet(path)
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{path}/*.parquet'")
+    want = con.execute(catalog.oracle_sql()[name]).fetchall()
+    got = catalog.queries()[name](spark, str(tmp_path)).collect()
+    assert len(want) > 4000 and sorted(map(str, want)) == sorted(str(tuple(r)) for r in got)
