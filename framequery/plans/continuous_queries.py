@@ -43,7 +43,7 @@ def st05_upload_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def st06_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as changes of a user's slider: previews 20 minutes apart, the full result after 50 quiet minutes."""
-    requests = _stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("at"))
+    requests = _timed_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("key"), "at")
     return st.run_to_table(wt.previews(requests, 1_200_000, 3_000_000), wt.PREVIEW_OUT)
 
 

@@ -95,10 +95,6 @@ def folder_queue(events: DataFrame, backlog: DataFrame | None = None, needed: in
     return events.groupBy("folder").transformWithStateInPandas(FolderQueue(needed), QUEUE_OUT, "Append", "None", initial)
 
 
-def _in_order(frames: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
-    return pd.concat(list(frames)).sort_values(by)
-
-
 def _timed(rows: DataFrame, key: str, delay: str, *columns: str) -> DataFrame:
     return rows.withWatermark("at", delay).select(key, "at", *columns, F.unix_millis("at").alias("ms"))
 
@@ -137,25 +133,23 @@ def previews(requests: DataFrame, throttle: int = 33, settle: int = 200, delay:
     state (settle must not be shorter than throttle). Times are event times; see upload_states."""
     if settle < throttle:
         raise ValueError("settle is shorter than throttle")
+    held = pa.schema({"key": pa.string(), "asked": pa.int64(), "shown": pa.int64()})
 
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            asked, _ = state.get
-            state.remove()
-            yield pd.DataFrame([(key[0], asked + settle, "full")], columns=["key", "ms", "kind"])
-            return
-        asked, shown = state.get if state.exists else (None, None)
+    def update(rows: pd.DataFrame, before: pd.DataFrame, state: GroupState) -> tuple[pd.DataFrame, pd.DataFrame, int | None]:
+        keys = {key: (asked, shown) for key, asked, shown in before.itertuples(index=False, name=None)}
+        rows = rows.sort_values("ms")
         out = []
-        for ms in _in_order(frames, ["ms"])["ms"].tolist():
+        for key, ms in zip(rows["key"].tolist(), rows["ms"].tolist(), strict=True):
+            asked, shown = keys.get(key, (None, None))
             if asked is not None and ms - asked >= settle:
-                out.append((key[0], asked + settle, "full"))
+                out.append((key, asked + settle, "full"))
             if shown is None or ms - shown >= throttle:
-                out.append((key[0], ms, "preview"))
+                out.append((key, ms, "preview"))
                 shown = ms
-            asked = ms
-        state.update((asked, shown))
-        state.setTimeoutTimestamp(max(asked + settle, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["key", "ms", "kind"])
+            keys[key] = (ms, shown)
+        over = state.getCurrentWatermarkMs() - settle
+        out += [(key, asked + settle, "full") for key, (asked, _) in keys.items() if asked < over]
+        left = [(key, asked, shown) for key, (asked, shown) in keys.items() if asked >= over]
+        return pd.DataFrame(out, columns=["key", "ms", "kind"]), table(held, left), min((asked for _, asked, _ in left), default=0) + settle
 
-    timed = requests.withWatermark("at", delay).withColumn("ms", F.unix_millis("at"))
-    return timed.groupBy("key").applyInPandasWithState(update, PREVIEW_OUT, "asked long, shown long", "append", GroupStateTimeout.EventTimeTimeout)
+    return by_buckets(_timed(requests, "key", delay), ["key"], update, PREVIEW_OUT, held, GroupStateTimeout.EventTimeTimeout)

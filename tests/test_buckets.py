@@ -93,7 +93,7 @@ def test_uploads_of_many_paths(spark, tmp_path):
     assert sorted(map(str, want)) == sorted(str((r[0], r[1] - 1000, *r[2:])) for r in got) and 0 < held <= BUCKETS
 
 
-@pytest.mark.parametrize("name", ["st05_upload_states"])
+@pytest.mark.parametrize("name", ["st05_upload_states", "st06_previews"])
 def test_timed_queries_take_rows_in_any_order_of_ids(spark, tmp_path, name):
     path = str(tmp_path / "events.parquet")
     # Later ids have earlier times, as in copies of a table with shifted ids.
@@ -104,3 +104,18 @@ def test_timed_queries_take_rows_in_any_order_of_ids(spark, tmp_path, name):
     want = con.execute(catalog.oracle_sql()[name]).fetchall()
     got = catalog.queries()[name](spark, str(tmp_path)).collect()
     assert len(want) > 4000 and sorted(map(str, want)) == sorted(str(tuple(r)) for r in got)
+
+
+def test_previews_of_many_keys(spark, tmp_path):
+    by_key, got, held = run(spark, tmp_path, lambda s: wt.previews(s.selectExpr("key", "timestamp_millis(1000 + n) AS at"), 700, 900))
+    want, end = [], 6 * KEYS - 1
+    for key, seen in by_key.items():
+        shown = None
+        for i, (n, _) in enumerate(seen):
+            if shown is None or n - shown >= 700:
+                want.append((key, n, "preview"))
+                shown = n
+            after = seen[i + 1][0] if i + 1 < len(seen) else None
+            if (after is None and n + 900 < end) or (after is not None and after - n >= 900):
+                want.append((key, n + 900, "full"))
+    assert sorted(map(str, want)) == sorted(str((r[0], r[1] - 1000, *r[2:])) for r in got) and 0 < held <= BUCKETS
