@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,54 +23,54 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 class FolderQueue(StatefulProcessor):
-    """A folder's captures: sizes are watched until a file is complete, then it waits its turn.
+    """A folder's complete captures wait their turn and run one at a time.
 
-    State: each path's (last size, repeats, seen), the queue by number, and what runs. Only paths of a batch are read.
+    State: the queue by number, and what runs. Captures that come and go within a batch never enter it.
     """
 
-    def __init__(self, needed: int):
-        self.needed = needed
-
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.files = handle.getMapState("files", "path string", "last long, repeats long, seen boolean")
         self.waiting = handle.getMapState("waiting", "n long", "path string, target string")
         self.place = handle.getValueState("place", "head long, tail long, path string, target string")
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        for path in initialState["path"]:
-            self.files.updateValue((path,), (0, 0, True))
-
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         head, tail, running, target = self.place.get() if self.place.exists() else (0, 0, None, None)
-        batch = pd.concat(list(rows)).sort_values(["seq", "path"])
-        known: dict[str, tuple[int, int, bool] | None] = {}
-        out: list[tuple] = []
-        for seq, tick in batch.groupby("seq"):
-            for kind, path, size, aim in zip(tick["kind"], tick["path"], tick["size"], tick["target"], strict=True):
-                if kind != "size":
-                    if running is not None:
-                        out.append((key[0], seq, running, target, kind))
-                        running = None
-                    continue
-                if path not in known:
-                    known[path] = tuple(self.files.getValue((path,))) if self.files.containsKey((path,)) else None
-                state = known[path]
-                if state is not None and state[2]:
-                    continue
-                state, done = observe(state, int(size), self.needed)
-                known[path] = state
-                if done:
-                    self.waiting.updateValue((tail,), (path, aim if isinstance(aim, str) else None))
-                    tail += 1
-            if running is None and head < tail:
-                path, aim = self.waiting.getValue((head,))
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(["seq", "path"], kind="stable")
+        ticks, at = np.unique(batch["seq"].to_numpy(), return_inverse=True)
+        complete, ends = batch["complete"].to_numpy(dtype=bool), batch["kind"].to_numpy() != "size"
+        new = list(zip(at[complete].tolist(), batch["path"][complete].tolist(), batch["target"][complete].tolist(), strict=True))
+        ended = list(zip(at[ends].tolist(), batch["kind"][ends].tolist(), strict=True))
+        seqs, out = ticks.tolist(), []
+        n, e, since = 0, 0, 0  # captures and ends that are dealt with, and the first tick that is still to come
+        while True:
+            if running is not None:
+                while e < len(ended) and ended[e][0] < since:
+                    e += 1
+                if e == len(ended):
+                    break
+                since, kind = ended[e]
+                out.append((key[0], seqs[since], running, target, kind))
+                running = None
+            if head < tail:
+                start, (path, aim) = since, self.waiting.getValue((head,)) if since < len(seqs) else (None, None)
+            elif n < len(new):
+                start, path, aim = max(since, new[n][0]), new[n][1], new[n][2]
+            else:
+                break
+            if start >= len(seqs):
+                break
+            if head < tail:
                 self.waiting.removeKey((head,))
                 head += 1
-                out.append((key[0], seq, path, aim, "skipped" if aim is None else "started"))
-                if aim is not None:
-                    running, target = path, aim
-        for path, state in known.items():
-            self.files.updateValue((path,), state)
+            else:
+                n += 1
+            aim = aim if isinstance(aim, str) else None
+            out.append((key[0], seqs[start], path, aim, "skipped" if aim is None else "started"))
+            if aim is not None:
+                running, target = path, aim
+            since = start + 1
+        for _, path, aim in new[n:]:
+            self.waiting.updateValue((tail,), (path, aim if isinstance(aim, str) else None))
+            tail += 1
         self.place.update((head, tail, running, target if running is not None else None))
         yield pd.DataFrame(out, columns=["folder", "seq", "path", "target", "event"])
 
@@ -77,6 +78,28 @@ class FolderQueue(StatefulProcessor):
         pass
 
 
+def _completed(events: DataFrame, needed: int) -> DataFrame:
+    """Events with `complete`: whether a file's row completes it. Rows keep their path and target only if so, or if they
+    tell an end. Files are dealt out by buckets, so a folder's files are watched by many tasks."""
+    held = pa.schema({"folder": pa.string(), "path": pa.string(), "last": pa.int64(), "repeats": pa.int64(), "seen": pa.bool_()})
+
+    def update(rows: pd.DataFrame, before: pd.DataFrame, state: GroupState) -> tuple[pd.DataFrame, pd.DataFrame, None]:
+        files = {(folder, path): tuple(file) for folder, path, *file in before.itertuples(index=False, name=None)}
+        rows = rows.sort_values("seq", ignore_index=True)
+        complete = [False] * len(rows)
+        for k, (folder, kind, path, size, old) in enumerate(zip(*(rows[c].tolist() for c in ("folder", "kind", "path", "size", "old")), strict=True)):
+            file = files.get((folder, path))
+            if kind == "size" and not old and not (file and file[2]):
+                files[folder, path], complete[k] = observe(file, int(size), needed)
+        rows["complete"] = complete
+        named = rows["complete"] | (rows["kind"] != "size")
+        found = rows[["folder", "seq", "kind"]].assign(path=rows["path"].where(named, None), target=rows["target"].where(named, None), complete=rows["complete"])
+        return found, table(held, [(*key, *file) for key, file in files.items()]), None
+
+    spread = F.when(F.col("kind") == "size", F.xxhash64("folder", "path")).otherwise(F.xxhash64("folder", "seq"))
+    return by_buckets(events, spread, update, "folder string, seq long, kind string, path string, target string, complete boolean", held)
+
+
 def folder_queue(events: DataFrame, backlog: DataFrame | None = None, needed: int = 2) -> DataFrame:
     """(folder, seq, path, target, event) of watched folders: which capture starts, is skipped, is done or has failed, when.
 
@@ -86,13 +109,19 @@ def folder_queue(events: DataFrame, backlog: DataFrame | None = None, needed: in
     runs: one at a time. A capture without a target is passed over, and the next has its turn at the next tick; a
     failure ends a capture like any other end. backlog (folder, path): files that were there at the start, never run.
 
-    Folders are independent keys. A tick's rows must come in one batch, and ticks in order. Needs the RocksDB state
-    store, which keeps paths on disk; a folder's rows of one batch are sorted in memory, so bound what a trigger takes.
+    Files are watched by buckets of (folder, path), as in by_buckets; then a folder is a key, whose queue is one stream.
+    A tick's rows must come in one batch, and ticks in order. Needs the RocksDB state store, which keeps the queue on
+    disk; a folder's ticks of one batch are sorted in memory, so bound what a trigger takes.
     """
-    spark = events.sparkSession
-    spark.conf.set(STATE_STORE, ROCKSDB)
-    initial = backlog.select("folder", "path").groupBy("folder") if backlog is not None else None
-    return events.groupBy("folder").transformWithStateInPandas(FolderQueue(needed), QUEUE_OUT, "Append", "None", initial)
+    events.sparkSession.conf.set(STATE_STORE, ROCKSDB)
+    events = events.select("folder", "seq", "kind", "path", "size", "target")
+    if backlog is None:
+        events = events.withColumn("old", F.lit(False))
+    else:
+        there = backlog.select(F.col("folder").alias("_folder"), F.col("path").alias("_path"), F.lit(True).alias("_old")).distinct()
+        same = F.col("folder").eqNullSafe(F.col("_folder")) & F.col("path").eqNullSafe(F.col("_path"))
+        events = events.join(there, same, "left").select(*events.columns, F.coalesce("_old", F.lit(False)).alias("old"))
+    return _completed(events, needed).groupBy("folder").transformWithStateInPandas(FolderQueue(), QUEUE_OUT, "Append", "None")
 
 
 def _timed(rows: DataFrame, key: str, delay: str, *columns: str) -> DataFrame:

@@ -119,3 +119,16 @@ def test_previews_of_many_keys(spark, tmp_path):
             if (after is None and n + 900 < end) or (after is not None and after - n >= 900):
                 want.append((key, n + 900, "full"))
     assert sorted(map(str, want)) == sorted(str((r[0], r[1] - 1000, *r[2:])) for r in got) and 0 < held <= BUCKETS
+
+
+def test_a_folder_with_many_files_is_watched_by_buckets(spark, tmp_path):
+    schema, source, out = "folder string, seq long, kind string, path string, size long, target string", str(tmp_path / "in"), str(tmp_path / "out")
+    rows = [("d", 4 * i + j, *(("size", f"f{i}", 5, "sun") if j < 3 else ("done", None, None, None))) for i in range(1200) for j in range(4)]
+    for k in range(3):
+        spark.createDataFrame(rows[1600 * k : 1600 * (k + 1)], schema).coalesce(1).write.mode("append").parquet(source)
+    stream = wt.folder_queue(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source), spark.createDataFrame([("d", "f3")], "folder string, path string"))
+    query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    want = [("d", 4 * i + k, f"f{i}", "sun", event) for i in range(1200) if i != 3 for k, event in ((2, "started"), (3, "done"))]
+    assert sorted(want) == sorted(map(tuple, spark.read.parquet(out).collect()))
+    assert 0 < max(sum(s["numRowsTotal"] for s in p["stateOperators"]) for p in query.recentProgress) <= BUCKETS + 2
