@@ -23,28 +23,30 @@ def moments(plane: Column, side: int, weight: Callable[[Column], Column]) -> Col
     return F.aggregate(weights, zero, add)
 
 
-def _centre(m: Column, least: float = 0.0, fallback: float | None = None) -> Column:
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once a row, not once for each use and each pixel."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _centre(found: Column, least: float = 0.0, fallback: float | None = None) -> Column:
     other = F.lit(fallback).cast("double")
-    return F.struct(*(F.when(m["s"] > least, m[a] / m["s"]).otherwise(other).alias(f"c{a}") for a in ("x", "y")))
+    return once(found, lambda m: F.struct(*(F.when(m["s"] > least, m[a] / m["s"]).otherwise(other).alias(f"c{a}") for a in ("x", "y"))))
 
 
 def bright_centroid(plane: Column, side: int, level: float = 0.30) -> Column:
     """(cx, cy) of the pixels above level x the peak, weighted by their value; NULL where there are none."""
-    cut = F.lit(level) * F.array_max(plane)
-    return _centre(moments(plane, side, lambda v: F.when(v > cut, v).otherwise(F.lit(0.0))))
+    return once(F.lit(level) * F.array_max(plane), lambda cut: _centre(moments(plane, side, lambda v: F.when(v > cut, v).otherwise(F.lit(0.0)))))
 
 
 def excess_centroid(plane: Column, side: int, level: float = 0.25) -> Column:
     """(cx, cy) weighted by what pixels have over level x the peak; NULL without a positive peak."""
-    cut = F.lit(level) * F.array_max(plane)
-    return _centre(moments(plane, side, lambda v: F.when(cut > 0, v - cut).otherwise(F.lit(0.0))))
+    return once(F.lit(level) * F.array_max(plane), lambda cut: _centre(moments(plane, side, lambda v: F.when(cut > 0, v - cut).otherwise(F.lit(0.0)))))
 
 
 def disc_centroid(plane: Column, side: int) -> Column:
     """(cx, cy) weighted by what pixels have over the background, the plane's upper median; the middle where nothing
     stands out."""
-    background = upper_median(F.array_sort(plane))
-    return _centre(moments(plane, side, lambda v: v - background), 1e-6, side / 2)
+    return once(upper_median(F.array_sort(plane)), lambda background: _centre(moments(plane, side, lambda v: v - background), 1e-6, side / 2))
 
 
 def polar_profile(plane: Column, side: int, cx: Column, cy: Column, radii: int, directions: int = 64) -> Column:

@@ -62,7 +62,8 @@ def pr04_coverage_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ag25_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = {"bright": pn.bright_centroid(F.col("plane"), 8), "excess": pn.excess_centroid(F.col("plane"), 8), "disc": pn.disc_centroid(F.col("plane"), 8)}
-    return _frames(spark, sf_dir).select(*_OWN, *(F.round(c[a], 6).alias(f"{n}_{a}") for n, c in found.items() for a in ("cx", "cy")))
+    centres = _frames(spark, sf_dir).select(*_OWN, *(c.alias(n) for n, c in found.items()))
+    return centres.select(*_OWN, *(F.round(F.col(n)[a], 6).alias(f"{n}_{a}") for n in found for a in ("cx", "cy")))
 
 
 def ag42_polar_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
