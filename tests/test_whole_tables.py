@@ -50,3 +50,9 @@ def test_ru05_follows_its_sql_at_no_value_and_on_rounding_edges(spark, tmp_path)
     want = {r[0]: r[1:] for r in con.execute(catalog.oracle_sql()["ru05_geometry"]).fetchall()}
     got = {r[0]: tuple(r[1:]) for r in catalog.queries()["ru05_geometry"](spark, str(tmp_path)).collect()}
     assert got == want and got[21488][2:5] == (200, 10, float("inf")) and got[90816][6] == 0.989688
+
+
+def test_ag25_sorts_a_plane_once_a_row(spark):
+    plan = catalog.queries()["ag25_centroids"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_sort(") <= 2 and plan.count("array_max(") == 2
+    assert plan.count("aggregate(") == 3
