@@ -64,10 +64,11 @@ def locally_shifted(frames: DataFrame, dx: Column, dy: Column, local: DataFrame,
     flat = F.transform(F.sequence(F.lit(0), F.lit(grid * grid - 1)), lambda c: F.coalesce(F.try_element_at("_held", c), zero))
     own = F.col("capture_id").eqNullSafe(F.col("_capture")) & (F.col("frame_idx") == F.col("_frame"))
     moved = frames.withColumns({"_dx": dx.cast("double"), "_dy": dy.cast("double")}).join(maps, own, "left").withColumn("_flat", flat)
+    moved = moved.withColumns({f"_map_{a}": F.col("_flat").getField(a) for a in ("x", "y")})
 
     def from_map(p: Column) -> Column:
         ux, uy = ((v + F.lit(0.5)) * F.lit(grid / side) - F.lit(0.5) for v in (p % side, F.floor(p / side)))
-        both = {a: sample_bilinear(F.transform("_flat", lambda m: m[a]), ux, uy, grid, "clamp") for a in ("x", "y")}
+        both = {a: sample_bilinear(F.col(f"_map_{a}"), ux, uy, grid, "clamp") for a in ("x", "y")}
         return F.struct(((p % side) - F.col("_dx") - both["x"]).alias("x"), (F.floor(p / side) - F.col("_dy") - both["y"]).alias("y"))
 
     at = F.transform(F.sequence(F.lit(0), F.size("plane") - 1), from_map)

@@ -56,3 +56,8 @@ def test_ag25_sorts_a_plane_once_a_row(spark):
     plan = catalog.queries()["ag25_centroids"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("array_sort(") <= 2 and plan.count("array_max(") == 2
     assert plan.count("aggregate(") == 3
+
+
+def test_ag15_runs_no_lambda_over_a_shift_map(spark):
+    plan = catalog.queries()["ag15_local_accumulate"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_flat" in plan and "transform(_flat" not in plan
