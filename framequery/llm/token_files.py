@@ -11,6 +11,7 @@ Format: a folder with two Parquet tables, so that writes are committed by Spark
 from __future__ import annotations
 
 import functools
+import json
 import os
 import uuid
 import zlib
@@ -18,24 +19,37 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from framequery.llm.words import gather, rebatched, split_words, to_batches, unique_words
+from framequery.llm.bpe import byte_letters
+from framequery.llm.words import gather, join_rows, rebatched, split_words, to_batches, unique_words
 
-#: Distinct runs beyond which a worker keeps only those that its current batch uses.
-CACHED_RUNS = 400_000
+#: Distinct pieces and runs beyond which a worker keeps only those that its current batch uses.
+CACHED = 1_000_000
 RUNS_A_CALL = 4_000
+PIECES_A_TEXT = 100
+#: Runs of these characters are cut into pieces here as the tokenizers library does (tested for each character).
+PLAIN_RUN = "^[!-~\u00a1-\u012f\u0131-\u024f]+$"
+PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The normaliser and splitter for which that holds.
+LOWER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = {"type": "Split", "pattern": {"Regex": PIECE}, "behavior": "Removed", "invert": True}
+PIECE_OR_LINE = regex.compile(rf"\n|{PIECE}")
 
 
 class LibraryRuns:
     """Ids of distinct white-space-free runs from the tokenizers library.
 
     The vocabularies here split at white space before anything else, so a text's ids are those of its runs. Runs are
-    handed over many at a time, parted by a special token, whose id parts the ids again.
+    handed over many at a time, parted by a special token, whose id parts the ids again. Plain runs are first cut into
+    pieces, of which there are fewer distinct ones; pieces are parted by blanks, which the library takes for less, and
+    the ids by the tokens that end a word.
     """
 
     def __init__(self, path: str):
@@ -48,32 +62,83 @@ class LibraryRuns:
         specials = {i: t.content for i, t in self.t.get_added_tokens_decoder().items() if t.special}
         self.part_id, self.part = max(specials.items())
         self.mark = os.path.commonprefix([*specials.values()])
-        #: Run -> its ids as little-endian int32 bytes.
-        self.cache: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        vocab = self.t.get_vocab()
+        end = spec["model"].get("end_of_word_suffix")
+        splitters = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        self.by_pieces = (
+            bool(end) and bool(self.mark) and (spec["normalizer"] or {}).get("normalizers") == LOWER and len(splitters) == 2 and splitters[0] == SPLIT
+            and splitters[1]["type"] == "ByteLevel" and not splitters[1]["add_prefix_space"] and all(c + end in vocab for c in byte_letters())
+        )
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for token, i in vocab.items() if end and token.endswith(end)]] = True
+        #: What was encoded before, with the flat ids and their offsets.
+        self.known, self.ids, self.offsets = pa.array([], pa.large_string()), np.zeros(0, "<i4"), np.zeros(1, np.int64)
         probe = ["Half", "a", "word's", "2nd", "end."]
-        if self.t.encode(" \t".join(probe) + "\n", add_special_tokens=False).ids != self.encode(probe)[0].tolist():
+        if self.t.encode(" \t".join(probe) + "\n", add_special_tokens=False).ids != self.encode(pa.array(probe, pa.large_string()))[0].tolist():
             raise ValueError(f"{path} doesn't split at white space: runs of it can't be encoded one by one")
 
-    def encode(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _runs(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of any runs, parted by the special token; runs that could hold one go by themselves."""
+        own = {k: self.t.encode(r, add_special_tokens=False).ids for k, r in enumerate(runs) if self.mark in r}
+        rest = [r for k, r in enumerate(runs) if k not in own]
+        texts = [self.part.join(rest[k : k + RUNS_A_CALL]) for k in range(0, len(rest), RUNS_A_CALL)]
+        ids = np.array([i for e in self.t.encode_batch_fast(texts, add_special_tokens=False) for i in (*e.ids, self.part_id)], "<i4")
+        part = ids == self.part_id
+        ends = np.flatnonzero(part)
+        lengths = np.diff(ends, prepend=-1) - 1
+        ids = ids[~part]
+        if own:
+            at = np.array(list(own)) - np.arange(len(own))
+            before = np.concatenate([[0], np.cumsum(lengths)])[at]
+            ids = np.insert(ids, np.repeat(before, [len(x) for x in own.values()]), [i for x in own.values() for i in x])
+            lengths = np.insert(lengths, at, [len(x) for x in own.values()])
+        return ids, np.concatenate([[0], np.cumsum(lengths)])
+
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, parted by blanks. Each has one token that ends a word, the last; were there more, some piece
+        would be several to the library, and they go as runs."""
+        texts = join_rows(pieces, np.append(np.arange(0, len(pieces), PIECES_A_TEXT), len(pieces))).to_pylist()
+        ids = np.concatenate([np.zeros(0, "<i4"), *(np.array(e.ids, "<i4") for e in self.t.encode_batch_fast(texts, add_special_tokens=False))])
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(pieces):
+            return self._runs(pieces.to_pylist())
+        return ids, np.concatenate([[0], ends])
+
+    def _known(self, strings: pa.Array, n_pieces: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of strings, the first n_pieces of which are pieces; only those not met before are encoded."""
+        at = pc.index_in(strings, value_set=self.known).fill_null(-1).to_numpy().astype(np.int64)
+        new = at < 0
+        fresh = [strings[:n_pieces].filter(pa.array(new[:n_pieces])), strings[n_pieces:].filter(pa.array(new[n_pieces:]))]
+        at[new] = len(self.known) + np.arange(new.sum())
+        for some, (ids, offsets) in zip(fresh, (self._pieces(fresh[0]), self._runs(fresh[1].to_pylist())), strict=True):
+            self.known, self.ids = pa.concat_arrays([self.known, some]), np.concatenate([self.ids, ids])
+            self.offsets = np.concatenate([self.offsets, self.offsets[-1] + offsets[1:]])
+        ids, offsets = gather(self.ids, self.offsets, at)
+        if len(self.known) > CACHED:
+            self.known, self.ids, self.offsets = strings, ids, offsets
+        return ids, offsets
+
+    def encode(self, runs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of distinct runs and their offsets."""
-        if len(self.cache) > CACHED_RUNS:
-            old = self.cache
-            self.cache = {r: old[r] for r in runs if r in old}
-        cache = self.cache
-        for r in runs:
-            if self.mark in r and r not in cache:
-                cache[r] = np.array(self.t.encode(r, add_special_tokens=False).ids, "<i4").tobytes()
-        new = [r for r in runs if r not in cache]
-        for k in range(0, len(new), RUNS_A_CALL):
-            some = new[k : k + RUNS_A_CALL]
-            ids = np.array(self.t.encode_batch_fast([self.part.join(some)], add_special_tokens=False)[0].ids, "<i4")
-            at = 4 * np.flatnonzero(ids == self.part_id)
-            raw = ids.tobytes()
-            for r, a, b in zip(some, [0, *(at + 4).tolist()], [*at.tolist(), len(raw)], strict=True):
-                cache[r] = raw[a:b]
-        rows = [cache[r] for r in runs]
-        lengths = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
-        return np.frombuffer(b"".join(rows), "<i4"), np.concatenate([[0], np.cumsum(lengths)])
+        plain = np.zeros(len(runs), bool)
+        if self.by_pieces:
+            plain = pc.and_not(pc.match_substring_regex(runs, PLAIN_RUN), pc.match_substring(runs, self.mark)).to_numpy(zero_copy_only=False)
+        lines, odd = runs.filter(pa.array(plain)), runs.filter(pa.array(~plain))
+        text = join_rows(lines, np.array([0, len(lines)]), "\n")[0].as_py().lower() + "\n" if len(lines) else ""
+        # The first of the strings is the end of a line, which has no ids.
+        strings, index = unique_words(pa.array(PIECE_OR_LINE.findall("\n" + text), pa.large_string()))
+        n_pieces = len(strings) - 1
+        ids, offsets = self._known(pa.concat_arrays([strings[1:], odd]), n_pieces)
+        values, at = gather(ids, np.concatenate([[0], offsets[: n_pieces + 1]]), index)
+        run_offsets = at[np.flatnonzero(index == 0)]
+        if not len(odd):
+            return values, run_offsets
+        place = np.empty(len(runs), np.int64)
+        place[np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])] = np.arange(len(runs))
+        values = np.concatenate([values, ids[offsets[n_pieces] :]])
+        return gather(values, np.concatenate([run_offsets, run_offsets[-1] + offsets[n_pieces + 1 :] - offsets[n_pieces]]), place)
 
 
 @functools.lru_cache(maxsize=2)
@@ -135,7 +200,7 @@ def write_token_files(
         for table in rebatched(batches):
             flat, spans = split_words(table.column(1).combine_chunks())
             distinct, index = unique_words(flat)
-            ids, offsets = encoder.encode(distinct.to_pylist())
+            ids, offsets = encoder.encode(distinct)
             values, run_offsets = gather(ids, offsets, index)
             ends = run_offsets[spans]
             # Put end_id after each document's ids.

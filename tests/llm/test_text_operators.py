@@ -139,6 +139,40 @@ def test_op4_refuses_tokenizers_that_keep_white_space():
         token_files.LibraryRuns(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+class Counted:
+    """A tokenizer that notes the words it is handed."""
+
+    def __init__(self, t):
+        self.t, self.words = t, []
+
+    def encode_batch_fast(self, texts, **options):
+        self.words += [w for text in texts for w in re.split(r" |<\|endoftext\|>", text)]
+        return self.t.encode_batch_fast(texts, **options)
+
+
+def test_op4_hands_each_piece_to_the_library_once():
+    runs = pa.array(["Tree", "tree,", "TREE.", "tree", "Tree's", "été", "ÉTÉ,", "日本"], pa.large_string())
+    encoder = token_files.LibraryRuns(TOKENIZER)
+    t, encoder.t = encoder.t, Counted(encoder.t)
+    for _ in range(2):
+        ids, offsets = encoder.encode(runs)
+        assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [t.encode(r, add_special_tokens=False).ids for r in runs.to_pylist()]
+    assert Counter(encoder.t.words) == Counter(["tree", ",", "été", "日本"])  # "." and "'s" were in the probe
+
+
+def test_op4_runs_of_every_kind_of_character(monkeypatch):
+    encoder = token_files.LibraryRuns(TOKENIZER)
+    monkeypatch.setattr(token_files, "CACHED", 3_000)
+    runs = [f"{a}{chr(c)}{b}" for a, b in (("", ""), ("a", "B"), ("X'", "s"), (".", "1"), ("é", "É")) for c in range(0x21, 0x700)]
+    runs = [r for r in runs if WORD.fullmatch(r)] + ["<|endoftext|>", "a<|startoftext|>b<|", "<|endoftext|>c", "</w>", "a</w>b", "x'll''d", "İ"]
+    for k in (0, 1, 700, 1400, len(runs), 5):
+        ids, offsets = encoder.encode(pa.array(runs[-k:] if k else [], pa.large_string()))
+        assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [encoder.t.encode(r, add_special_tokens=False).ids for r in (runs[-k:] if k else [])]
+    # What the library splits further is still parted rightly.
+    ids, offsets = encoder._pieces(pa.array(["a,b", "c"], pa.large_string()))
+    assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [encoder.t.encode(r, add_special_tokens=False).ids for r in ("a,b", "c")]
+
+
 def brute_repeats(rows, split, width):
     """(id, units, removed mask) by comparing every window with all that start earlier."""
     seen, out = set(), {}
