@@ -96,24 +96,42 @@ def rule_costs(sample: DataFrame, rules: list[Rule], repeats: int = 10, runs: in
     job, so that the rule's own work outweighs the job's start; the least of `runs` runs counts, less that of an empty
     rule. Costs are rounded to powers of two of a tenth of the empty run, so that noise rarely changes them."""
     many = sample.withColumn("_again", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+    found: dict[int, tuple[int, float]] = {}
 
-    def least(fails: Column) -> tuple[int, float]:
-        took = []
-        for _ in range(runs):
+    many.agg(F.count_if(rules[0].fails)).first()  # the first job also fills the cache
+    for _ in range(runs):
+        for k, fails in enumerate([F.lit(False) & (F.col("_again") > 0), *(rule.fails for rule in rules)]):  # in turn: slow spells and warming up are shared
             began = time.perf_counter()
             rejected = many.agg(F.count_if(fails)).first()[0]
-            took.append(time.perf_counter() - began)
-        return rejected // repeats, min(took)
+            found[k] = (rejected // repeats, min(time.perf_counter() - began, found.get(k, (0, math.inf))[1]))
+    _, empty = found.pop(0)
+    return [(rejected, 2.0 ** round(math.log2(max(1.0, 10 * (took - empty) / empty)))) for rejected, took in found.values()]
 
-    many.agg(F.count_if(rules[0].fails)).first()  # the first job also fills the cache
-    _, empty = least(F.lit(False) & (F.col("_again") > 0))
-    found = [least(rule.fails) for rule in rules]
-    return [(rejected, 2.0 ** round(math.log2(max(1.0, 10 * (took - empty) / empty)))) for rejected, took in found]
+
+def timed_repeats(sample: DataFrame, rules: list[Rule], rows: int, most: int = 1 << 18) -> int:
+    """How often to judge each of the persisted sample's rows, so that all rules together take twice what a job without
+    rules takes, or more: on fewer, the jobs' own unsteadiness decides. At most about `most` rows are judged a job."""
+    repeats = 10
+    while 4 * repeats * rows <= most:
+        many = sample.withColumn("_again", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+        took = []
+        for counts in ([F.count_if(F.lit(False) & (F.col("_again") > 0))], [F.count_if(rule.fails) for rule in rules]):
+            least = math.inf
+            for _ in range(2):
+                began = time.perf_counter()
+                many.agg(*counts).first()
+                least = min(least, time.perf_counter() - began)
+            took.append(least)
+        if took[1] >= 2 * took[0]:
+            break
+        repeats *= 4
+    return repeats
 
 
 def cascade_order(sample: DataFrame, rules: list[Rule], reach: Column | None = None, timed_rows: int = 300) -> list[Rule]:
     """Rules by rejections per cost; most worthwhile first, equals as given. Rejections are counted on all of the sample's
-    texts that `reach` holds for (all without it), in one job; costs are timed on about timed_rows of them.
+    texts that `reach` holds for (all without it), in one job; costs are timed on about timed_rows of them, each judged as
+    often as it takes to tell the rules' work from a job's start.
 
     The order decides how soon a bad text is let go, never whether it is. An empty sample keeps the given order.
     """
@@ -128,7 +146,8 @@ def cascade_order(sample: DataFrame, rules: list[Rule], reach: Column | None = N
         if not rows:
             return list(rules)
         few = some.sample(False, min(1.0, timed_rows / rows), 7).persist()
-        worth = [(n + 0.5) / cost for n, (_, cost) in zip(rejected, rule_costs(few, rules), strict=True)]
+        repeats = timed_repeats(few, rules, max(1, few.count()))
+        worth = [(n + 0.5) / cost for n, (_, cost) in zip(rejected, rule_costs(few, rules, repeats), strict=True)]
     finally:
         sample.unpersist()
         if few is not None:

@@ -354,6 +354,18 @@ def test_op6_cascade_takes_cheap_rules_that_reject_first(spark):
     assert docs.where(by == "marks").count() == 50
 
 
+def test_op6_few_rows_are_judged_until_rules_outweigh_jobs(spark, monkeypatch):
+    text = " ".join(f"word{k}" for k in range(60))
+    docs = quality.measures(spark.createDataFrame([(k, text) for k in range(5)], "doc_id long, text string").repartition(2))
+    dear = F.length("text") < 0
+    for k in range(6):
+        dear = dear | F.regexp_replace("text", f"w[o{k % 10}]+rd", "x").contains(f"zz{k}")
+    asked, costs = [], quality.rule_costs
+    monkeypatch.setattr(quality, "rule_costs", lambda *a: asked.append(a[2] if len(a) > 2 else 10) or costs(*a))
+    rules = [quality.Rule("dear", dear), quality.Rule("never", F.col("n_words") < 0)]
+    assert [r.name for r in quality.cascade_order(docs, rules)] == ["never", "dear"] and asked[0] > 10
+
+
 def test_op3_against_all_pairs(spark):
     rnd = random.Random(2)
     vocabulary = [f"w{k}" for k in range(400)]
