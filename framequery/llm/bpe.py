@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from framequery.llm.words import gather, join_rows, rebatched, split_words, to_batches, unique_words
+from framequery.llm.words import freed, gather, join_rows, rebatched, split_words, to_batches, unique_words
 
 NEVER = np.int64(1 << 40)
 #: Longer words take the exact path at once; the speculative walk is one step a byte for a whole batch.
@@ -29,7 +29,9 @@ SPECULATE_BYTES = 64
 PLAIN_BELOW = 0x250
 END = "</w>"
 #: Text that is encoded at once.
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 3 << 20
+#: Words that make their merges together.
+MERGED_AT_ONCE = 5_000
 
 
 def byte_letters() -> list[str]:
@@ -221,7 +223,7 @@ class WordBpe:
             flat.append(own)
         short = np.flatnonzero(exact & tried)
         short = short[np.argsort(sizes[short], kind="stable")]
-        for rows in np.array_split(short, max(1, len(short) // 20_000)) if len(short) else []:
+        for rows in np.array_split(short, -(-len(short) // MERGED_AT_ONCE)) if len(short) else []:
             own, own_offsets = self.merged_together([words[k] for k in rows], sizes[rows])
             starts[rows], counts[rows] = at + own_offsets[:-1], np.diff(own_offsets)
             flat.append(own)
@@ -353,6 +355,7 @@ def encode_decode_digests(
 
 
 def _mapped(docs: DataFrame, path: str, text_col: str, id_col: str, schema: str, digests: bool) -> DataFrame:
+    @freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe(path)
         strings = pa.array(bpe.strings, pa.large_string())

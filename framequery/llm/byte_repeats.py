@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from framequery.llm import repeats
 from framequery.llm.steps import Steps
-from framequery.llm.words import M1, as_array, mix
+from framequery.llm.words import M1, as_array, freed_group, mix
 
 WIDTH = 100
 TRIGGER = 32
@@ -66,6 +66,7 @@ def remove_repeated_bytes(docs: DataFrame, digests: bool = False, id_col: str =
     rows, whole = repeats.sharded(docs, id_col, text_col)
     last = "kept_sha256" if digests else "kept"
 
+    @freed_group
     def run(texts: pa.Table, spans: pa.Table) -> pa.Table:
         table = texts.sort_by("doc")
         data, offsets = text_bytes(table["text"].combine_chunks())

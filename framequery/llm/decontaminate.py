@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framequery.llm.words import rebatched, split_words, to_batches, unique_words
+from framequery.llm.words import freed, rebatched, split_words, to_batches, unique_words
 
 SHINGLE = 5
 #: Words of an item of which the last part is taken as the answer where the table has none of its own.
@@ -205,6 +205,7 @@ def verify(index: ItemIndex, item: int, words: list[int]) -> tuple[float, float,
 def item_statistics(items: DataFrame, item_text: str, terms: DataFrame) -> Statistics:
     """BM25's statistics of all items, with document frequencies of `terms` (term) only."""
 
+    @freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in rebatched(batches, 4 << 20):
             flat, offsets, _ = item_words(table.column(0))
@@ -280,6 +281,7 @@ def _search(docs: DataFrame, index: ItemIndex, overlap: float, item_field: str,
             yield from zip((passage + base).tolist(), item.tolist(), score.tolist(), strict=True)
             a = b
 
+    @freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in rebatched(batches, 4 << 20):
             found: dict[tuple[int, int], tuple[float, float, float]] = {}

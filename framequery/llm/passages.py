@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from framequery.llm import repeats
 from framequery.llm.steps import Steps
-from framequery.llm.words import hash_strings, join_rows, split_words, unique_words
+from framequery.llm.words import freed_group, hash_strings, join_rows, split_words, unique_words
 
 WIDTH = 20
 GRAM = 6
@@ -123,6 +123,7 @@ def remove_passages(
     rows, whole = repeats.sharded(docs, id_col, text_col, carry)
     extra = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
 
+    @freed_group
     def run(texts: pa.Table, passages: pa.Table) -> pa.Table:
         table = texts.sort_by("doc")
         flat, offsets = split_words(table["text"].combine_chunks())

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framequery.llm.steps import Steps
-from framequery.llm.words import A64, M1, mix, rebatched, to_batches
+from framequery.llm.words import A64, M1, freed, freed_group, mix, rebatched, to_batches
 from framequery.operators.catalog import ranked
 
 #: Text of a shard; a shard's documents are read by one task.
@@ -162,6 +162,7 @@ def selected(spec: Spec, units: np.ndarray, offsets: np.ndarray) -> tuple[np.nda
 def count_grams(rows: DataFrame, spec: Spec) -> DataFrame:
     """(gram, shard, n) of the grams that windows select; a row for each gram, shard and batch."""
 
+    @freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in rebatched(batches, 2 << 20):
             units, offsets = spec.units(table["text"].combine_chunks())
@@ -196,6 +197,7 @@ def _rows(types: list[pa.DataType], names: list[str], *columns: np.ndarray | pa.
 def find_phrases(rows: DataFrame, wanted: DataFrame, spec: Spec) -> DataFrame:
     """FOUND rows: each shard's distinct phrases of recurring triggers, with the first place and the count there."""
 
+    @freed_group
     def run(docs: pa.Table, grams: pa.Table) -> pa.Table:
         if not docs.num_rows or not grams.num_rows:
             return _rows(FOUND_TYPES, FOUND_NAMES, *([[]] * len(FOUND_NAMES)))
@@ -246,6 +248,7 @@ def various(phrases: DataFrame) -> DataFrame:
 def phrase_contents(rows: DataFrame, opened: DataFrame, spec: Spec) -> DataFrame:
     """CONTENTS of the opened phrases, read from their first places."""
 
+    @freed_group
     def run(docs: pa.Table, opened: pa.Table) -> pa.Table:
         if not docs.num_rows or not opened.num_rows:
             return _rows(CONTENT_TYPES, CONTENT_NAMES, *([[]] * len(CONTENT_NAMES)))
@@ -349,6 +352,7 @@ def late_in_groups(parts: DataFrame, spec: Spec) -> DataFrame:
         k = table["k"].to_numpy()[part] + step[which[head]]
         return _rows(LATE_TYPES, LATE_NAMES, gram[part], name, k, shard, doc[head], at[head], size, first_doc[head], first_at[head])
 
+    @freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
         size = 0

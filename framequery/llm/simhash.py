@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 
 from framequery.llm.components import connected_components
 from framequery.llm.token_files import shared_folder
-from framequery.llm.words import rebatched, split_words, to_batches
+from framequery.llm.words import freed, rebatched, split_words, to_batches
 
 SEED = 42
-#: Shingles whose 64 bits are counted at once.
-COUNT_ROWS = 200_000
+#: Shingles whose 64 bits are counted at once; numpy makes 8 bytes of each bit for the sums by text.
+COUNT_ROWS = 40_000
 #: Text, or a part of a longer text's shingles, that is hashed at once.
 TEXT_BYTES = 2 << 20
 HASHED_AT_ONCE = 100_000
@@ -81,6 +81,7 @@ def majority_bits(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp long): SimHash of each whole text; A-Z lower-cased, shingles counted with repeats. NULL text: 0."""
 
+    @freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in rebatched(batches, TEXT_BYTES):
             flat, offsets = split_words(table.column(1), lower=True)
@@ -166,6 +167,7 @@ def links(distinct: DataFrame, most: int = 3, hot_rows: int = 50_000) -> DataFra
     if most > 3:
         raise ValueError("two halves cover at most 3 differing bits")
 
+    @freed
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -193,6 +195,7 @@ def links(distinct: DataFrame, most: int = 3, hot_rows: int = 50_000) -> DataFra
         a, b = forest_of_links(group, home.astype(bool), node, fp.view(np.uint64), most)
         yield from to_batches(pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]))
 
+    @freed
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
         size = 0

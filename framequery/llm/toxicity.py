@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framequery.llm.words import hash_strings, mix, rebatched, split_words, to_batches, unique_words
+from framequery.llm.words import freed, hash_strings, mix, rebatched, split_words, to_batches, unique_words
 
 #: Beginnings of words, in letters, that count as features beside the whole words.
 PREFIXES = (3, 4, 5, 6)
@@ -133,6 +133,7 @@ def train_chain(
         text_col, F.xxhash64(id_col).alias("_key"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("_hash"), *(f"_c{k}" for k in range(len(names)))
     )
 
+    @freed
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in rebatched(batches, 4 << 20):
             row, feature = doc_features(table.column(0).combine_chunks(), None)
@@ -190,6 +191,7 @@ def score_chain(docs: DataFrame, model: ChainModel, text_col: str = "text") -> D
     columns = docs.columns
     place = columns.index(text_col)
 
+    @freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in rebatched(batches, 2 << 20):
             n = table.num_rows

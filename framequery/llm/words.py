@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -81,6 +83,37 @@ def hash_strings(strings: pa.Array) -> np.ndarray:
     return h
 
 
+def release() -> None:
+    """Give memory that is free but still held, by Arrow and by the C library, back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def freed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow; what it held goes back once its last batch is out, as the worker lives on for other stages."""
+
+    @functools.wraps(run)
+    def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return call
+
+
+def freed_group(run: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The same for a function of two groups, after each call."""
+
+    @functools.wraps(run)
+    def call(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = run(left, right)
+        release()
+        return out
+
+    return call
+
+
 def rebatched(batches: Iterable[pa.RecordBatch], max_bytes: int = 16 << 20) -> Iterator[pa.Table]:
     """Arrow batches gathered, or cut by rows, to tables of about max_bytes: per-table dictionaries pay off, and what
     is derived from a table stays bounded. A table always has a row, however long."""
@@ -94,13 +127,13 @@ def rebatched(batches: Iterable[pa.RecordBatch], max_bytes: int = 16 << 20) -> I
             if held and size + part.nbytes > max_bytes:
                 yield pa.Table.from_batches(held)
                 held, size = [], 0
-                pa.default_memory_pool().release_unused()
+                release()
             held.append(part)
             size += part.nbytes
     if held:
         yield pa.Table.from_batches(held)
         held.clear()
-        pa.default_memory_pool().release_unused()  # the worker lives on for other stages
+        release()
 
 
 def to_batches(table: pa.Table, rows: int = 10_000) -> Iterator[pa.RecordBatch]:
